@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wayfold.plans import data_prep
+from wayfold.plans import data_prep, evaluation, guide, merging, pools, search, streams, textual, tripgraph, vectors
 
-_MODULES = [data_prep]
+_MODULES = [data_prep, evaluation, search, merging, pools, vectors, textual, tripgraph, guide, streams]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
