@@ -27,8 +27,10 @@ CAPACITY = 2048
 
 
 def _linear_groups(counts: np.ndarray, smallest: int, groups: int) -> list[tuple[int, int]]:
-    """(rounded size, cardinality) from large to small; groups of about equal cardinality."""
+    """(rounded size, cardinality) from large to small; groups of about equal cardinality, or one for each size if these are few."""
     sizes = [s for s in range(len(counts) - 1, smallest - 1, -1) if counts[s]]
+    if len(sizes) <= groups:
+        return [(s, int(counts[s])) for s in sizes]
     total = int(sum(counts[s] for s in sizes))
     per, out = max(1, -(-total // groups)), []
     top, held = 0, 0
@@ -56,12 +58,17 @@ def _linear_groups(counts: np.ndarray, smallest: int, groups: int) -> list[tuple
 def _best_pattern(sizes: list[int], value: np.ndarray, capacity: int) -> tuple[float, list[int]]:
     """The configuration of highest total value: an unbounded knapsack over the capacity."""
     best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = [i for i in range(len(sizes)) if value[i] > 1e-12]
+    use = np.flatnonzero(value > 1e-12)
+    use = use[np.argsort(np.array(sizes)[use], kind="stable")]
+    size, worth = np.array(sizes)[use], value[use]
     for w in range(1, capacity + 1):
-        best[w], pick[w] = best[w - 1], -1
-        for i in order:
-            if sizes[i] <= w and best[w - sizes[i]] + value[i] > best[w] + 1e-12:
-                best[w], pick[w] = best[w - sizes[i]] + value[i], i
+        n = int(np.searchsorted(size, w, side="right"))
+        best[w] = best[w - 1]
+        if n:
+            got = best[w - size[:n]] + worth[:n]
+            k = int(np.argmax(got))
+            if got[k] > best[w] + 1e-12:
+                best[w], pick[w] = got[k], use[k]
     pattern, w = [0] * len(sizes), capacity
     while w > 0:
         if pick[w] < 0:
@@ -72,7 +79,7 @@ def _best_pattern(sizes: list[int], value: np.ndarray, capacity: int) -> tuple[f
     return float(best[capacity]), pattern
 
 
-def configurations(demand: list[tuple[int, int]], capacity: int, max_rounds: int = 60) -> list[tuple[list[int], int]]:
+def configurations(demand: list[tuple[int, int]], capacity: int, max_rounds: int = 300) -> list[tuple[list[int], int]]:
     """(items of each size, multiplicity): the programme's solution rounded down, the rest first-fit from large to small.
 
     Revised simplex with column generation; ``max_rounds`` bounds the columns
@@ -93,11 +100,9 @@ def configurations(demand: list[tuple[int, int]], capacity: int, max_rounds: int
         d = inv @ np.array(pattern, float)
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         out = int(np.argmin(ratio))
-        trial = basis.copy()
-        trial[:, out] = pattern
-        if not np.isfinite(ratio[out]) or abs(np.linalg.det(trial / np.maximum(1, trial.max(0)))) < 1e-12:
+        if not np.isfinite(ratio[out]):
             break
-        basis = trial
+        basis[:, out] = pattern  # its entry d[out] is positive, so the basis stays regular
     x = np.linalg.solve(basis, need)
     left, plan = need.astype(np.int64), []
     for j in np.argsort(-x):
@@ -118,7 +123,7 @@ def configurations(demand: list[tuple[int, int]], capacity: int, max_rounds: int
     return plan
 
 
-def plan_containers(counts: np.ndarray, capacity: int = CAPACITY, small: float = 0.12, groups: int = 40) -> list[tuple[int, int, int, int, int]]:
+def plan_containers(counts: np.ndarray, capacity: int = CAPACITY, small: float = 0.12, groups: int = 64) -> list[tuple[int, int, int, int, int]]:
     """Intervals (size, first rank, number, first container, offset): rank r is in container first + r - first rank.
 
     counts[s] is the number of items of s tokens, s from 1 to capacity; ranks
