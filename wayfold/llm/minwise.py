@@ -42,9 +42,9 @@ class MinwiseScheme:
     threshold: float
     min_chars: int
     shingle: int = 5
-    lanes: int = 120
+    lanes: int = 152
     bits: int = 8
-    bands: int = 48
+    bands: int = 60
     rows: int = 5
     seed: int = 20240229
 

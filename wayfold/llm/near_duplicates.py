@@ -1,7 +1,7 @@
 """Problem 5: records that share most of their content, found by b-bit MinHash.
 
-Method: b-bit MinHash.  Only the low 8 bits of 120 minima are kept and packed
-into 64-bit words; 48 bands of 5 lanes generate candidates; similarity is
+Method: b-bit MinHash.  Only the low 8 bits of 152 minima are kept and packed
+into 64-bit words; 60 bands of 5 lanes generate candidates; similarity is
 estimated by XOR and bit counts, corrected for chance collisions; survivors of
 the estimate are checked exactly on their distinct substrings.
 """
