@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: Tab, line feed, carriage return, space, no-break space, ideographic space.
-WHITE_SPACE = "\t\n\r  　"
+WHITE_SPACE = "\t\n\r \u00a0\u3000"
 
 
 def strip(c: Column) -> Column:

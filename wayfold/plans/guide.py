@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from wayfold.operators import guide as op
+from wayfold.operators.ranking import distributed_rank
 from wayfold.plans.registry import Registry
 from wayfold.runtime import load
 
@@ -75,7 +76,8 @@ def guide_rank(spark, d):
     c = cands(spark, d)
     c = c.join(c.agg(F.min("run_id").alias("run_id")), "run_id")
     status = F.when(F.col("status") == "accepted", 0).when(F.col("status") == "review", 1).when(F.col("status") == "rejected", 2).otherwise(3)
-    return c.select("candidate_id", F.row_number().over(Window.partitionBy("run_id").orderBy(status, F.desc_nulls_last("score"), "candidate_id")).alias("place"))
+    c = c.select("run_id", "candidate_id", "score", status.alias("s"))
+    return distributed_rank(c, ["run_id"], [F.col("s").asc(), F.desc_nulls_last("score"), F.col("candidate_id").asc()], "place").select("candidate_id", F.col("place").cast("int").alias("place"))
 
 
 @R.query("""WITH p AS (SELECT candidate_id, url_hash, regexp_replace(trim(url), '[?#].*$', '') AS u FROM zhihu_guide_candidates WHERE candidate_id % 3 <> 0), d AS (SELECT candidate_id AS decision_id, CASE WHEN candidate_id % 2 = 0 THEN url_hash END AS h, regexp_replace(trim(url), '[?#].*$', '') AS u FROM zhihu_guide_candidates),

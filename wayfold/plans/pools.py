@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from wayfold.functions.text import strip
 from wayfold.operators import fusion as op
+from wayfold.operators.ranking import distributed_rank
 from wayfold.plans.registry import Registry
 from wayfold.runtime import load
 
@@ -84,21 +85,24 @@ def set_ops(spark, d):
   (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings)""")
 def rank_score(spark, d):
     """Linear score of a rank."""
-    e = load(spark, d, "embeddings").select("label", "vec_id").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("label")))
+    e = load(spark, d, "embeddings").select("label", "vec_id")
+    n = e.groupBy("label").agg(F.count(F.lit(1)).alias("n"))  # ten labels hold all rows, so no window by label
+    e = distributed_rank(e, ["label"], [F.col("vec_id").asc()], "r").join(n, "label")
     return e.select("label", "vec_id", F.round(op.rank_score(F.col("r"), F.col("n")), 6).alias("rank_score"))
 
 
-@R.query(f"""WITH {_POOL}, h AS (SELECT pool, article_id, arg_max(score, (score, similarity)) AS score, max(similarity) AS sim, max(remark) AS rr, count(*) AS support FROM p WHERE score IS NOT NULL AND similarity IS NOT NULL GROUP BY 1, 2),
-  r AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY score DESC, article_id) AS cr, row_number() OVER (PARTITION BY pool ORDER BY sim DESC, article_id) AS fr, count(*) OVER (PARTITION BY pool) AS n FROM h)
-  SELECT pool, article_id, round(0.25 * (CASE WHEN n = 1 THEN 1 ELSE 1 - (cr - 1) / (n - 1)::DOUBLE END) + 0.35 * (CASE WHEN n = 1 THEN 1 ELSE 1 - (fr - 1) / (n - 1)::DOUBLE END)
+@R.query(f"""WITH {_POOL}, h AS (SELECT user_id, pool, article_id, max(score) AS score, max(similarity) AS sim, max(remark) AS rr, count(*) AS support FROM p WHERE score IS NOT NULL AND similarity IS NOT NULL GROUP BY 1, 2, 3),
+  c AS (SELECT *, row_number() OVER (PARTITION BY user_id, pool ORDER BY score DESC, article_id) AS cr FROM h QUALIFY cr <= 80),
+  r AS (SELECT *, row_number() OVER (PARTITION BY user_id, pool ORDER BY sim DESC, article_id) AS fr, count(*) OVER (PARTITION BY user_id, pool) AS n FROM c)
+  SELECT user_id, pool, article_id, round(0.25 * (CASE WHEN n = 1 THEN 1 ELSE 1 - (cr - 1) / (n - 1)::DOUBLE END) + 0.35 * (CASE WHEN n = 1 THEN 1 ELSE 1 - (fr - 1) / (n - 1)::DOUBLE END)
     + 0.40 * least(greatest(coalesce(rr, 0), 0), 1) + least(0.10, (support - 1) * 0.05), 6) AS pass_score FROM r WHERE coalesce(rr, 0) >= 0.2""")
 def rank_fusion(spark, d):
-    """Coarse and fine ranks fused with the rerank score."""
-    h = pool_items(spark, d).where("score is not null and similarity is not null").groupBy("pool", "article_id").agg(F.max("score").alias("score"), F.max("similarity").alias("sim"), F.max("remark").alias("rr"), F.count(F.lit(1)).alias("support"))
-    w = Window.partitionBy("pool")
-    h = h.withColumn("cr", F.row_number().over(w.orderBy(F.desc("score"), "article_id"))).withColumn("fr", F.row_number().over(w.orderBy(F.desc("sim"), "article_id"))).withColumn("n", F.count(F.lit(1)).over(w))
+    """Coarse and fine ranks fused with the rerank score; a coarse recall keeps 80 hits, cut before the shuffle."""
+    h = pool_items(spark, d).where("score is not null and similarity is not null").groupBy("user_id", "pool", "article_id").agg(F.max("score").alias("score"), F.max("similarity").alias("sim"), F.max("remark").alias("rr"), F.count(F.lit(1)).alias("support"))
+    w = Window.partitionBy("user_id", "pool")
+    h = h.withColumn("cr", F.row_number().over(w.orderBy(F.desc("score"), "article_id"))).where("cr <= 80").withColumn("fr", F.row_number().over(w.orderBy(F.desc("sim"), "article_id"))).withColumn("n", F.count(F.lit(1)).over(w))
     score = op.fuse(h, op.rank_score(F.col("cr"), F.col("n")), op.rank_score(F.col("fr"), F.col("n")), F.col("rr"), F.col("support"))
-    return h.where("coalesce(rr, 0) >= 0.2").select("pool", "article_id", F.round(score, 6).alias("pass_score"))
+    return h.where("coalesce(rr, 0) >= 0.2").select("user_id", "pool", "article_id", F.round(score, 6).alias("pass_score"))
 
 
 @R.query("""WITH h AS (SELECT json_extract_string(props, '$.k') AS article_id, value AS score, user_id AS query_idx, event_id AS pos FROM events)
@@ -114,8 +118,9 @@ def multi_query_merge(spark, d):
 def build_pool_items(spark, d):
     """Best entry of each article in first-seen order, with the mean remark."""
     b = pool_items(spark, d).where("pool = 'periodic'").groupBy("user_id", "article_id").agg(F.max("remark").alias("remark"), F.min("inserted_at").alias("first_at"))
-    w = Window.partitionBy("user_id")
-    return b.select("user_id", "article_id", "remark", F.row_number().over(w.orderBy("first_at", "article_id")).alias("place"), F.round(F.avg(F.coalesce("remark", F.lit(0.0))).over(w), 6).alias("coverage"))
+    mean = b.groupBy("user_id").agg(F.round(F.avg(F.coalesce("remark", F.lit(0.0))), 6).alias("coverage"))
+    placed = distributed_rank(b, ["user_id"], [F.col("first_at").asc(), F.col("article_id").asc()], "place")  # one user has a tenth of the rows
+    return placed.join(mean, "user_id").select("user_id", "article_id", "remark", F.col("place").cast("int").alias("place"), "coverage")
 
 
 @R.query("""WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id % 97, vec_id) AS turn FROM embeddings)

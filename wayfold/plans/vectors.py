@@ -54,7 +54,7 @@ def similar_edges(spark, d):
 def vector_topk_indexed(spark, d):
     """The same search by an inverted-file index (recall is measured in the tests)."""
     s = stored(spark, d)
-    return op.InvertedFile.fit(s, WIDTH).search(queries(spark, d), s, 10, probes=8).withColumn("score", F.round("score", 5))
+    return op.InvertedFile.fit(s, WIDTH).search(queries(spark, d), s, 10, probes=11).withColumn("score", F.round("score", 5))
 
 
 _EDGE = "g AS (SELECT vec_id AS src, vec_id + i AS dst, 1.0 / i AS weight FROM embeddings, range(1, 13) r(i) WHERE vec_id + i < (SELECT count(*) FROM embeddings))"
