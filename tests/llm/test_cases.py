@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wayfold.llm import capping, incremental, near_duplicates, packing, shared_spans, splitting, tokens, topn
 from wayfold.llm.minwise import MinwiseScheme
 
-WS = "\t\n\r  　"
+WS = "\t\n\r \u00a0\u3000"
 rng = random.Random(11)
 WORDS = ["湖心岛", "天文台", "夜市", "古镇", "teapot", "cabin", "预算", "路线", "渡口", "harbour ", "豆花", "风衣", "，", "。", "12", "345"]
 

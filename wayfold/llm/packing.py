@@ -17,7 +17,7 @@ import bisect
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from wayfold.llm.tokens import DEFAULT_TOKENIZER, token_count
 from wayfold.operators.ranking import distributed_rank
@@ -243,9 +243,6 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY)
     key = np.array([(p[0], p[1]) for p in plan], np.int64).reshape(-1, 2)
     code = (key[:, 0] << 40) + key[:, 1]
     first, box, offset = (np.array([p[i] for p in plan], np.int64) for i in (1, 3, 4))
-    inside: dict[tuple[int, int], int] = {}
-    for b, o, c in {(p[3], p[4], p[2]) for p in plan}:
-        inside[(b, o)] = c
     shared = spark.sparkContext.broadcast((code, first, box, offset))  # bounded by the square of the capacity
 
     def run(batches):
@@ -262,10 +259,9 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY)
 
     out_schema = ranked.schema.simpleString()[7:-1].replace(":", " ") + ", container bigint, token_offset int"
     placed = ranked.mapInArrow(run, out_schema)
-    # a container holds at most ``capacity`` items
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("container").orderBy("token_offset"))
+    # a container holds at most ``capacity`` items; items without one, perhaps a third of all, are spread
+    own = F.coalesce("container", -1 - F.pmod(F.xxhash64("id", "piece_no", "r"), F.lit(1 << 40)))
+    place = F.row_number().over(Window.partitionBy(own).orderBy("token_offset"))
     return placed.select(
         F.col("id").alias(id_col), "piece_no", "container", F.when(F.col("container").isNotNull(), place).alias("place"), "token_offset", F.col("size").alias("n_tokens"), ((F.col("piece_no") - 1) * F.lit(capacity)).cast("bigint").alias("token_start")
     )

@@ -20,14 +20,14 @@ LIMIT, OVERLAP = 320, 40
 #: one counts, and signs between digits are no boundaries.
 _BOUNDARY = regex.compile(
     r"(?P<inside>!?\[[^\]\n]{0,200}\]\([^)\s]+\)|https?://[^\s，。；、）)\]]+)"
-    r"|(?P<b6>\n[ \t　]*(?:\n[ \t　]*)+)"
+    r"|(?P<b6>\n[ \t\u3000]*(?:\n[ \t\u3000]*)+)"
     r"|(?P<b5>\n)"
     r"|(?P<b4>[。！？!?…]+[”」』\"'）)]*|(?<!\d)\.(?=\s))"
     r"|(?P<b3>[；;：]|(?<=\D):(?=\s))"
     r"|(?P<b2>[，、|｜]|,(?!\d))"
-    r"|(?P<b1>[ \t 　]+)"
+    r"|(?P<b1>[ \t\u00a0\u3000]+)"
 )
-_GLUE = regex.compile(r"(?=[\p{M}‍️‌\U0001F3FB-\U0001F3FF])|(?<=‍)|(?<=\r)(?=\n)")
+_GLUE = regex.compile(r"(?=[\p{M}\u200d\ufe0f\u200c\U0001F3FB-\U0001F3FF])|(?<=\u200d)|(?<=\r)(?=\n)")
 _WORD = regex.compile(r"(?<=[\p{Latin}\p{N}_])(?=[\p{Latin}\p{N}_])")
 
 
