@@ -28,7 +28,7 @@ _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
 
 
 #: Code points hashed at a time; the place of an anchor takes the low bits of its sort key.
-_BLOCK, _PLACE_BITS = 1 << 16, 24
+_BLOCK, _PLACE_BITS = 1 << 16, 32
 
 
 class Rolling:
@@ -98,7 +98,6 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN
     do rows with a null id; a stretch repeated only inside one id doesn't
     count; rows that repeat an id are texts of one record, each with its own
     spans.  An empty table gives an empty one; other columns are not read.
-    Texts of more than 16 million characters are refused.
     """
     span, k = min_chars, anchor_chars
     id_type = df.schema[id_col].dataType
@@ -112,8 +111,6 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN
             every = b.column("t").to_pylist()
             for lo, hi in _blocks(every):
                 part = every[lo:hi]
-                if sum(map(len, part)) >= 1 << _PLACE_BITS:
-                    raise ValueError("a text has more than 16 million characters")
                 number, base, a, c, first, last = anchors(part, span, k)
                 own = pa.array(number + lo)
                 cols = [pa.array(a), pa.array(c), pa.array((first - base).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))]
