@@ -31,33 +31,59 @@ def since(events: DataFrame, as_of: str, seconds: int, column: str = "event_ts")
     return events.where(F.col(column) >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(seconds)} SECONDS"))
 
 
+def cells(events: DataFrame) -> DataFrame:
+    """(rec_request_id, article_id, impressions, clicks, conversions, positive): the log by request and article.
+
+    All counts and distinct counts follow from these sums, so the log is read
+    and shuffled once, combined before the shuffle, and no row is expanded for
+    each distinct count.
+    """
+    n = lambda *t: F.count(F.when(F.col("event_type").isin(*t), 1))
+    return events.groupBy("rec_request_id", "article_id").agg(n("impression").alias("impressions"), n("click").alias("clicks"), n(*CONVERSIONS).alias("conversions"), n(*POSITIVE).alias("positive"))
+
+
+def per_request(cells: DataFrame, articles: DataFrame | None = None) -> DataFrame:
+    """One row per request: its sums, positive items and, given articles, distinct topics and items of its impressions."""
+    c = cells
+    aggs = [F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.sum("conversions").alias("conversions"), F.count(F.when((F.col("positive") > 0) & F.col("article_id").isNotNull(), 1)).alias("positive_items"), F.sum("positive").alias("positive"), F.count(F.when((F.col("impressions") > 0) & F.col("article_id").isNotNull(), 1)).alias("items")]
+    if articles is not None:
+        # an empty tag text is no topic, a null one falls back (T4)
+        topic = F.nullif(F.coalesce("type_tags", "tags", F.lit("")), F.lit(""))
+        c = c.join(articles.select("article_id", topic.alias("topic")), "article_id", "left")
+        aggs.append(F.size(F.collect_set(F.when(F.col("impressions") > 0, F.col("topic")))).alias("topics"))  # bounded by the request's items
+    return c.groupBy("rec_request_id").agg(*aggs)
+
+
+def totals() -> list[Column]:
+    """Aggregates over ``per_request`` rows."""
+    return [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("impressions", "clicks", "conversions")] + [F.count(F.when(F.col("positive") > 0, 1)).alias("positive_requests"), F.coalesce(F.sum("positive_items"), F.lit(0)).alias("positive_items")]
+
+
+def seen_articles(cells: DataFrame) -> DataFrame:
+    """One row: the number of distinct impressed articles."""
+    return cells.where("impressions > 0").select("article_id").distinct().agg(F.count("article_id").alias("unique_articles"))
+
+
 def event_counts(events: DataFrame, requests: DataFrame) -> DataFrame:
     """One row of conditional and conditional distinct counts (A2)."""
-    is_type = lambda *t: F.col("event_type").isin(*t)
-    n = lambda c: F.count(F.when(c, 1))
-    counts = events.agg(
-        n(is_type("impression")).alias("impressions"),
-        n(is_type("click")).alias("clicks"),
-        n(is_type(*CONVERSIONS)).alias("conversions"),
-        F.count_distinct(F.when(is_type(*POSITIVE), F.col("rec_request_id"))).alias("positive_requests"),
-        F.count_distinct(F.when(is_type(*POSITIVE), F.concat("rec_request_id", F.lit(":"), "article_id"))).alias("positive_items"),
-        F.count_distinct(F.when(is_type("impression"), F.col("article_id"))).alias("unique_articles"),
-    )
-    return requests.agg(F.count(F.lit(1)).alias("requests")).crossJoin(counts)  # one row each
+    c = cells(events)
+    return requests.agg(F.count(F.lit(1)).alias("requests")).crossJoin(per_request(c).agg(*totals())).crossJoin(seen_articles(c))  # one row each
 
 
 def coverage(events: DataFrame, articles: DataFrame) -> DataFrame:
     """Share of all articles that had an impression (A4)."""
-    seen = events.where("event_type = 'impression'").agg(F.count_distinct("article_id").alias("recommended"))
+    seen = seen_articles(cells(events)).withColumnRenamed("unique_articles", "recommended")
     return seen.crossJoin(articles.agg(F.count(F.lit(1)).alias("total"))).select("recommended", "total", ratio(F.col("recommended"), F.col("total")).alias("coverage"))
 
 
+def mean_diversity() -> Column:
+    shown = F.col("impressions") > 0
+    return F.coalesce(F.avg(F.when(shown, ratio(F.col("topics"), F.col("items")))), F.lit(0.0)).alias("diversity")
+
+
 def diversity(events: DataFrame, articles: DataFrame) -> DataFrame:
-    """Mean over requests of distinct topics per distinct impressed article; an empty tag text is no topic, a null one falls back (A5)."""
-    topic = F.nullif(F.coalesce("type_tags", "tags", F.lit("")), F.lit(""))
-    shown = events.where("event_type = 'impression'").select("rec_request_id", "article_id").distinct()
-    per = shown.join(articles.select("article_id", topic.alias("topic")), "article_id", "left").groupBy("rec_request_id").agg(F.count_distinct("article_id").alias("items"), F.count_distinct("topic").alias("topics"))
-    return per.agg(F.coalesce(F.avg(ratio(F.col("topics"), F.col("items"))), F.lit(0.0)).alias("diversity"))
+    """Mean over requests of distinct topics per distinct impressed article (A5)."""
+    return per_request(cells(events), articles).agg(mean_diversity())
 
 
 def personalization(events: DataFrame, max_rows: int = 2000, max_users: int = 50) -> DataFrame:
@@ -90,7 +116,8 @@ def ndcg_at(events: DataFrame, k: int = 10) -> DataFrame:
 
 def summary(events: DataFrame, requests: DataFrame, articles: DataFrame) -> DataFrame:
     """Nine metrics in long form: (metric, value)."""
-    one = event_counts(events, requests).crossJoin(coverage(events, articles).select("coverage")).crossJoin(diversity(events, articles)).crossJoin(personalization(events)).crossJoin(ndcg_at(events))
+    by_cell = cells(events)
+    one = per_request(by_cell, articles).agg(*totals(), mean_diversity()).crossJoin(seen_articles(by_cell)).crossJoin(articles.agg(F.count(F.lit(1)).alias("total"))).crossJoin(requests.agg(F.count(F.lit(1)).alias("requests"))).crossJoin(personalization(events)).crossJoin(ndcg_at(events))
     c = F.col
     metrics = {
         "hit_rate": ratio(c("positive_requests"), c("requests")),
@@ -98,7 +125,7 @@ def summary(events: DataFrame, requests: DataFrame, articles: DataFrame) -> Data
         "precision": ratio(c("positive_items"), c("impressions")),
         "ranking_quality": c("ndcg"),
         "diversity": c("diversity"),
-        "coverage": c("coverage"),
+        "coverage": ratio(c("unique_articles"), c("total")),
         "personalization": c("personalization"),
         "ctr": ratio(c("clicks"), c("impressions")),
         "cvr": ratio(c("conversions"), c("clicks")),
