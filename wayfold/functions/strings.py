@@ -201,3 +201,32 @@ def by_keywords(c: Column, rules: list[tuple[str, list[str]]], default: str) ->
             hit = hit | F.contains(c, F.lit(w))
         out = F.when(hit, label).otherwise(out)
     return out
+
+
+def short_hash(c: Column) -> Column:
+    """``h_`` and six hexadecimal digits of a SHA-256; empty for null or blank."""
+    return F.when(strip(F.coalesce(c, F.lit(""))) == "", "").otherwise(F.concat(F.lit("h_"), F.substring(F.sha2(c, 256), 1, 6)))
+
+
+def slug(c: Column, most: int = 24) -> Column:
+    """Letters, digits and Han signs, other runs as one underscore, cut to ``most``."""
+    return F.substring(F.btrim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^a-zA-Z0-9\p{IsHan}]+", "_"), F.lit("_")), 1, most)
+
+
+def confidence_bucket(c: Column) -> Column:
+    """The decile of a confidence as text; a dash for null, NaN or out of 0..1."""
+    low = F.least(F.floor(c * 10), F.lit(9)) / 10
+    return F.when((c >= 0) & (c <= 1) & ~F.isnan(c), F.format_string("%.1f-%.1f", low, low + 0.1)).otherwise("-")
+
+
+def polyline_points(steps_json: Column) -> Column:
+    """Points of a route's steps (JSON array of {"polyline": "lng,lat;lng,lat"}), without consecutive repeats."""
+    steps = F.coalesce(F.from_json(steps_json, "array<struct<polyline:string>>"), F.array().cast("array<struct<polyline:string>>"))
+    points = F.filter(F.transform(F.flatten(F.transform(steps, lambda s: F.split(F.coalesce(s["polyline"], F.lit("")), ";"))), lambda p: lng_lat(p)), lambda p: p.isNotNull())
+    return F.filter(points, lambda p, i: (i == 0) | (p != F.get(points, i - 1)))
+
+
+def static_map_url(base: str, key: str, lng: Column, lat: Column, zoom: int = 10, size: str = "400*400") -> Column:
+    """The address of a map image around a place; null for an invalid place."""
+    place = F.concat(F.round(lng, 6).cast("string"), F.lit(","), F.round(lat, 6).cast("string"))
+    return F.when(valid_lng_lat(lng, lat), F.concat(F.lit(f"{base}?location="), place, F.lit(f"&zoom={zoom}&size={size}&key={key}")))

@@ -82,3 +82,42 @@ def next_edges(df: DataFrame, parent: str, node: str, order: list[str]) -> DataF
     """(parent, src, dst): each node and the next of its parent."""
     w = Window.partitionBy(parent).orderBy(*order)
     return df.select(parent, F.col(node).alias("src"), F.lead(node).over(w).alias("dst")).where("dst is not null")
+
+
+def patch(nodes: DataFrame, patches: DataFrame, key: str, props: str = "props") -> DataFrame:
+    """Open properties of nodes overwritten key by key by their patches (K16); nodes without a patch stay."""
+    p = patches.groupBy(key).agg(F.map_from_entries(F.flatten(F.collect_list(F.map_entries(props)))).alias("__p"))
+    kept = F.map_filter(F.coalesce(props, F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key("__p", k))
+    return nodes.join(p, key, "left").withColumn(props, F.when(F.col("__p").isNull(), F.col(props)).otherwise(F.map_concat(kept, "__p"))).drop("__p")
+
+
+def append_steps(runs: DataFrame, steps: DataFrame, run: str, seq: str, status: str) -> DataFrame:
+    """Runs with the status and number of their last step."""
+    last = steps.groupBy(run).agg(F.max(F.struct(seq, status)).alias("m"), F.count(F.lit(1)).alias("n_steps"))
+    return runs.join(last, run, "left").select(*[c for c in runs.columns if c != status], F.coalesce(F.col("m")[status], F.col(status)).alias(status), F.col("m")[seq].alias("last_seq"), F.coalesce("n_steps", F.lit(0)).alias("n_steps"))
+
+
+def first_valid_lookup(items: DataFrame, answers: DataFrame, group: str, item: str, order: str, valid: Column) -> DataFrame:
+    """Items with their first valid answer, others dropped, renumbered inside their group."""
+    best = answers.where(valid).groupBy(item).agg(F.min_by(F.struct(*[c for c in answers.columns if c not in (item, "pos")]), "pos").alias("a"))
+    return items.join(best, item).select(group, item, "a.*", F.row_number().over(Window.partitionBy(group).orderBy(F.when(F.col(order) <= 0, 1).otherwise(0), order, item)).alias("visit_order"))
+
+
+def greedy_choice(specs: DataFrame, offers: DataFrame, group: str, spec: str, item: str, score: str) -> DataFrame:
+    """For each spec of a group in order the best offer whose item isn't chosen yet (W12): sequential by nature, one Arrow group each."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, out = set(), []
+        for s, part in sorted(pdf.groupby(spec)):
+            for r in part.sort_values([score, item], ascending=[False, True]).itertuples(index=False):
+                v = getattr(r, item)
+                if v not in taken:
+                    taken.add(v)
+                    out.append((pdf[group].iloc[0], s, v))
+                    break
+        return pd.DataFrame(out, columns=[group, spec, item])
+
+    both = specs.select(group, spec).join(offers.select(group, spec, item, score), [group, spec])
+    kinds = dict(both.dtypes)
+    return both.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {spec} {kinds[spec]}, {item} {kinds[item]}")

@@ -200,3 +200,18 @@ def user_transcript(spark, d):
 
 
 QUERIES, SQL = R.queries, R.sql
+
+
+@R.query("SELECT candidate_id, CASE WHEN trim(coalesce(author_name, '')) = '' OR regexp_full_match(author_name, '[\\s\\x{3000}]*') THEN '' ELSE 'h_' || substr(sha256(author_name), 1, 6) END AS author, substr(trim(regexp_replace(coalesce(title, ''), '[^a-zA-Z0-9\\p{Han}]+', '_', 'g'), '_'), 1, 24) AS slug FROM zhihu_guide_candidates")
+def short_ids(spark, d):
+    """X14, X24."""
+    return load(spark, d, "zhihu_guide_candidates").select("candidate_id", fx.short_hash(F.col("author_name")).alias("author"), fx.slug(F.col("title")).alias("slug"))
+
+
+@R.query("""SELECT event_id, CASE WHEN value / 100 BETWEEN 0 AND 1 THEN printf('%.1f-%.1f', least(floor(value / 100 * 10), 9) / 10, least(floor(value / 100 * 10), 9) / 10 + 0.1) ELSE '-' END AS bucket FROM events""")
+def confidence_buckets(spark, d):
+    """X39, T18."""
+    return load(spark, d, "events").select("event_id", fx.confidence_bucket(F.col("value") / 100).alias("bucket"))
+
+
+QUERIES, SQL = R.queries, R.sql
