@@ -9,7 +9,7 @@ Plain SimHash bits can't serve the threshold of this data: two texts that share
 half of their substrings differ in 27 % of the bits, so that 99 % recall needs
 102 tables of 10-bit blocks (400 million candidates among 80,000 rows) or
 2,360 tables of 20 bits.  The bits of a block are therefore taken from
-min-wise hashes (three 16-bit lanes each, 48 blocks); the block tables, the
+min-wise hashes (four 8-bit lanes each, 96 blocks); the block tables, the
 lookups of exact blocks, the bit-difference check and the appending are those
 of the named method.
 """
@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from wayfold.functions.text import squeeze_out, strip
 from wayfold.llm.minwise import MinwiseScheme, candidate_pairs, classes_of, content_keys, estimate, explode_bands, jaccard_at_least, sign, verified_pairs
 from wayfold.runtime import materialize
 
-CANDIDATE_SCHEME = MinwiseScheme(threshold=0.5, min_chars=60, lanes=144, bits=16, bands=48, rows=3)
+CANDIDATE_SCHEME = MinwiseScheme(threshold=0.5, min_chars=60, lanes=192, bits=8, bands=96, rows=4)
 
 
 def address_key(url_hash: Column) -> Column:
@@ -131,7 +132,11 @@ class IncrementalDeduper:
         hits = explode_bands(signed.select("id", "sig"), "id", s).join(blocks.withColumnRenamed("id", "old"), "band").select("id", "old").distinct()
         seen = hits.join(own, "id").join(old.select(F.col("id").alias("old"), F.col("sig").alias("so"), F.col("t").alias("to")), "old")
         near = seen.where(estimate(F.col("sig"), F.col("so"), s) >= s.floor())
-        same = F.udf(lambda x, y: jaccard_at_least([x], [y], s.shingle, s.threshold)[0], "boolean")
+
+        @F.arrow_udf(T.BooleanType())
+        def same(x: pa.Array, y: pa.Array) -> pa.Array:
+            return pa.array(jaccard_at_least(x.to_pylist(), y.to_pylist(), s.shingle, s.threshold), pa.bool_())
+
         worded = near.where(same("t", "to")).select("id", "old")
         addressed = rows.where("u is not null").join(old.select(F.col("u"), F.col("id").alias("old")).where("u is not null"), "u").select("id", "old")
         against = materialize(worded.union(addressed).groupBy("id").agg(F.min("old").alias("first_old")), "batch-hits")
@@ -143,5 +148,4 @@ class IncrementalDeduper:
         part = uuid.uuid4().hex
         entry.select("id", "u", "h1", "h2", "sig", "t").write.parquet(f"{self.folder}/accepted/{part}")
         explode_bands(entry.where("sig is not null"), "id", s).write.parquet(f"{self.folder}/blocks/{part}")
-        # a repeat of history also may match a candidate accepted in this batch; history's ids are smaller
         return out
