@@ -92,7 +92,27 @@ def _shingles(source: str, text: str, least: int) -> str:
 
 _AUTHOR = "nullif(" + _PLAIN.format(f"translate(author_name, '{_WIDE.replace(chr(39), chr(39) * 2)}', '{_NARROW.replace(chr(39), chr(39) * 2)}')") + ", '')"
 
+_WORDED = _shingles("(SELECT candidate_id AS id, coalesce(title, '') || coalesce(summary, '') AS w FROM zhihu_guide_candidates)", _PLAIN.format("w"), 60)
+
 SQL = {
+    "p2_found": f"""
+      WITH RECURSIVE {_WORDED},
+      u AS (SELECT candidate_id AS id, lower(trim(url_hash, {_WS})) AS u FROM zhihu_guide_candidates WHERE trim(coalesce(url_hash, ''), {_WS}) <> ''),
+      m AS (SELECT a, b FROM k JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 2 * k >= x.n + y.n - k UNION SELECT x.id, y.id FROM u x JOIN u y ON x.u = y.u AND x.id < y.id),
+      nb AS (SELECT b, list(a) AS earlier FROM m GROUP BY b),
+      o AS MATERIALIZED (SELECT candidate_id AS id, row_number() OVER (ORDER BY candidate_id) AS rn, coalesce(earlier, []) AS earlier FROM zhihu_guide_candidates LEFT JOIN nb ON b = candidate_id),
+      r AS (SELECT 0::BIGINT AS rn, []::BIGINT[] AS kept, NULL::BIGINT AS id, NULL::BIGINT AS hit
+            UNION ALL
+            SELECT rn, CASE WHEN hit IS NULL THEN list_append(kept, id) ELSE kept END, id, hit
+            FROM (SELECT o.rn, r.kept, o.id, list_min(list_intersect(o.earlier, r.kept)) AS hit FROM r JOIN o ON o.rn = r.rn + 1))
+      SELECT hit AS first_id, id AS repeat_id FROM r WHERE hit IS NOT NULL""",
+    "p10_found": """
+      WITH g AS (SELECT doc_id, i, md5(substr(text, i::BIGINT, 100)) AS s FROM documents, range(1, 1 + greatest(length(text) - 99, 0)) r(i)),
+      c AS (SELECT s FROM g GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+      h AS (SELECT DISTINCT doc_id, i FROM g JOIN c USING (s)),
+      x AS (SELECT *, CASE WHEN i <= lag(i) OVER w + 100 THEN 0 ELSE 1 END AS st FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+      y AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM x)
+      SELECT doc_id, min(i)::BIGINT AS span_start, (max(i) + 100 - min(i))::BIGINT AS span_chars FROM y GROUP BY doc_id, run""",
     "p1_found": f"""
       SELECT chunk_id FROM (SELECT chunk_id, trim(coalesce(h2, ''), {_WS}) AS h, trim(coalesce(content, ''), {_WS}) AS c FROM article_chunks)
       WHERE length(CASE WHEN h = '' THEN c ELSE h || chr(10) || c END) > 320""",
