@@ -182,7 +182,7 @@ def test_near_duplicate_pairs(spark):
     base = [prose(200, r) for _ in range(10)]
     texts = [edited(base[i % 10], (i // 10) * 0.012, r) for i in range(80)] + [base[0].upper()] * 3 + ["  " + base[1][:100] + " \n" + base[1][100:], None, "", "短", prose(39, r), prose(60_000, r)]
     rows = [(f"c{i:03}", t, i, "clash", [1]) for i, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, "chunk_id string, content string, mid int, id string, sig array<int>")
+    df = spark.createDataFrame([(None, base[0], 0, "clash", None), *rows], "chunk_id string, content string, mid int, id string, sig array<int>")
     norm = {i: re.sub(f"[{WS}]", "", (t or "").lower()) for i, t, *_ in rows}
     ids = [i for i in norm if len(norm[i]) >= 40]
     want = {(a, b) for a in ids for b in ids if a < b and jaccard(norm[a], norm[b]) >= 0.6}

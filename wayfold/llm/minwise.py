@@ -132,10 +132,10 @@ def sign(df: DataFrame, id_col: str, text: Column, scheme: MinwiseScheme, label:
     """The written table (mid, id, h1, h2, sig) of all rows whose normal text is long enough.
 
     ``mid`` numbers the rows of the table.  Rows with a null or too short text
-    are left out, as they are similar to none.
+    are left out, as they are similar to none; so are rows with a null id.
     """
     id_type = df.schema[id_col].dataType
-    rows = df.select(F.col(id_col).alias("id"), text.alias("t")).where(F.char_length("t") >= max(scheme.min_chars, scheme.shingle))
+    rows = df.select(F.col(id_col).alias("id"), text.alias("t")).where(F.col("id").isNotNull() & (F.char_length("t") >= max(scheme.min_chars, scheme.shingle)))
     rows = rows.select("id", *content_keys(F.col("t")), "t")
     schema = T.StructType([T.StructField("id", id_type), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("sig", T.ArrayType(T.LongType()))])
 

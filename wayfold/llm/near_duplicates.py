@@ -21,7 +21,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, scheme: Mi
 
     members has (id, cid): records of equal normal text (lower case, no white
     space) share a class; records with null or fewer than ``min_chars``
-    characters have none and are left out.  links has (a, b), a < b, for every
+    characters, or a null id, have none and are left out.  links has (a, b), a < b, for every
     pair of classes whose similarity reaches the threshold.  Repeated rows are
     members of one class; an empty table gives two empty ones; other columns
     are not read.
