@@ -57,25 +57,21 @@ def _linear_groups(counts: np.ndarray, smallest: int, groups: int) -> list[tuple
 
 def _best_pattern(sizes: list[int], value: np.ndarray, capacity: int) -> tuple[float, list[int]]:
     """The configuration of highest total value: an unbounded knapsack over the capacity."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    use = np.flatnonzero(value > 1e-12)
-    use = use[np.argsort(np.array(sizes)[use], kind="stable")]
-    size, worth = np.array(sizes)[use], value[use]
-    for w in range(1, capacity + 1):
-        n = int(np.searchsorted(size, w, side="right"))
-        best[w] = best[w - 1]
-        if n:
-            got = best[w - size[:n]] + worth[:n]
-            k = int(np.argmax(got))
-            if got[k] > best[w] + 1e-12:
-                best[w], pick[w] = got[k], use[k]
+    best, chosen = np.zeros(capacity + 1), []
+    use = [i for i in range(len(sizes)) if value[i] > 1e-12]
+    for i in use:
+        s, before, number = sizes[i], best, np.zeros(capacity + 1, np.int32)
+        best = before.copy()
+        for k in range(1, capacity // s + 1):
+            got, now = before[: capacity + 1 - k * s] + k * value[i], best[k * s :]
+            more = got > now + 1e-12
+            now[more] = got[more]
+            number[k * s :][more] = k
+        chosen.append(number)
     pattern, w = [0] * len(sizes), capacity
-    while w > 0:
-        if pick[w] < 0:
-            w -= 1
-        else:
-            pattern[pick[w]] += 1
-            w -= sizes[pick[w]]
+    for i, number in zip(reversed(use), reversed(chosen)):
+        pattern[i] = int(number[w])
+        w -= pattern[i] * sizes[i]
     return float(best[capacity]), pattern
 
 
@@ -123,7 +119,7 @@ def configurations(demand: list[tuple[int, int]], capacity: int, max_rounds: int
     return plan
 
 
-def plan_containers(counts: np.ndarray, capacity: int = CAPACITY, small: float = 0.12, groups: int = 64) -> list[tuple[int, int, int, int, int]]:
+def plan_containers(counts: np.ndarray, capacity: int = CAPACITY, small: float = 0.12, groups: int = 100) -> list[tuple[int, int, int, int, int]]:
     """Intervals (size, first rank, number, first container, offset): rank r is in container first + r - first rank.
 
     counts[s] is the number of items of s tokens, s from 1 to capacity; ranks
