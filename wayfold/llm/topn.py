@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 class LoserTree:
@@ -93,6 +94,8 @@ def top_n_per_group(df: DataFrame, groups: list[Column], names: list[str], item:
     bucketed = runs.repartition(*g).sortWithinPartitions(*g, "run", F.col("score").desc_nulls_last(), F.col("item").asc_nulls_last())
     out_schema = T.StructType([*(T.StructField(a, latest.schema[c].dataType) for a, c in zip(names, g)), T.StructField("item_rank", T.IntegerType()), T.StructField(item_name, latest.schema["item"].dataType)])
 
+    kinds = [to_arrow_type(f.dataType) for f in out_schema.fields]
+
     def merge(batches):
         def groups_of():
             key, parts, run = None, [], None
@@ -121,8 +124,6 @@ def top_n_per_group(df: DataFrame, groups: list[Column], names: list[str], item:
             yield batch(rows)
 
     def batch(rows):
-        cols = list(zip(*rows))
-        kinds = [pa.int32() if f.dataType == T.IntegerType() else None for f in out_schema.fields]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) if k else pa.array(c) if any(x is not None for x in c) else pa.nulls(len(c), pa.string()) for c, k in zip(cols, kinds)], out_schema.names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], out_schema.names)
 
     return bucketed.mapInArrow(merge, out_schema)
