@@ -115,3 +115,15 @@ def hybrid(dense: DataFrame, sparse: DataFrame, dense_weight: float = 0.7, spars
     norm = lambda df, c: df.crossJoin(df.agg(F.max("score").alias("top"))).select("id", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0).alias(c))
     both = norm(dense, "dense").join(norm(sparse, "sparse"), "id", "full")
     return both.select("id", (dense_weight * F.coalesce("dense", F.lit(0.0)) + sparse_weight * F.coalesce("sparse", F.lit(0.0))).alias("score"))
+
+
+def backfill(hits: DataFrame, contents: DataFrame, key: str, column: str) -> DataFrame:
+    """Hits with the content of the relational side, else their own; rank and other columns are kept."""
+    other = contents.select(key, F.col(column).alias("__c")).dropDuplicates([key])
+    return hits.join(other, key, "left").select(*[F.coalesce(F.nullif(F.col("__c"), F.lit("")), F.col(column)).alias(c) if c == column else F.col(c) for c in hits.columns])
+
+
+def latest_version(chunks: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """Rows of the newest version of each key."""
+    newest = chunks.groupBy(*keys).agg(F.max(version).alias(version))
+    return chunks.join(newest, [*keys, version], "left_semi")
