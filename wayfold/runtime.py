@@ -9,13 +9,16 @@ read.  The files therefore survive the loss of an executor.  Only on a plain
 from __future__ import annotations
 
 import atexit
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: str | None = None
 _WRITTEN: list[str] = []
+_SHIPPED: set[str] = set()
 
 
 def get_session(app: str = "wayfold", master: str | None = None, **conf) -> SparkSession:
@@ -34,6 +37,20 @@ def get_session(app: str = "wayfold", master: str | None = None, **conf) -> Spar
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors of the session, once, so that their Python workers can import it wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = pathlib.Path(__file__).parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="wayfold-code-"), "wayfold_code.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    sc.addPyFile(str(target))
+    _SHIPPED.add(sc.applicationId)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; Catalyst prunes its columns."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
