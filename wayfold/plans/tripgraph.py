@@ -117,7 +117,7 @@ def route_pairs(spark, d):
   SELECT k, unit, no::INT AS no, lo, hi FROM m UNION ALL SELECT k, unit, no::INT, lo, hi FROM w""")
 def date_split(spark, d):
     """Ranges cut into clipped months and weeks."""
-    o = load(spark, d, "orders").where("o_custkey % 25 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
+    o = load(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
     return op.date_split(o, "k", "a", "b", "month").withColumn("unit", F.lit("month")).unionByName(op.date_split(o, "k", "a", "b", "week").withColumn("unit", F.lit("week"))).select("k", "unit", "no", "lo", "hi")
 
 
