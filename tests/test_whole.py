@@ -3,9 +3,11 @@
 import datetime
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from wayfold.operators import vectors
 from test_catalog import duck, plain  # noqa: F401
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
@@ -34,3 +36,24 @@ def test_date_split_of_every_customer(spark, duck, data):
             p = sorted(parts[k])
             assert [x[0] for x in p] == list(range(1, len(p) + 1)) and (p[0][1], p[-1][2]) == (lo, hi)
             assert all(b[1] - a[2] == datetime.timedelta(1) for a, b in zip(p, p[1:]))
+
+
+EVERY = (" WHERE vec_id % 50 = 0", "")
+
+
+def test_similar_edges_of_every_vector(spark, duck, data):
+    rows = same(spark, duck, data, "similar_edges", SQL["similar_edges"].replace(*EVERY))
+    assert any(r.query_id % 50 for r in rows)
+
+
+@pytest.mark.parametrize("block", [7, 40, 1000])
+def test_similar_pairs_by_brute_force(spark, block):
+    rng = np.random.default_rng(1)
+    x = {i: [float(v) for v in rng.integers(-2, 3, 4)] for i in range(90)} | {90: None, 91: [], 92: [0.0] * 4, 93: [1.0]}
+    df = spark.createDataFrame(list(x.items()), "id long, vec array<float>")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in x.items() if v and len(v) == 4 and any(v)}
+    want = set()
+    for a in unit:
+        near = sorted((-round(float(unit[a] @ unit[b]), 9), b) for b in unit if b != a)
+        want |= {(a, b, -s, i + 1) for i, (s, b) in enumerate(near[:5]) if -s >= 0.5}
+    assert {(r.query_id, r.id, r.score, r.rank) for r in vectors.similar_pairs(df, 5, 4, 0.5, block).collect()} == want

@@ -7,9 +7,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Query vectors in a block and stored vectors in a block: one product of both fits a task's memory.
 QUERY_BLOCK, STORED_BLOCK = 512, 4096
+#: Vectors in a block of a self join, on average.
+SELF_BLOCK = 2048
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -60,6 +63,49 @@ def top_k(queries: DataFrame, stored: DataFrame, k: int, width: int, threshold:
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def similar_pairs(stored: DataFrame, k: int, width: int, threshold: float, block: int = SELF_BLOCK) -> DataFrame:
+    """(query_id, id, score, rank): for every vector the k others nearest to it by cosine, at or above a threshold, ties by id.
+
+    Exact.  Rows are filed into blocks by a hash of their id and sent once to
+    each pair of blocks that theirs is in; a pair is one matrix product in a
+    task, used in both directions, that keeps at most k rows of each vector.
+    The work is rows times rows, spread by pair, without a cross join.
+    """
+    rows = stored.select("id", F.coalesce("vec", F.array().cast(stored.schema["vec"].dataType)).alias("vec")).where("id is not null")
+    n = -(-rows.count() // block) or 1
+    b = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    filed = rows.withColumn("b", b).withColumn("o", other).select(F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "id", "vec")
+    kind = stored.schema["id"].dataType
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField("id", kind), T.StructField("score", T.DoubleType())])
+
+    def best(own, others, scores):
+        scores = np.where(own[:, None] == others[None, :], -2, scores)
+        for i in range(len(own)):
+            near = np.flatnonzero(scores[i] >= threshold)
+            near = near[np.lexsort((others[near], -scores[i][near]))[:k]]
+            yield own[np.full(len(near), i)], others[near], scores[i][near]
+
+    def run(pair: pa.Table) -> pa.Table:
+        blocks = pair.column("b").to_numpy()
+        ids, m = np.array(pair.column("id").to_pylist()), _matrix(pair.column("vec").combine_chunks(), width)
+        low = blocks == blocks.min()
+        x, y = (low, ~low) if not low.all() else (low, low)
+        alone = pair.column("lo")[0].as_py() != pair.column("hi")[0].as_py() and low.all()
+        found = []
+        if not alone:
+            scores = np.round(m[x] @ m[y].T, 9)
+            found += best(ids[x], ids[y], scores)
+            if x is not y:
+                found += best(ids[y], ids[x], scores.T)
+        parts = [np.concatenate(c) for c in zip(*found)] if found else [ids[:0], ids[:0], np.zeros(0)]
+        return pa.table(parts, schema=to_arrow_schema(schema))
+
+    hits = filed.groupBy("lo", "hi").applyInArrow(run, schema)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 @dataclass
 class InvertedFile:
     """A nearest-neighbour index: every vector is filed under its nearest centre; a query looks into the nearest few.

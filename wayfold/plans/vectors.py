@@ -1,4 +1,4 @@
-"""Vector queries over the embeddings; the query vectors are those whose id is divisible by 50."""
+"""Vector queries over the embeddings; the query vectors of a search are those whose id is divisible by 50."""
 
 from __future__ import annotations
 
@@ -46,8 +46,8 @@ def vector_topk_filtered(spark, d):
 
 @R.query(f"WITH {_ALL}, t AS ({_TOP}) SELECT query_id, id, round(s, 5) AS score, rank::INT AS rank FROM t WHERE rank <= 8 AND s >= 0.3")
 def similar_edges(spark, d):
-    """SIMILAR edges above a threshold, at most eight of a vector."""
-    return op.top_k(queries(spark, d), stored(spark, d), 8, WIDTH, threshold=0.3).withColumn("score", F.round("score", 5))
+    """SIMILAR edges of every vector above a threshold, at most eight of a vector."""
+    return op.similar_pairs(stored(spark, d), 8, WIDTH, 0.3).withColumn("score", F.round("score", 5))
 
 
 @R.query()
