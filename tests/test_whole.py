@@ -57,3 +57,15 @@ def test_similar_pairs_by_brute_force(spark, block):
         near = sorted((-round(float(unit[a] @ unit[b]), 9), b) for b in unit if b != a)
         want |= {(a, b, -s, i + 1) for i, (s, b) in enumerate(near[:5]) if -s >= 0.5}
     assert {(r.query_id, r.id, r.score, r.rank) for r in vectors.similar_pairs(df, 5, 4, 0.5, block).collect()} == want
+
+
+def test_coarse_fine_recall(spark, duck, data):
+    rows = same(spark, duck, data, "coarse_fine_recall", SQL["coarse_fine_recall"])
+    assert rows and all(r.content.strip() for r in rows)
+
+
+def test_fine_recall_stays_in_the_coarse_groups(spark):
+    angle = {0: (0, 0), 1: (1, 1), 2: (2, 2), 3: (3, 3), 4: (40, 1), 5: (50, 2), 6: (60, 1)}  # id: degrees, group
+    s = spark.createDataFrame([(i, [float(np.cos(np.radians(a))), float(np.sin(np.radians(a)))], g) for i, (a, g) in angle.items()], "id long, vec array<float>, g long")
+    got = vectors.coarse_fine(s.where("id = 0"), s, "g", 2, 4, 2).orderBy("rank").collect()
+    assert [(r.query_id, r.id, r.rank) for r in got] == [(0, 1, 1), (0, 2, 2), (0, 4, 3), (0, 5, 4)]  # 3 is near, but of no recalled group

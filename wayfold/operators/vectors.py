@@ -33,17 +33,19 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out / np.where(norm > 0, norm, 1)
 
 
-def top_k(queries: DataFrame, stored: DataFrame, k: int, width: int, threshold: float | None = None, exclude_self: bool = True) -> DataFrame:
+def top_k(queries: DataFrame, stored: DataFrame, k: int, width: int, threshold: float | None = None, exclude_self: bool = True, group: str | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k stored vectors nearest to each query by cosine, ties by id.
 
-    queries and stored have (id, vec).  Both are cut into blocks, and a pair of
+    queries and stored have (id, vec); with ``group``, a column of both, a row
+    of queries meets the stored rows of its group only.  Both are cut into blocks, and a pair of
     blocks is one matrix product in a task that keeps at most k rows of each
     query; then the best of the blocks are ranked.  The query set is a stated
     one (not every row), so the work is queries times rows, spread by block.
     """
-    qn = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("qv"))
-    q = qn.withColumn("qb", F.floor(F.monotonically_increasing_id() / QUERY_BLOCK)).groupBy("qb").agg(F.collect_list("query_id").alias("qi"), F.collect_list(F.coalesce("qv", F.array().cast(stored.schema["vec"].dataType))).alias("qm"))
-    s = stored.select("id", F.coalesce("vec", F.array().cast(stored.schema["vec"].dataType)).alias("vec")).withColumn("sb", F.floor(F.monotonically_increasing_id() / STORED_BLOCK)).groupBy("sb").agg(F.collect_list("id").alias("si"), F.collect_list("vec").alias("sm"))
+    by = [group] if group else []
+    qn = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("qv"), *by)
+    q = qn.withColumn("qb", F.floor(F.monotonically_increasing_id() / QUERY_BLOCK)).groupBy("qb", *by).agg(F.collect_list("query_id").alias("qi"), F.collect_list(F.coalesce("qv", F.array().cast(stored.schema["vec"].dataType))).alias("qm"))
+    s = stored.select("id", F.coalesce("vec", F.array().cast(stored.schema["vec"].dataType)).alias("vec"), *by).withColumn("sb", F.floor(F.monotonically_increasing_id() / STORED_BLOCK)).groupBy("sb", *by).agg(F.collect_list("id").alias("si"), F.collect_list("vec").alias("sm"))
     schema = T.StructType([T.StructField("query_id", queries.schema["id"].dataType), T.StructField("id", stored.schema["id"].dataType), T.StructField("score", T.DoubleType())])
 
     def run(batches):
@@ -58,11 +60,22 @@ def top_k(queries: DataFrame, stored: DataFrame, k: int, width: int, threshold:
                     order = order[scores[i][order] >= (threshold if threshold is not None else -1.5)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), qi[i])), pa.array(si[order]), pa.array(scores[i][order])], schema.names)
 
-    best = s.crossJoin(q).select("qi", "qm", "si", "sm").mapInArrow(run, schema)
+    best = (s.join(q, group) if group else s.crossJoin(q)).select("qi", "qm", "si", "sm").mapInArrow(run, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def coarse_fine(queries: DataFrame, stored: DataFrame, group: str, coarse: int, k: int, width: int) -> DataFrame:
+    """(query_id, id, score, rank): the k rows nearest to each query among the groups of its ``coarse`` nearest rows.
+
+    Coarse recall looks at all rows; fine recall reads the rows of recalled
+    groups only.
+    """
+    near = top_k(queries, stored, coarse, width).join(stored.select("id", group), "id").select("query_id", group).distinct()
+    wanted = near.join(queries.select(F.col("id").alias("query_id"), "vec"), "query_id").select(F.col("query_id").alias("id"), "vec", group)
+    return top_k(wanted, stored.join(near, group, "left_semi"), k, width, group=group)
+
+
 def similar_pairs(stored: DataFrame, k: int, width: int, threshold: float, block: int = SELF_BLOCK) -> DataFrame:
     """(query_id, id, score, rank): for every vector the k others nearest to it by cosine, at or above a threshold, ties by id.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from wayfold.functions.text import nonblank
 from wayfold.operators import vectors as op
 from wayfold.plans.registry import Registry
 from wayfold.runtime import load
@@ -89,9 +90,21 @@ def hybrid_search(spark, d):
 
 @R.query("""SELECT vec_id AS article_id, cl, rank::INT AS rank FROM (SELECT vec_id, label AS cl, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS rank FROM embeddings) WHERE rank <= 3""")
 def two_phase_recall(spark, d):
-    """Fine recall inside the coarse groups, by a semi-joined scan and a bounded rank."""
+    """The three rows of each label with the largest first coordinate, by a bounded rank; S7 and J6 are in ``coarse_fine_recall``."""
     e = load(spark, d, "embeddings").select(F.col("vec_id").alias("article_id"), F.col("label").alias("cl"), F.col("embedding")[0].alias("s"))
     return e.withColumn("rank", F.row_number().over(Window.partitionBy("cl").orderBy(F.desc("s"), "article_id"))).where("rank <= 3").drop("s")
 
 
+@R.query(f"""WITH {_ALL}, t AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label AS cl, round(list_cosine_similarity(q.v, e.v), 9) AS s FROM q JOIN e ON e.vec_id <> q.vec_id),
+  g AS (SELECT DISTINCT query_id, cl FROM (SELECT query_id, cl FROM t QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) <= 5)),
+  f AS (SELECT t.*, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM t SEMI JOIN g USING (query_id, cl))
+  SELECT query_id, id, cl, round(s, 5) AS score, rank::INT AS rank, title, source, text AS content FROM f JOIN documents ON doc_id = id WHERE rank <= 10 AND trim(text, chr(9) || chr(10) || chr(13) || ' ' || chr(160) || chr(12288)) <> ''""")
+def coarse_fine_recall(spark, d):
+    """Groups of the rows nearest to each stated query, the nearest rows inside these groups, and their content and metadata; hits without content are left out, the others keep their rank."""
+    s = stored(spark, d).withColumnRenamed("label", "cl")
+    hits = op.coarse_fine(queries(spark, d), s, "cl", 5, 10, WIDTH).join(s.select("id", "cl"), "id")
+    content = load(spark, d, "documents").select(F.col("doc_id").alias("id"), "title", "source", F.col("text").alias("content")).where(nonblank(F.col("content")).isNotNull())
+    return hits.join(content, "id").select("query_id", "id", "cl", F.round("score", 5).alias("score"), "rank", "title", "source", "content")
+
+
 QUERIES, SQL = R.queries, R.sql
