@@ -69,3 +69,15 @@ def test_fine_recall_stays_in_the_coarse_groups(spark):
     s = spark.createDataFrame([(i, [float(np.cos(np.radians(a))), float(np.sin(np.radians(a)))], g) for i, (a, g) in angle.items()], "id long, vec array<float>, g long")
     got = vectors.coarse_fine(s.where("id = 0"), s, "g", 2, 4, 2).orderBy("rank").collect()
     assert [(r.query_id, r.id, r.rank) for r in got] == [(0, 1, 1), (0, 2, 2), (0, 4, 3), (0, 5, 4)]  # 3 is near, but of no recalled group
+
+
+def test_cosine_of_every_pair(spark, duck, data):
+    rows = same(spark, duck, data, "cosine", SQL["cosine"].replace(*EVERY))
+    assert any(r.a % 50 for r in rows)
+
+
+def test_cosine_edges_at_any_id(spark, tmp_path):
+    x = {1: [1.0, 0.0], 2: None, 3: [1.0, 1.0], 4: [0.0, 0.0], 5: [2.0, 0.0], 6: [1.0], 7: [2.0], 9: [1.0]}
+    spark.createDataFrame([(i, v, 0) for i, v in x.items()], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.a, r.b): r.cosine for r in QUERIES["cosine"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 2): 0.0, (2, 3): 0.0, (3, 4): 0.0, (4, 5): 0.0, (5, 6): 0.0, (6, 7): 1.0}

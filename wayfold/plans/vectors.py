@@ -25,8 +25,8 @@ def queries(spark, d):
 
 @R.query(f"WITH {_ALL} SELECT q.vec_id AS a, e.vec_id AS b, {_SIM} AS cosine FROM q JOIN e ON e.vec_id = q.vec_id + 1")
 def cosine(spark, d):
-    """Cosine of given pairs, inside the JVM."""
-    a, b = queries(spark, d).toDF("a", "va", "la"), stored(spark, d).toDF("b", "vb", "lb")
+    """Cosine of each vector and its successor, inside the JVM."""
+    a, b = stored(spark, d).toDF("a", "va", "la"), stored(spark, d).toDF("b", "vb", "lb")
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(op.cosine(F.col("va"), F.col("vb")), 5).alias("cosine"))
 
 
