@@ -81,3 +81,24 @@ def test_cosine_edges_at_any_id(spark, tmp_path):
     spark.createDataFrame([(i, v, 0) for i, v in x.items()], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {(r.a, r.b): r.cosine for r in QUERIES["cosine"](spark, str(tmp_path)).collect()}
     assert got == {(1, 2): 0.0, (2, 3): 0.0, (3, 4): 0.0, (4, 5): 0.0, (5, 6): 0.0, (6, 7): 1.0}
+
+
+HYBRID = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 50 = 0),
+  t AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.v, e.v) AS score FROM e JOIN q ON q.vec_id <> e.vec_id),
+  sp AS (SELECT doc_id AS id, length(text) - length(replace(text, '的', '')) AS score FROM documents WHERE text LIKE '%的%'),
+  n AS (SELECT query_id, id, score / max(score) OVER (PARTITION BY query_id) AS s FROM t), m AS (SELECT q.vec_id AS query_id, id, score / (SELECT max(score) FROM sp)::DOUBLE AS s FROM sp, q),
+  r AS (SELECT query_id, id, round(0.7 * coalesce(n.s, 0) + 0.3 * coalesce(m.s, 0), 5) AS score FROM n FULL JOIN m USING (query_id, id))
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM r QUALIFY rank <= 20"""
+
+
+def test_hybrid_search_of_every_query(spark, duck, data):
+    rows = same(spark, duck, data, "hybrid_search", HYBRID)
+    assert len({r.query_id for r in rows}) == 10
+
+
+def test_hybrid_keeps_weak_and_lone_scores(spark):
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "id long, vec array<double>")
+    s = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.1, float(np.sqrt(0.99))]), (3, [-1.0, 0.0])], "id long, vec array<double>")
+    sparse = spark.createDataFrame([(2, 4.0), (9, 2.0), (0, 1.0)], "id long, score double")
+    got = [(r.id, r.score) for r in vectors.hybrid_top(q, s, sparse, 9).orderBy("rank").collect()]
+    assert got == [(1, 0.7), (2, 0.37), (9, 0.15), (0, 0.075), (3, -0.7)]

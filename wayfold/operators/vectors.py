@@ -176,6 +176,26 @@ def hybrid(dense: DataFrame, sparse: DataFrame, dense_weight: float = 0.7, spars
     return both.select("id", (dense_weight * F.coalesce("dense", F.lit(0.0)) + sparse_weight * F.coalesce("sparse", F.lit(0.0))).alias("score"))
 
 
+def hybrid_top(queries: DataFrame, stored: DataFrame, sparse: DataFrame, k: int, dense_weight: float = 0.7, sparse_weight: float = 0.3) -> DataFrame:
+    """(query_id, id, score, rank): the k best ids of each query by the weighted sum of its cosines and of the sparse scores, rounded to 5 places, ties by id.
+
+    The cosines are divided by the query's largest, the sparse scores (id,
+    score) by theirs; a missing score is 0, and a query's own vector has none.
+    Ids without a vector score the same for every query, so that the k best of
+    them are enough.
+    """
+    top = sparse.agg(F.max("score").alias("top"))
+    sp = sparse.crossJoin(top).select("id", (sparse_weight * F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0)).alias("sparse"))
+    q = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("qv"))
+    pairs = stored.select("id", "vec").crossJoin(q).select("query_id", "id", F.when(F.col("id") != F.col("query_id"), cosine(F.col("qv"), F.col("vec"))).alias("dense"))
+    best = pairs.groupBy("query_id").agg(F.max("dense").alias("best"))
+    dense = dense_weight * F.coalesce(F.when(F.col("best") > 0, F.col("dense") / F.col("best")), F.lit(0.0))
+    seen = pairs.join(best, "query_id").join(sp, "id", "left").where("dense is not null or sparse is not null").select("query_id", "id", F.round(dense + F.coalesce("sparse", F.lit(0.0)), 5).alias("score"))
+    alone = sp.join(stored, "id", "left_anti").select("id", F.round("sparse", 5).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    rows = seen.unionByName(alone.crossJoin(q.select("query_id")))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+
 def backfill(hits: DataFrame, contents: DataFrame, key: str, column: str) -> DataFrame:
     """Hits with the content of the relational side, else their own; rank and other columns are kept."""
     other = contents.select(key, F.col(column).alias("__c")).dropDuplicates([key])

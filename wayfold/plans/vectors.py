@@ -78,14 +78,10 @@ def graph_expand(spark, d):
   n AS (SELECT id, score / (SELECT max(score) FROM t) AS s FROM t WHERE score > 0.2), m AS (SELECT id, score / (SELECT max(score) FROM sp)::DOUBLE AS s FROM sp)
   SELECT coalesce(n.id, m.id) AS id, round(0.7 * coalesce(n.s, 0) + 0.3 * coalesce(m.s, 0), 5) AS score FROM n FULL JOIN m ON n.id = m.id ORDER BY score DESC, id LIMIT 20""")
 def hybrid_search(spark, d):
-    """Dense and sparse scores, normalised and weighted."""
-    q = stored(spark, d).where("id = 100").select(F.col("vec").alias("qv"))  # one row
-    dense = stored(spark, d).where("id <> 100").crossJoin(q).select("id", op.cosine(F.col("qv"), F.col("vec")).alias("score"))
+    """Dense scores of the stated queries and sparse scores, normalised, weighted and ranked by query."""
     docs = load(spark, d, "documents").where(F.col("text").contains("的"))
     sparse = docs.select(F.col("doc_id").alias("id"), (F.char_length("text") - F.char_length(F.replace("text", F.lit("的"), F.lit("")))).cast("double").alias("score"))
-    top = dense.agg(F.max("score").alias("top"))
-    d0 = dense.where("score > 0.2").crossJoin(top).select("id", (F.col("score") / F.col("top")).alias("score"))
-    return op.hybrid(d0, sparse).withColumn("score", F.round("score", 5)).orderBy(F.desc("score"), "id").limit(20)
+    return op.hybrid_top(queries(spark, d), stored(spark, d), sparse, 20)
 
 
 @R.query("""SELECT vec_id AS article_id, cl, rank::INT AS rank FROM (SELECT vec_id, label AS cl, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS rank FROM embeddings) WHERE rank <= 3""")
