@@ -5,9 +5,10 @@ import datetime
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from wayfold.operators import vectors
+from wayfold.operators import features, vectors
 from test_catalog import duck, plain  # noqa: F401
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
@@ -102,3 +103,13 @@ def test_hybrid_keeps_weak_and_lone_scores(spark):
     sparse = spark.createDataFrame([(2, 4.0), (9, 2.0), (0, 1.0)], "id long, score double")
     got = [(r.id, r.score) for r in vectors.hybrid_top(q, s, sparse, 9).orderBy("rank").collect()]
     assert got == [(1, 0.7), (2, 0.37), (9, 0.15), (0, 0.075), (3, -0.7)]
+
+
+def test_more_types_than_listed_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(features, "MAX_TYPES", 3)
+    h = spark.createDataFrame([("u", "a", "2025-01-01", True, 0.4)], "user_id string, article_id string, ts string, clicked boolean, preference double").withColumn("ts", F.col("ts").cast("timestamp"))
+    t = lambda n: spark.createDataFrame([(f"t{i}", True, i) for i in range(n)], "event_type string, clicked boolean, pref_tenths int")
+    for f in (features.feature_table, features.feature_rows):
+        assert f(h, t(3)).count() <= 1
+        with pytest.raises(ValueError, match="event types"):
+            f(h, t(5))

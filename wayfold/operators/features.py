@@ -14,7 +14,7 @@ from wayfold.runtime import materialize
 
 #: Types in a block: wide enough for few joins, narrow enough for one generated aggregation.
 BLOCK_TYPES = 32
-#: The type table is fixed; beyond so many rows it isn't broadcast and blocks aren't listed.
+#: The type table is fixed; beyond so many rows it isn't broadcast, and features of more names are refused with an error.
 MAX_TYPES = 10_000
 
 
@@ -56,7 +56,9 @@ def entity_blocks(events: DataFrame, type_names: list[str], block: int = BLOCK_T
 
 
 def _joined(history: DataFrame, types: DataFrame, block: int) -> tuple[DataFrame, list[str], list[str]]:
-    names = [r[0] for r in types.select("event_type").where("event_type is not null").distinct().orderBy("event_type").limit(MAX_TYPES).collect()]
+    names = [r[0] for r in types.select("event_type").where("event_type is not null").distinct().orderBy("event_type").limit(MAX_TYPES + 1).collect()]
+    if len(names) > MAX_TYPES:
+        raise ValueError(f"more than {MAX_TYPES} event types")
     table = history.select(nonblank(F.col("user_id")).alias("user_id")).where("user_id is not null").distinct()
     cols = []
     for k, b in enumerate(entity_blocks(typed_events(history, types), names, block)):
