@@ -113,3 +113,8 @@ def test_more_types_than_listed_are_refused(spark, monkeypatch):
         assert f(h, t(3)).count() <= 1
         with pytest.raises(ValueError, match="event types"):
             f(h, t(5))
+
+
+def test_decisions_match_the_whole_pool(spark, duck, data):
+    rows = same(spark, duck, data, "decision_match", SQL["decision_match"].replace(" WHERE candidate_id % 3 <> 0", ""))
+    assert any(r.candidate_id % 3 == 0 for r in rows)

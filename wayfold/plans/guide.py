@@ -87,7 +87,7 @@ def decision_match(spark, d):
     """Decisions found by hash, else by address."""
     c = cands(spark, d)
     dec = c.select(F.col("candidate_id").alias("decision_id"), F.when(F.col("candidate_id") % 2 == 0, F.col("url_hash")).alias("url_hash"), F.concat("url", F.lit("?from=x")).alias("url"))
-    return op.match_decisions(dec, c.where("candidate_id % 3 <> 0").select("candidate_id", "url_hash", "url"))
+    return op.match_decisions(dec, c.select("candidate_id", "url_hash", "url"))
 
 
 @R.query("""WITH h AS (SELECT candidate_id, candidate_id AS pos FROM zhihu_guide_candidates WHERE candidate_id % 11 = 0 AND status = 'accepted' ORDER BY pos LIMIT 10),
