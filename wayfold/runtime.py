@@ -86,6 +86,52 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder below the shared one, deleted by ``release``; it isn't created yet."""
+    path = f"{shared_root(spark).rstrip('/')}/wayfold-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+class Files:
+    """Small files and folders of any file system that the session knows, by its own client."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._io = spark._jvm.org.apache.commons.io.IOUtils
+        self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    def names(self, folder: str) -> list[str]:
+        """The names in a folder, in order; none if there is no folder."""
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder))) if self.exists(folder) else []
+
+    def size(self, path: str) -> int:
+        """Bytes of a file or of all files below a folder."""
+        return self._fs.getContentSummary(self._path(path)).getLength()
+
+    def read(self, path: str) -> str:
+        stream = self._fs.open(self._path(path))
+        try:
+            return self._io.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, path: str, text: str) -> None:
+        """The whole file or none: it is written under another name and then renamed."""
+        aside = self._path(f"{path}.{uuid.uuid4().hex}.tmp")
+        stream = self._fs.create(aside, True)
+        stream.write(bytearray(text, "utf-8"))
+        stream.close()
+        if not self._fs.rename(aside, self._path(path)):
+            raise OSError(f"{path} can't be written")
+
+    def delete(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the intermediate tables written so far; returns how many were found.
 
