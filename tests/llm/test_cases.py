@@ -116,26 +116,113 @@ def accepted_by_force(rows, threshold=0.5, least=60):
 CANDIDATE = "candidate_id long, batch_no int, title string, summary string, url_hash string, sig string, id long, t string"
 
 
-def test_backlog_equals_brute_force(spark):
-    rows = candidates()
+def decisions(df):
+    return {r.candidate_id: r.first_id for r in df.collect()}
+
+
+@pytest.mark.parametrize("options", [{}, {"part_bytes": 4000, "fan": 2}, {"task_rows": 0}], ids=["plain", "parts and merges", "rounds"])
+def test_batches_equal_brute_force(spark, tmp_path, options):
+    rows = candidates(60)
     df = spark.createDataFrame(rows, CANDIDATE)
-    assert {r.candidate_id: r.first_id for r in incremental.dedup_backlog(df).collect()} == accepted_by_force(rows)
-    twice = {r.candidate_id: r.first_id for r in incremental.dedup_backlog(df.union(df)).collect()}
-    assert twice == accepted_by_force(rows)
+    store = incremental.IncrementalDeduper(spark, f"file://{tmp_path}/store", **options)
+    assert decisions(incremental.dedup_in_batches(df, "batch_no", store)) == accepted_by_force(rows)
+    if "fan" in options:
+        assert max(t["level"] for t in store._tables()) > 0 and any(t["parts"] > 1 for t in store._tables())
+
+
+def test_one_batch_with_repeated_rows(spark, tmp_path):
+    rows = candidates(40)
+    df = spark.createDataFrame([(None, *rows[0][1:]), *rows, *rows[:5]], CANDIDATE)
+    store = incremental.IncrementalDeduper(spark, f"file://{tmp_path}/store")
+    assert decisions(store.add_batch(df)) == accepted_by_force(rows)
 
 
-def test_batches_equal_backlog(spark, tmp_path):
+def test_a_batch_that_is_broken_off_or_repeated_changes_nothing(spark, tmp_path, monkeypatch):
     rows = candidates(45)
     df = spark.createDataFrame(rows, CANDIDATE)
+    part = lambda b: df.where(f"batch_no = {b}")
     store = incremental.IncrementalDeduper(spark, f"file://{tmp_path}/store")
+    store.add_batch(part(1), "1")
+
+    def fail(*a, **k):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(store.files, "write", fail)
+        with pytest.raises(OSError):
+            store.add_batch(part(2), "2")
+    again = incremental.IncrementalDeduper(spark, f"file://{tmp_path}/store")  # a new process reads the markers
     got = {}
-    for b in (1, 2, 3):
-        got |= {r.candidate_id: r.first_id for r in store.add_batch(df.where(f"batch_no = {b}")).collect()}
-    assert got == accepted_by_force(rows)
+    for b in (1, 2, 2, 3, 1):
+        got |= decisions(again.add_batch(part(b), str(b)))
+    assert got == accepted_by_force(rows) and len(again.commits) == 3
+
+
+def test_a_small_batch_reads_few_parts(spark, tmp_path):
+    """One candidate's lookup reads a share of the block tables that falls as the history grows."""
+    r, shares = random.Random(8), []
+    store = incremental.IncrementalDeduper(spark, f"file://{tmp_path}/store", part_bytes=4000)
+    row = lambda i: (i, 1, prose(20, r), prose(120, r), f"u{i}", "", i, "")
+    for n, (lo, hi) in enumerate([(0, 60), (60, 1000)]):
+        store.add_batch(spark.createDataFrame([row(i) for i in range(lo, hi)], CANDIDATE), f"history {n}")
+        out = decisions(store.add_batch(spark.createDataFrame([(2000 + n, 1, None, None, f"U{lo} ", "", 0, "")], CANDIDATE), f"probe {n}"))
+        assert out == {2000 + n: lo}
+        shares.append(store.commits[-1]["bytes_read"] / store.commits[-1]["bytes_held"])
+    assert shares[1] < shares[0] / 4
+
+
+def test_no_candidates(spark, tmp_path):
+    empty = spark.createDataFrame([], CANDIDATE)
+    store = incremental.IncrementalDeduper(spark, f"file://{tmp_path}/store")
+    assert store.add_batch(empty, "1").count() == 0
+    assert incremental.dedup_in_batches(empty, "batch_no", store).count() == 0
+    assert decisions(store.add_batch(spark.createDataFrame([(1, None, None, None, " ", "", 1, ""), (2, None, "短", None, None, "", 1, "")], CANDIDATE), "2")) == {1: None, 2: None}
+
 
+@pytest.mark.parametrize("cell", [2, 3, 256])
+def test_band_pairs_of_hot_bands(spark, cell):
+    import itertools
 
-def test_backlog_empty(spark):
-    assert incremental.dedup_backlog(spark.createDataFrame([], CANDIDATE)).count() == 0
+    from wayfold.llm import minwise
+
+    r = random.Random(cell)
+    rows = [(i, b) for i in range(60) for b in {0, 1 + i % 2, r.randrange(100, 140), r.randrange(100, 140)} if b or i < 40]
+    by = {}
+    for i, b in rows:
+        by.setdefault(b, []).append(i)
+    want = {p for v in by.values() for p in itertools.combinations(sorted(v), 2)}
+    got = [tuple(x) for x in minwise.band_pairs(spark.createDataFrame(rows, "mid long, band long"), "test", cell).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert minwise.band_pairs(spark.createDataFrame([], "mid long, band long"), "test", cell).count() == 0
+
+
+def test_meet_over_small_batches():
+    """Runs that go on over Arrow batches are the runs of one batch."""
+    import itertools
+
+    import pyarrow as pa
+
+    from wayfold.llm import minwise
+
+    r = random.Random(4)
+    rows = sorted((r.randrange(25), i) for i in range(160))
+    for step in (1, 2, 7, 160):
+        for cell in (2, 5, 50):
+            batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + step])], ["band", "mid"]) for k in range(0, 160, step)]
+            pairs, cells = set(), {}
+            for out in minwise.meet(iter(batches), cell):
+                for a, b, band, no, ids in zip(*(c.to_pylist() for c in out.columns)):
+                    if a is not None:
+                        pairs.add((a, b))
+                    else:
+                        assert len(ids) <= cell and no == len(cells.setdefault(band, []))
+                        cells[band].append(ids)
+            for v in cells.values():
+                pairs |= set(itertools.combinations([i for ids in v for i in ids], 2))
+            by = {}
+            for band, i in rows:
+                by.setdefault(band, []).append(i)
+            assert pairs == {p for v in by.values() for p in itertools.combinations(v, 2)}, (step, cell)
 
 
 def test_a_chain_of_decisions(spark):

@@ -1,31 +1,46 @@
 """Problem 2: new batches checked for duplicates against everything accepted before.
 
-Method: fingerprints kept in block tables.  A candidate's fingerprint is cut
-into blocks; a block table holds (block key, candidate) rows; a new candidate
-looks its own blocks up, and hits are verified by their bit difference and
-then on the text.  Accepted candidates' fingerprints and blocks are appended.
-
-Plain SimHash bits can't serve the threshold of this data: two texts that share
-half of their substrings differ in 27 % of the bits, so that 99 % recall needs
-102 tables of 10-bit blocks (400 million candidates among 80,000 rows) or
-2,360 tables of 20 bits.  The bits of a block are therefore taken from
-min-wise hashes (four 8-bit lanes each, 96 blocks); the block tables, the
-lookups of exact blocks, the bit-difference check and the appending are those
-of the named method.
+Method: bit-difference fingerprints kept in block tables.  A candidate's
+fingerprint is cut into blocks, by one order of its lanes and then by rotated
+orders; a block table holds (block key, candidate) rows, and the address is one
+more block.  A new batch looks its own blocks up, the hits are verified by
+their bit difference and then on the text, and the fingerprints and blocks of
+the newly accepted are appended.  Neither texts nor fingerprints of the history
+are read but for hits, and nothing of it is signed or compared again.
+
+Plain SimHash bits can't serve the threshold of this data: texts that share
+half of their substrings differ in a quarter of the bits, so that 99.7 % recall
+takes 128 tables of 12-bit blocks, in which 3.6 % of all pairs meet.  The bits
+of a block are therefore those of min-wise hashes (four 8-bit lanes each, 96
+blocks), whose blocks unrelated texts hardly ever share.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from wayfold.functions.text import squeeze_out, strip
-from wayfold.llm.minwise import MinwiseScheme, candidate_pairs, classes_of, content_keys, estimate, explode_bands, jaccard_at_least, sign, verified_pairs
-from wayfold.runtime import materialize
+from wayfold.llm.minwise import MinwiseScheme, band_keys, band_pairs, content_keys, estimate, explode_bands, jaccard_at_least, signatures_of
+from wayfold.runtime import Files, materialize
 
 CANDIDATE_SCHEME = MinwiseScheme(threshold=0.5, min_chars=60, lanes=192, bits=8, bands=96, rows=4)
+#: A batch of at most so many block keys is broadcast against the stored tables; a larger one is joined with them by a shuffle.
+LOOKUP_KEYS = 1 << 18
+#: At most so many hits travel to the stored fingerprints by a broadcast; more by a shuffle.
+LOOKUP_HITS = 1 << 15
+#: At most so many rows and links of a batch are decided in one task; more in rounds over distributed tables.
+TASK_ROWS = 1 << 20
+#: Bytes of a part of a block table, about.
+PART_BYTES = 16 << 20
+#: So many tables of one level are merged into one of the next.
+FAN = 8
+
+_BLOCK_BITS = 44
 
 
 def address_key(url_hash: Column) -> Column:
@@ -46,106 +61,326 @@ def resolve_first_accepted(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Returns (id, first_id): first_id is null for an accepted id, else the
     smallest accepted id that it matches.
 
-    An id is accepted once all smaller ids that it matches are known repeats,
-    and a repeat once it matches a smaller accepted one.  A round settles every
-    id that can be settled, by minima per group only; no pair inside a group is
-    formed.  The rounds end with the longest chain of decisions, not with the
-    number of ids.
+    An id is accepted once no smaller open id matches it, and a repeat once it
+    matches a smaller accepted one.  A round takes up open ids only and works
+    by minima per group; no pair inside a group is formed.  Every round settles
+    the smallest open id of each component at least, so there are at most as
+    many rounds as the longest chain of decisions.
     """
-    ids = nodes.select("id").distinct()
-    state = materialize(ids.select("id", F.lit(0).alias("s"), F.lit(None).cast(ids.schema["id"].dataType).alias("first_id")), "round")  # 0 open, 1 accepted, 2 repeat
+    unique = nodes.distinct()
+
+    def around(values: DataFrame) -> DataFrame:
+        """(g, id): the smallest id of each group and the groups linked to it."""
+        low = values.groupBy("g").agg(F.min("id").alias("id"))
+        return low.union(links.join(low, "g").select(F.col("h").alias("g"), "id")).groupBy("g").agg(F.min("id").alias("id"))
+
+    open_nodes, taken = unique, []
     while True:
-        live = nodes.join(state.where("s < 2"), "id")
-        per_group = live.groupBy("g").agg(F.min("id").alias("low"), F.min(F.when(F.col("s") == 1, F.col("id"))).alias("low_acc"))
-        seen = per_group.union(links.join(per_group, "g").select(F.col("h").alias("g"), "low", "low_acc"))
-        seen = seen.groupBy("g").agg(F.min("low").alias("low"), F.min("low_acc").alias("low_acc"))
-        around = nodes.join(seen, "g").groupBy("id").agg(F.min("low").alias("low"), F.min("low_acc").alias("low_acc"))
-        repeat = (F.col("s") == 0) & (F.col("low_acc") < F.col("id"))
-        taken = (F.col("s") == 0) & ~F.coalesce(repeat, F.lit(False)) & (F.col("low") == F.col("id"))
-        new = F.when(repeat, 2).when(taken, 1).otherwise(F.col("s"))
-        # a later round may find a smaller accepted id for a repeat, so it is kept up to date
-        first = F.when(new == 2, F.least("first_id", F.when(F.col("low_acc") < F.col("id"), F.col("low_acc"))))
-        state = materialize(state.join(around, "id", "left").select("id", new.alias("s"), first.alias("first_id")), "round")
-        if not state.where("s = 0").limit(1).count():
+        low = around(open_nodes).withColumnRenamed("id", "low")
+        first = open_nodes.join(low, "g").groupBy("id").agg(F.min("low").alias("low")).where("low = id").select("id")
+        taken.append(materialize(open_nodes.join(first, "id", "left_semi"), "taken"))
+        hit = around(taken[-1]).withColumnRenamed("id", "acc")
+        settled = open_nodes.join(hit, "g").where("acc <= id").select("id").distinct()
+        open_nodes = materialize(open_nodes.join(settled, "id", "left_anti"), "open")
+        if not open_nodes.limit(1).count():
             break
-    live = nodes.join(state.where("s = 1").select("id"), "id").groupBy("g").agg(F.min("id").alias("acc"))
-    seen = live.union(links.join(live, "g").select(F.col("h").alias("g"), "acc")).groupBy("g").agg(F.min("acc").alias("acc"))
-    best = nodes.join(seen, "g").groupBy("id").agg(F.min("acc").alias("acc"))
-    return state.join(best, "id", "left").select("id", F.when(F.col("s") == 2, F.col("acc")).alias("first_id"))
+    accepted = taken[0]
+    for t in taken[1:]:
+        accepted = accepted.union(t)
+    best = around(accepted).withColumnRenamed("id", "acc")
+    found = unique.join(best, "g").groupBy("id").agg(F.min("acc").alias("acc"))
+    return found.select("id", F.when(F.col("acc") < F.col("id"), F.col("acc")).alias("first_id"))
 
 
-def dedup_backlog(df: DataFrame, scheme: MinwiseScheme = CANDIDATE_SCHEME) -> DataFrame:
-    """(candidate_id, first_id) of all candidates: first_id is null for the accepted ones.
+def _decide(members: list[tuple], links: list[tuple]) -> list[tuple[int, int | None]]:
+    """The same decisions, and those against the history, in one pass in order of id.
 
-    Replays all batches at once; gives what IncrementalDeduper gives batch by
-    batch.  Null title or summary counts as empty, a null or blank url_hash
-    matches none, a wording below ``min_chars`` agrees with none.  candidate_id
-    orders the stream; rows with a null id are left out; a repeated id counts
-    once, with the groups of all its rows.  An empty table gives an empty one.
+    members: (id, wording class or None, address class or None); links:
+    (of wordings, with history, class, accepted id or class).
     """
-    text = wording(F.col("title"), F.col("summary"))
-    rows = df.where(F.col("candidate_id").isNotNull())
-    signed = sign(rows, "candidate_id", text, scheme, "p2-signed")
-    classes = classes_of(signed)
-    pairs = candidate_pairs(signed, classes, scheme, "p2-candidates")
-    links = verified_pairs(pairs, signed, rows.select(F.col("candidate_id").alias("id"), text.alias("t")), scheme, "p2-links")
-    in_class = signed.select("id", "h1", "h2").join(classes, ["h1", "h2"]).select("id", F.concat(F.lit("w"), "cid").alias("g"))
-    in_address = rows.select(F.col("candidate_id").alias("id"), F.concat(F.lit("u"), address_key(F.col("url_hash"))).alias("g")).where("g is not null")
-    nodes = in_class.union(in_address).distinct()
-    linked = links.select(F.concat(F.lit("w"), "a").alias("g"), F.concat(F.lit("w"), "b").alias("h"))
-    linked = linked.union(linked.select("h", "g"))
-    # groups of one row without a link decide nothing
-    sizes = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    busy = sizes.where("n > 1").select("g").union(linked.select("g")).distinct()
-    nodes = materialize(nodes.join(busy, "g", "left_semi"), "p2-nodes")
-    settled = resolve_first_accepted(nodes, linked)
-    return rows.select("candidate_id").distinct().join(settled.withColumnRenamed("id", "candidate_id"), "candidate_id", "left")
+    old: dict[tuple, int] = {}
+    near: dict[tuple, list[tuple]] = {}
+    for worded, historic, a, b in links:
+        if historic:
+            old[worded, a] = min(b, old.get((worded, a), b))
+        else:
+            near.setdefault((worded, a), []).append((worded, b))
+            near.setdefault((worded, b), []).append((worded, a))
+    groups: dict[int, set] = {}
+    for i, c, u in members:
+        groups.setdefault(i, set()).update(g for g in ((True, c), (False, u)) if g[1] is not None)
+    accepted: dict[tuple, int] = {}
+    out = []
+    for i in sorted(groups):
+        hits = [old[g] for g in groups[i] if g in old]
+        hits += [accepted[h] for g in groups[i] for h in (g, *near.get(g, ())) if h in accepted]
+        if not hits:
+            accepted |= dict.fromkeys(groups[i], i)
+        out.append((i, min(hits) if hits else None))
+    return out
 
 
 class IncrementalDeduper:
-    """Accepted candidates' fingerprints in a folder; each batch reads block keys, not history texts.
+    """Everything accepted so far, in a folder: fingerprints by candidate and block tables by key.
 
-    ``blocks`` (band, id) and ``accepted`` (id, u, h1, h2, sig, t) are appended
-    to after each batch.  A batch joins its block keys with the block table and
-    fetches the fingerprint and text of hits only.
+    ``commits/<no>`` is the marker of a batch and names the tables that stand
+    after it; tables without a marker are not read, so a batch that was broken
+    off and is repeated changes nothing, and a batch that was committed is not
+    applied again: its decisions are returned.  Tables are divided into parts
+    by key, as many as their size asks for, and a batch reads only the parts
+    that its keys fall into.  ``fan`` tables of one level are merged into one
+    of the next, so that there are few tables however many batches came.
+    One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, scheme: MinwiseScheme = CANDIDATE_SCHEME):
-        self.spark, self.folder, self.scheme = spark, folder.rstrip("/"), scheme
+    def __init__(self, spark: SparkSession, folder: str, scheme: MinwiseScheme = CANDIDATE_SCHEME, part_bytes: int = PART_BYTES, fan: int = FAN, task_rows: int = TASK_ROWS):
+        self.spark, self.folder, self.scheme, self.part_bytes, self.fan, self.task_rows = spark, folder.rstrip("/"), scheme, part_bytes, fan, task_rows
+        self.files = Files(spark, folder)
+        self.commits = [json.loads(self.files.read(f"{self.folder}/commits/{n}")) for n in self.files.names(f"{self.folder}/commits") if n.endswith(".json")]
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.folder}/{name}")
+    # -- tables
 
-    def add_batch(self, batch: DataFrame) -> DataFrame:
-        """Check a batch against history and itself; returns (candidate_id, first_id) and appends the accepted."""
-        s = self.scheme
-        text = wording(F.col("title"), F.col("summary"))
-        rows = materialize(batch.where(F.col("candidate_id").isNotNull()).select(F.col("candidate_id").alias("id"), address_key(F.col("url_hash")).alias("u"), text.alias("t")), "batch")
-        kept = "id bigint, u string, h1 bigint, h2 bigint, sig array<bigint>, t string"
-        old, blocks = self._read("accepted", kept), self._read("blocks", "id bigint, band bigint")
-        signed = sign(rows.select("id", "t"), "id", F.col("t"), s, "batch-signed")
-        own = signed.select("id", "sig").join(rows.select("id", "t"), "id")
-        # exact block matches, then bit difference, then text
-        hits = explode_bands(signed.select("id", "sig"), "id", s).join(blocks.withColumnRenamed("id", "old"), "band").select("id", "old").distinct()
-        seen = hits.join(own, "id").join(old.select(F.col("id").alias("old"), F.col("sig").alias("so"), F.col("t").alias("to")), "old")
-        near = seen.where(estimate(F.col("sig"), F.col("so"), s) >= s.floor())
-
-        @F.arrow_udf(T.BooleanType())
-        def same(x: pa.Array, y: pa.Array) -> pa.Array:
-            return pa.array(jaccard_at_least(x.to_pylist(), y.to_pylist(), s.shingle, s.threshold), pa.bool_())
-
-        worded = near.where(same("t", "to")).select("id", "old")
-        addressed = rows.where("u is not null").join(old.select(F.col("u"), F.col("id").alias("old")).where("u is not null"), "u").select("id", "old")
-        against = materialize(worded.union(addressed).groupBy("id").agg(F.min("old").alias("first_old")), "batch-hits")
-        fresh = rows.join(against, "id", "left_anti")
-        within = dedup_backlog(fresh.select(F.col("id").alias("candidate_id"), F.lit("").alias("title"), F.col("t").alias("summary"), F.col("u").alias("url_hash")), s)
-        out = materialize(within.union(against), "batch-out")
-        new = out.where("first_id is null").select(F.col("candidate_id").alias("id"))
-        entry = rows.join(new, "id", "left_semi").dropDuplicates(["id"]).select("id", "u", *content_keys(F.col("t")), "t").join(signed.select("id", "sig").dropDuplicates(["id"]), "id", "left")
-        part = uuid.uuid4().hex
-        entry.select("id", "u", "h1", "h2", "sig", "t").write.parquet(f"{self.folder}/accepted/{part}")
-        explode_bands(entry.where("sig is not null"), "id", s).write.parquet(f"{self.folder}/blocks/{part}")
+    def _tables(self) -> list[dict]:
+        return self.commits[-1]["tables"] if self.commits else []
+
+    def _commit(self, name: str | None, tables: list[dict], **notes) -> None:
+        c = {"batch": name, "tables": tables} | notes
+        self.files.write(f"{self.folder}/commits/{len(self.commits):09d}.json", json.dumps(c))
+        self.commits.append(c)
+
+    def _listed(self, path: str, parts: int, level: int) -> dict:
+        """What a marker says of a table: its folder and the parts that exist."""
+        at = lambda kind: [int(n[5:]) for n in self.files.names(f"{path}/kind={kind}") if n.startswith("part=")]
+        return {"path": path, "level": level, "parts": parts, "rows": at("rows"), "blocks": at("blocks")}
+
+    def _paths(self, kind: str, hit: set[int] | None, most: int) -> list[str]:
+        """The folders of the parts that ``hit``, numbers modulo ``most``, falls into; of all parts for None."""
+        out = []
+        for t in self._tables():
+            want = None if hit is None else {h % t["parts"] for h in hit}
+            out += [f"{t['path']}/kind={kind}/part={p}" for p in t[kind] if want is None or p in want]
         return out
+
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def decisions(self, names: list[str] | None = None) -> DataFrame:
+        """(candidate_id, first_id) of the named batches, or of all; first_id is null for the accepted."""
+        paths = [c["decisions"] for c in self.commits if c["batch"] is not None and (names is None or c["batch"] in names)]
+        return self._read([p for p in paths if p], "candidate_id bigint, first_id bigint").distinct()
+
+    # -- a batch
+
+    def _signed(self, batch: DataFrame) -> tuple[DataFrame, int]:
+        """The written rows (id, u, t, h1, h2, sig) of a batch and their number; sig is null for a wording that agrees with none."""
+        s = self.scheme
+        rows = batch.where(F.col("candidate_id").isNotNull()).select(F.col("candidate_id").cast("bigint").alias("id"), address_key(F.col("url_hash")).alias("u"), wording(F.col("title"), F.col("summary")).alias("t"))
+
+        def run(batches):
+            for b in batches:
+                texts = b.column("t").to_pylist()
+                own = np.array([i for i, t in enumerate(texts) if len(t) >= max(s.min_chars, s.shingle)], np.int64)
+                sig = signatures_of([texts[i] for i in own], s) if len(own) else np.zeros((0, s.words), np.int64)
+                ends = np.zeros(len(texts) + 1, np.int32)
+                ends[own + 1] = s.words
+                has = np.zeros(len(texts), bool)
+                has[own] = True
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(sig.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([v if h else None for v, h in zip(lists.to_pylist(), has)], pa.list_(pa.int64()))], [*b.schema.names, "sig"])
+
+        seen = Observation()
+        signed = rows.select("id", "u", "t", *content_keys(F.col("t"))).mapInArrow(run, "id bigint, u string, t string, h1 bigint, h2 bigint, sig array<bigint>")
+        return materialize(signed.observe(seen, F.count(F.lit(1)).alias("n")), "p2-batch"), seen.get["n"]
+
+    def _look_up(self, keys: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
+        """(worded, a, b): accepted candidates b that share a block with a class a of the batch; and the bytes of the parts read."""
+        most = max((t["parts"] for t in self._tables()), default=1)
+        hit = None
+        if most > 1 and n_keys < 8 * most:  # more keys fall into every part
+            hit = {r[0] for r in keys.select(F.pmod("key", F.lit(most)).cast("int")).distinct().collect()}
+        paths = self._paths("blocks", hit, most)
+        stored = self._read(paths, "key bigint, id bigint")
+        mine = F.broadcast(keys) if n_keys <= LOOKUP_KEYS else keys
+        worded = F.shiftright("key", _BLOCK_BITS) < self.scheme.bands
+        return stored.join(mine, "key").select(worded.alias("worded"), "a", F.col("id").alias("b")).distinct(), sum(self.files.size(p) for p in paths)
+
+    def add_batch(self, batch: DataFrame, name: str | None = None) -> DataFrame:
+        """Check a batch (candidate_id, title, summary, url_hash) against everything accepted and against itself, and append what it accepts.
+
+        Returns (candidate_id, first_id): first_id is null for an accepted
+        candidate, else the smallest accepted one that it matches.  Within the
+        batch candidates are taken by rising id.  Null title or summary counts
+        as empty, a null or blank url_hash matches none, a wording below
+        ``min_chars`` agrees with none; rows with a null id are left out; a
+        repeated id counts once, with the wordings and addresses of all its
+        rows; an empty batch is committed like any other.
+        """
+        name = name or uuid.uuid4().hex
+        if any(c["batch"] == name for c in self.commits):
+            return self.decisions([name])
+        s = self.scheme
+        signed, n = self._signed(batch)
+        # one representative for each wording and address: copies that fill the batch are looked up once
+        classes = signed.where("sig is not null").groupBy("h1", "h2").agg(F.min(F.struct("id", "sig", "t")).alias("m"))
+        reps = classes.select(F.col("m.id").alias("mid"), "m.sig", "m.t")
+        addresses = signed.where("u is not null").groupBy("u").agg(F.min("id").alias("aid"))
+        address_block = F.shiftrightunsigned(F.xxhash64("u"), 64 - _BLOCK_BITS).bitwiseOR(F.lit(s.bands << _BLOCK_BITS))
+        keys = explode_bands(reps, "mid", s).toDF("a", "key").union(addresses.select("aid", address_block))
+        hits, looked = self._look_up(keys, n * (s.bands + 1))
+        within = band_pairs(explode_bands(reps, "mid", s), "p2-met").select(F.lit(True), F.lit(False), "a", "b")
+        seen = Observation()
+        met = materialize(hits.select("worded", F.lit(True).alias("old"), "a", "b").union(within).observe(seen, F.count(F.lit(1)).alias("n")), "p2-candidates")
+        n_met = seen.get["n"]
+
+        # the stored rows of hits only
+        most = max((t["parts"] for t in self._tables()), default=1)
+        hit = None
+        if most > 1:
+            hit = {r[0] for r in met.where("old").select(F.pmod(F.xxhash64("b"), F.lit(most)).cast("int")).distinct().collect()}
+        paths = self._paths("rows", hit, most)
+        looked += sum(self.files.size(p) for p in paths)
+        stored = self._read(paths, "id bigint, u string, t string, sig array<bigint>").select(F.lit(True).alias("old"), F.col("id").alias("b"), F.col("u").alias("ub"), F.col("sig").alias("sb"), F.col("t").alias("tb"))
+        others = stored.unionByName(reps.select(F.lit(False).alias("old"), F.col("mid").alias("b"), F.lit(None).cast("string").alias("ub"), F.col("sig").alias("sb"), F.col("t").alias("tb")))
+        mine = reps.select(F.lit(True).alias("worded"), F.col("mid").alias("a"), F.lit(None).cast("string").alias("ua"), F.col("sig").alias("sa"), F.col("t").alias("ta"))
+        mine = mine.union(addresses.select(F.lit(False), "aid", "u", F.lit(None).cast("array<bigint>"), F.lit(None).cast("string")))
+        asked = met.join(mine, ["worded", "a"])
+        both = others.join(F.broadcast(asked) if n_met <= LOOKUP_HITS else asked, ["old", "b"])
+        near = (F.col("worded") & (estimate(F.col("sa"), F.col("sb"), s) >= s.floor())) | (~F.col("worded") & (F.col("ua") == F.col("ub")))
+
+        def verify(batches):
+            for b in batches:
+                worded = b.column("worded").to_numpy(zero_copy_only=False)
+                ok = ~worded
+                at = np.flatnonzero(worded)
+                ok[at] = jaccard_at_least(b.column("ta").take(pa.array(at)).to_pylist(), b.column("tb").take(pa.array(at)).to_pylist(), s.shingle, s.threshold)
+                yield b.select(["worded", "old", "a", "b"]).filter(pa.array(ok))
+
+        links = materialize(both.where(near).select("worded", "old", "a", "b", "ta", "tb").mapInArrow(verify, "worded boolean, old boolean, a bigint, b bigint"), "p2-links")
+        named = signed.join(classes.select("h1", "h2", F.col("m.id").alias("cid")), ["h1", "h2"], "left").join(addresses, "u", "left")
+        members = named.select("id", F.when(F.col("sig").isNotNull(), F.col("cid")).alias("cid"), "aid")
+        small = n + n_met <= self.task_rows
+        decided = self._decided_in_task(members, links) if small else self._decided_in_rounds(members, links)
+        self._append(name, signed, decided, n, looked)
+        return self.decisions([name])
+
+    def _decided_in_task(self, members: DataFrame, links: DataFrame) -> DataFrame:
+        """Decisions of at most ``task_rows`` rows and links."""
+        none = F.lit(None)
+        rows = members.select(F.lit(True).alias("member"), none.cast("boolean").alias("worded"), none.cast("boolean").alias("old"), F.col("id").alias("x"), F.col("cid").alias("y"), F.col("aid").alias("z"))
+        rows = rows.union(links.select(F.lit(False), "worded", "old", "a", "b", none.cast("bigint")))
+
+        def run(batches):
+            m, k = [], []
+            for b in batches:
+                for member, worded, old, x, y, z in zip(*(c.to_pylist() for c in b.columns)):
+                    if member:
+                        m.append((x, y, z))
+                    else:
+                        k.append((worded, old, x, y))
+            out = _decide(m, k)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["id", "first_id"])
+
+        return rows.coalesce(1).mapInArrow(run, "id bigint, first_id bigint")
+
+    def _decided_in_rounds(self, members: DataFrame, links: DataFrame) -> DataFrame:
+        """The same for batches of any size."""
+        name = lambda w, c: F.concat(F.when(w, "w").otherwise("u"), c.cast("string"))
+        groups = F.explode(F.filter(F.array(name(F.lit(True), F.col("cid")), name(F.lit(False), F.col("aid"))), lambda g: g.isNotNull()))
+        nodes = members.select("id", groups.alias("g")).distinct()
+        old = links.where("old").select(name(F.col("worded"), F.col("a")).alias("g"), F.col("b").alias("acc"))
+        against = materialize(nodes.join(old, "g").groupBy("id").agg(F.min("acc").alias("acc")), "p2-against")
+        fresh = materialize(nodes.join(against, "id", "left_anti"), "p2-fresh")
+        inner = links.where("not old").select(name(F.col("worded"), F.col("a")).alias("g"), name(F.col("worded"), F.col("b")).alias("h"))
+        inner = inner.union(inner.select("h", "g"))
+        among = resolve_first_accepted(fresh, inner)
+        # a repeat of the history may also match a smaller one that this batch accepted
+        taken = fresh.join(among.where("first_id is null").select("id"), "id", "left_semi").groupBy("g").agg(F.min("id").alias("acc"))
+        taken = taken.union(inner.join(taken, "g").select(F.col("h").alias("g"), "acc"))
+        late = nodes.join(against.select("id"), "id", "left_semi").join(taken, "g").groupBy("id").agg(F.min("acc").alias("own"))
+        repeats = against.join(late, "id", "left").select("id", F.least("acc", "own").alias("first_id"))
+        settled = repeats.union(among)
+        return members.select("id").distinct().join(settled, "id", "left")
+
+    def _append(self, name: str, signed: DataFrame, decided: DataFrame, n: int, looked: int) -> None:
+        """Write the batch's decisions and the fingerprints and blocks of what it accepts, then its marker."""
+        s, path = self.scheme, f"{self.folder}/tables/{name}"
+        parts = self._parts(n * (s.bands + 1) * 12)
+        rows = signed.dropDuplicates(["id", "u", "h1", "h2"]).join(decided, "id").select("id", "first_id", "u", "t", "sig", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p"), F.shiftrightunsigned(F.xxhash64("u"), 64 - _BLOCK_BITS).bitwiseOR(F.lit(s.bands << _BLOCK_BITS)).alias("address"))
+        schema = "kind string, part int, id bigint, candidate_id bigint, first_id bigint, u string, t string, sig array<bigint>, key bigint"
+        names = ["kind", "part", "id", "candidate_id", "first_id", "u", "t", "sig", "key"]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64()]
+
+        def unfold(batches):
+            def out(kind, count, **cols):
+                full = [pa.array([kind] * count) if c == "kind" else cols.get(c, None) for c in names]
+                return pa.RecordBatch.from_arrays([pa.nulls(count, k) if v is None else v.cast(k) for v, k in zip(full, kinds)], names)
+
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                yield out("decisions", b.num_rows, part=pa.array(np.zeros(b.num_rows, np.int32)), candidate_id=b.column("id"), first_id=b.column("first_id"))
+                kept = b.filter(pa.compute.is_null(b.column("first_id")))
+                if not kept.num_rows:
+                    continue
+                yield out("rows", kept.num_rows, part=kept.column("p"), id=kept.column("id"), u=kept.column("u"), t=kept.column("t"), sig=kept.column("sig"))
+                addressed = kept.filter(pa.compute.is_valid(kept.column("u")))
+                keys, ids = [addressed.column("address").to_numpy()], [addressed.column("id").to_numpy()]
+                worded = kept.filter(pa.compute.is_valid(kept.column("sig")))
+                if worded.num_rows:
+                    sig = worded.column("sig").flatten().to_numpy(zero_copy_only=False).reshape(worded.num_rows, -1)
+                    keys.append(band_keys(sig, s).reshape(-1))
+                    ids.append(np.repeat(worded.column("id").to_numpy(), s.bands))
+                key, own = np.concatenate(keys).astype(np.int64), np.concatenate(ids)
+                yield out("blocks", len(key), part=pa.array((key % parts).astype(np.int32)), id=pa.array(own), key=pa.array(key))
+
+        flat = rows.mapInArrow(unfold, schema)
+        flat = flat.coalesce(2) if parts == 1 else flat.repartition(2 * parts, "kind", "part")
+        flat.sortWithinPartitions("kind", "part", "key").write.mode("overwrite").option("compression", "zstd").partitionBy("kind", "part").parquet(path)
+        new = self._listed(path, parts, 0)
+        made = f"{path}/kind=decisions/part=0"
+        self._commit(name, [*self._tables(), new], decisions=made if self.files.exists(made) else None, bytes_read=looked, bytes_held=sum(self.files.size(p) for k in ("blocks", "rows") for p in self._paths(k, None, 1)))
+        self._merge()
+
+    def _parts(self, size: int) -> int:
+        return 1 << max(0, (max(1, size) - 1) // self.part_bytes).bit_length()
+
+    def _merge(self) -> None:
+        """Merge the tables of a level once there are ``fan`` of them; a commit of its own."""
+        levels: dict[int, list[dict]] = {}
+        for t in self._tables():
+            levels.setdefault(t["level"], []).append(t)
+        for level, group in sorted(levels.items()):
+            if len(group) < self.fan:
+                continue
+            path = f"{self.folder}/tables/merged-{uuid.uuid4().hex}"
+            kinds = {"blocks": ("key bigint, id bigint", F.col("key")), "rows": ("id bigint, u string, t string, sig array<bigint>", F.xxhash64("id"))}
+            sources = {k: [f"{t['path']}/kind={k}/part={p}" for t in group for p in t[k]] for k in kinds}
+            parts = self._parts(sum(self.files.size(p) for p in sources["blocks"]))
+            for kind, (schema, by) in kinds.items():
+                if sources[kind]:
+                    laid = self._read(sources[kind], schema).withColumn("part", F.pmod(by, F.lit(parts)).cast("int"))
+                    laid.repartition(parts, "part").sortWithinPartitions("part", *(["key"] if kind == "blocks" else [])).write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/kind={kind}")
+            merged = self._listed(path, parts, level + 1)
+            self._commit(None, [t for t in self._tables() if t not in group] + [merged])
+            for t in group:  # no marker in force names them any more
+                for k in kinds:
+                    self.files.delete(f"{t['path']}/kind={k}")
+            return self._merge()
+
+
+def dedup_in_batches(df: DataFrame, batch_col: str, store: IncrementalDeduper) -> DataFrame:
+    """(candidate_id, first_id) of all rows, added to ``store`` batch by batch.
+
+    Batches come in order of ``batch_col``, rows without a batch number first;
+    see ``IncrementalDeduper.add_batch`` for all else.  The numbers of the
+    batches are gathered by the driver, one for each batch; an empty table has
+    no batch and gives an empty result.
+    """
+    numbers = [r[0] for r in df.select(F.col(batch_col)).distinct().orderBy(F.col(batch_col).asc_nulls_first()).collect()]
+    names = []
+    for no in numbers:
+        mine = df.where(F.col(batch_col).isNull() if no is None else F.col(batch_col) == no)
+        names.append(f"batch-{no}")
+        store.add_batch(mine, names[-1])
+    return store.decisions(names)

@@ -189,20 +189,117 @@ def estimate(a: Column, b: Column, scheme: MinwiseScheme) -> Column:
     return (agree - scheme.chance) / (1 - scheme.chance)
 
 
-def candidate_pairs(signed: DataFrame, classes: DataFrame, scheme: MinwiseScheme, label: str) -> DataFrame:
+#: Members of a band that are paired with each other inside one record of work.
+CELL = 256
+
+
+def _pairs_of_runs(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs inside each run of ``ids``, run lengths at most CELL."""
+    left, right = [ids[:0]], [ids[:0]]
+    for n in np.unique(sizes[sizes > 1]):
+        i, j = np.triu_indices(int(n), 1)
+        at = starts[sizes == n][:, None]
+        left.append(ids[at + i].ravel())
+        right.append(ids[at + j].ravel())
+    return np.concatenate(left), np.concatenate(right)
+
+
+def meet(batches, cell: int = CELL):
+    """Rows (band, mid) in order of band -> (a, b) pairs of bands of at most ``cell`` members, and (band, no, ids) cells of larger ones.
+
+    A band is never held as a whole: at most ``cell`` of its members wait for
+    their cell to fill.
+    """
+    names = ["a", "b", "band", "no", "ids"]
+
+    def pairs(left, right):
+        none = pa.nulls(len(left))
+        return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.list_(pa.int64()))], names)
+
+    def cells(rows):
+        none = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names)
+
+    band, held, no = None, np.zeros(0, np.int64), 0  # the run that may go on in the next batch
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys, ids = b.column("band").to_numpy(), b.column("mid").to_numpy()
+        if band is not None:
+            keys, ids = np.concatenate([np.full(len(held), band), keys]), np.concatenate([held, ids])
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(keys)]]))
+        out = []
+        if band is not None and keys[0] != band:  # the open run has ended; its rest is a cell of its own
+            no = 0
+        first_no, last = (no if band is not None and keys[0] == band else 0), len(starts) - 1
+        closed = sizes[:-1]
+        small = closed <= cell
+        if first_no and len(closed):
+            small[0] = False  # the end of a band whose earlier cells have gone out
+        left, right = _pairs_of_runs(ids, starts[:-1][small], closed[small])
+        if len(left):
+            yield pairs(left, right)
+        for r in np.flatnonzero(~small):
+            base = first_no if r == 0 else 0
+            for k, lo in enumerate(range(0, int(closed[r]), cell)):
+                out.append((int(keys[starts[r]]), base + k, ids[starts[r] + lo : min(starts[r] + lo + cell, starts[r] + closed[r])]))
+        base = first_no if last == 0 else 0
+        band, held, no = int(keys[starts[last]]), ids[starts[last] :], base
+        while len(held) > cell:
+            out.append((band, no, held[:cell]))
+            held, no = held[cell:], no + 1
+        if out:
+            yield cells(out)
+    if band is not None and len(held):
+        if no:
+            yield cells([(band, no, held)])
+        else:
+            left, right = _pairs_of_runs(held, np.array([0]), np.array([len(held)]))
+            if len(left):
+                yield pairs(left, right)
+
+
+def band_pairs(bands: DataFrame, label: str, cell: int = CELL) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of the mids that share a band, of (mid, band) rows.
+
+    The rows are shuffled and sorted once.  A band of more than ``cell``
+    members leaves its task as cells of ``cell`` members, and each pair of
+    cells is a record of its own that any task may take: exact, and no task
+    pairs the members of a hot band alone.
+    """
+    laid = bands.select("band", "mid").repartition("band").sortWithinPartitions("band")
+    met = materialize(laid.mapInArrow(lambda it: meet(it, cell), "a bigint, b bigint, band bigint, no int, ids array<bigint>"), label)
+    hot = met.where("band is not null").select("band", "no", "ids")
+    two = hot.join(hot.withColumnsRenamed({"no": "no2", "ids": "ids2"}), "band").where("no <= no2").select((F.col("no") == F.col("no2")).alias("same"), "ids", "ids2")
+
+    def across(batches):
+        for b in batches:
+            for same, x, y in zip(b.column("same").to_pylist(), b.column("ids"), b.column("ids2")):
+                x, y = (np.asarray(v.values, np.int64) for v in (x, y))
+                i, j = np.triu_indices(len(x), 1) if same else (np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x)))
+                yield pa.RecordBatch.from_arrays([pa.array(x[i]), pa.array(y[j])], ["a", "b"])
+
+    pairs = met.where("a is not null").select("a", "b").union(two.mapInArrow(across, "a bigint, b bigint"))
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def representatives(signed: DataFrame) -> DataFrame:
+    """(mid, sig) of the first copy of each distinct text."""
+    return signed.groupBy("h1", "h2").agg(F.min(F.struct("mid", "sig")).alias("m")).select("m.mid", "m.sig")
+
+
+def candidate_pairs(signed: DataFrame, scheme: MinwiseScheme, label: str) -> DataFrame:
     """The written table (a, b) with a < b of class ids whose estimate doesn't rule them out.
 
-    Copies are collapsed before the band join, so a text that fills a third of
+    Copies are collapsed before the bands meet, so a text that fills a third of
     the table takes part once.  Band rows hold two numbers; signatures are
     fetched for distinct candidates only.
     """
-    reps = signed.join(classes.select(F.col("cid").alias("mid")), "mid", "left_semi")
-    bands = explode_bands(reps, "mid", scheme)
-    left, right = bands.select(F.col("mid").alias("a"), "band"), bands.select(F.col("mid").alias("b"), "band")
-    pairs = left.join(right, "band").where("a < b").select("a", "b").distinct()
-    sig = signed.select("mid", "sig")
-    with_a = pairs.join(sig.withColumnsRenamed({"mid": "a", "sig": "sa"}), "a")
-    with_b = with_a.join(sig.withColumnsRenamed({"mid": "b", "sig": "sb"}), "b")
+    reps = materialize(representatives(signed), f"{label}-classes")
+    pairs = band_pairs(explode_bands(reps, "mid", scheme), f"{label}-met")
+    with_a = pairs.join(reps.withColumnsRenamed({"mid": "a", "sig": "sa"}), "a")
+    with_b = with_a.join(reps.withColumnsRenamed({"mid": "b", "sig": "sb"}), "b")
     return materialize(with_b.where(estimate(F.col("sa"), F.col("sb"), scheme) >= scheme.floor()).select("a", "b"), label)
 
 

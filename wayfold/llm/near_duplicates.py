@@ -29,7 +29,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, scheme: Mi
     text = F.lower(squeeze_out(F.col(f"`{text_col}`")))
     signed = sign(df, id_col, text, scheme, "p5-signed")
     classes = classes_of(signed)
-    pairs = candidate_pairs(signed, classes, scheme, "p5-candidates")
+    pairs = candidate_pairs(signed, scheme, "p5-candidates")
     links = verified_pairs(pairs, signed, df.select(F.col(f"`{id_col}`").alias("id"), text.alias("t")), scheme, "p5-links")
     members = signed.select("id", "h1", "h2").join(classes, ["h1", "h2"]).select("id", "cid")
     return members, links

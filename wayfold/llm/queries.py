@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.text import strip
 from wayfold.llm import capping, incremental, near_duplicates, packing, shared_spans, splitting, tokens, topn
-from wayfold.runtime import load
+from wayfold.runtime import load, scratch
 
 
 def p1_pieces(spark, d):
@@ -20,8 +20,9 @@ def p1_found(spark, d):
 
 
 def p2_found(spark, d):
-    """Problem 2: repeats with the accepted candidate that they repeat."""
-    out = incremental.dedup_backlog(load(spark, d, "zhihu_guide_candidates"))
+    """Problem 2: repeats with the accepted candidate that they repeat; the batches are added one after the other to stored block tables."""
+    store = incremental.IncrementalDeduper(spark, scratch(spark, "p2-store"))
+    out = incremental.dedup_in_batches(load(spark, d, "zhihu_guide_candidates"), "batch_no", store)
     return out.where("first_id is not null").select(F.col("first_id").cast("bigint").alias("first_id"), F.col("candidate_id").alias("repeat_id"))
 
 
