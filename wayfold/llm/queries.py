@@ -37,7 +37,7 @@ def p4_found(spark, d):
 
 def p4_sampled(spark, d):
     """Problem 4: the same caps with keys drawn by chance, scaled by score."""
-    return _capped(spark, d, 10.0).where("not kept").select("candidate_id", "batch_no", "rank", "cap")
+    return _capped(spark, d, 10.0).where("not kept").select("candidate_id", "batch_no", "cap")
 
 
 def p5_found(spark, d):
@@ -121,6 +121,11 @@ SQL = {
       WITH x AS (SELECT candidate_id, batch_no, score, {_AUTHOR} AS who, count(*) OVER (PARTITION BY batch_no) AS n FROM zhihu_guide_candidates)
       SELECT candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY batch_no, who ORDER BY score DESC NULLS LAST, candidate_id) AS r FROM x WHERE who IS NOT NULL)
       WHERE r > ceil(n / 50.0)""",
+    "p4_sampled": f"""
+      WITH x AS (SELECT candidate_id, batch_no, CASE WHEN isnan(score) THEN NULL ELSE score END AS score, {_AUTHOR} AS who, count(*) OVER (PARTITION BY batch_no) AS n,
+                        (('0x' || substr(md5('7-' || candidate_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM zhihu_guide_candidates),
+      y AS (SELECT *, row_number() OVER (PARTITION BY batch_no, who ORDER BY score + 10 * -ln(-ln(u)) DESC NULLS LAST, candidate_id) AS r FROM x WHERE who IS NOT NULL)
+      SELECT candidate_id, batch_no, ceil(n / 50.0)::BIGINT AS cap FROM y WHERE r > ceil(n / 50.0)""",
     "p5_found": f"""
       WITH {_shingles("(SELECT chunk_id AS id, content FROM article_chunks)", _PLAIN.format("content"), 40)}
       SELECT a AS chunk_id_a, b AS chunk_id_b FROM k JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 10 * k >= 6 * (x.n + y.n - k)""",
