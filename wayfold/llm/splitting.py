@@ -19,7 +19,7 @@ LIMIT, OVERLAP = 320, 40
 #: Boundaries from strong to weak; a cut falls behind the match.  Addresses come first, so that no sign inside
 #: one counts, and signs between digits are no boundaries.
 _BOUNDARY = regex.compile(
-    r"(?P<inside>!?\[[^\]\n]{0,200}\]\([^)\s]+\)|https?://[^\s，。；、）)\]]+)"
+    r"(?P<inside>!?\[[^\[\]\n]*\]\([^()\s]+\)|https?://[^\s，。；、）)\]]+)"
     r"|(?P<b6>\n[ \t\u3000]*(?:\n[ \t\u3000]*)+)"
     r"|(?P<b5>\n)"
     r"|(?P<b4>[。！？!?…]+[”」』\"'）)]*|(?<!\d)\.(?=\s))"
@@ -70,7 +70,7 @@ def bisect_cuts(text: str, room: int, overlap: int) -> list[int]:
     return sorted(cuts)
 
 
-def split_items(df: DataFrame, id_col: str, body_col: str, head_col: str | None = None, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def split_items(df: DataFrame, id_col: str, body_col: str, head_col: str | None = None, limit: int = LIMIT, overlap: int = OVERLAP, cut_heads: bool = True) -> DataFrame:
     """Pieces of the items of ``df``: (id, piece_no, n_pieces, head, piece, core_start, core_chars).
 
     An item is its head, a line feed and its body, both without white space at
@@ -78,18 +78,24 @@ def split_items(df: DataFrame, id_col: str, body_col: str, head_col: str | None
     its first line and at most ``limit`` characters; each but the first repeats
     the last ``overlap`` characters before its core.  core_start (from 0) and
     core_chars place the core in the body: the cores of an item, joined, are
-    its body.  A head that takes more than half of the limit is cut with the
-    body as one text.  A null or blank body is one empty body; short items are
-    one piece; repeated rows come out repeatedly; an empty table gives an empty
-    one; other columns are not read.  A map: no shuffle.
+    its body.  Of a head that takes more than half of the limit in an item over
+    the limit, every piece has as much as half of the limit holds, and the rest
+    of the head is the first line of the body; with ``cut_heads`` false the
+    whole head is that line and the pieces have none.  A null or blank body is
+    one empty body; short items are one piece; repeated rows come out
+    repeatedly; an empty table gives an empty one; other columns are not read.
+    A map: no shuffle.
     """
     if not 0 <= overlap < limit // 4:
         raise ValueError("the overlap must be under a quarter of the limit")
     head = F.nullif(strip(F.col(f"`{head_col}`")), F.lit("")) if head_col else F.lit(None).cast("string")
     rows = df.select(F.col(f"`{id_col}`").alias(id_col), head.alias("head"), F.coalesce(strip(F.col(f"`{body_col}`")), F.lit("")).alias("body"))
-    lead = F.when(F.char_length("head") + 1 <= limit // 2, F.concat("head", F.lit("\n"))).otherwise(F.lit(""))
-    rows = rows.withColumn("lead", F.coalesce(lead, F.lit("")))
-    rows = rows.withColumn("body", F.when(F.col("head").isNotNull() & (F.col("lead") == ""), F.concat_ws("\n", "head", "body")).otherwise(F.col("body")))
+    size, half = F.char_length("head"), limit // 2
+    wide = F.col("head").isNotNull() & (size + 1 > half) & (size + 1 + F.char_length("body") > limit)
+    shown = F.substring("head", 1, half - 1) if cut_heads else F.lit("")
+    rows = rows.withColumn("lead", F.coalesce(F.when(~wide, F.col("head")).when(wide, F.nullif(shown, F.lit(""))), F.lit("")))
+    rows = rows.withColumn("body", F.when(wide, F.concat_ws("\n", F.substring("head", F.char_length("lead") + 1, size), "body")).otherwise(F.col("body")))
+    rows = rows.withColumn("lead", F.when(F.col("lead") != "", F.concat("lead", F.lit("\n"))).otherwise(F.lit("")))
     rows = rows.withColumn("room", limit - F.char_length("lead"))
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
