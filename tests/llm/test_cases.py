@@ -47,7 +47,7 @@ def pieces_of(spark, rows):
 
 
 def test_split_pieces(spark):
-    texts = {"a": ("标题", prose(5000)), "b": (None, "x" * 3000), "c": (" \n", None), "d": ("h", ""), "e": ("长" * 500, prose(50)), "f": ("t", "短"), "g": ("看", "https://img.example/" + "a" * 200 + " " + prose(400)), "h": (None, "👩‍👩‍👧" * 200), "i": (None, prose(320)), "j": (None, prose(321))}
+    texts = {"a": ("标题", prose(5000)), "b": (None, "x" * 3000), "c": (" \n", None), "d": ("h", ""), "e": ("长" * 500, prose(50)), "f": ("t", "短"), "g": ("看", "https://img.example/" + "a" * 200 + " " + prose(400)), "h": (None, "👩‍👩‍👧" * 200), "i": (None, prose(320)), "j": (None, prose(321)), "k": ("头" * 200, prose(119)), "l": ("头" * 200, prose(120)), "m": ("头" * 319, ""), "n": ("头" * 320, None), "o": (None, "![" + "图" * 300 + "](https://img.example/a?b,c) " + prose(300))}
     rows = [(k, h, c, "clash", 1, "clash", "clash") for k, (h, c) in texts.items()]
     by = {}
     for r in pieces_of(spark, rows):
@@ -55,15 +55,16 @@ def test_split_pieces(spark):
     assert by.keys() == texts.keys()
     for k, (h, c) in texts.items():
         head, body = (h or "").strip(WS), (c or "").strip(WS)
-        if len(head) + 1 > 160:
-            body = f"{head}\n{body}"
-        item = f"{head}\n{body}" if head and len(head) + 1 <= 160 else body
+        item = f"{head}\n{body}" if head else body
+        lead = f"{head}\n" if head else ""
+        if len(head) + 1 > 160 and len(item) > 320:
+            lead, body = f"{head[:159]}\n", f"{head[159:]}\n{body}"
         got = by[k]
         assert [g.piece_no for g in got] == list(range(1, len(got) + 1)) and got[0].n_pieces == len(got)
         assert all(len(g.piece) <= 320 for g in got), k
         assert (len(got) > 1) == (len(item) > 320), k
         assert "".join(body[g.core_start : g.core_start + g.core_chars] for g in got) == body
-        lead = f"{head}\n" if head and len(head) + 1 <= 160 else ""
+        assert all(g.piece.startswith(lead) for g in got), k
         for p, g in zip(got, got[1:]):
             assert g.piece.startswith(lead) and p.piece[-40:] == g.piece[len(lead) :][:40]
     assert len(by["h"]) > 1 and all(not g.piece.startswith("‍") for g in by["h"][:1])
@@ -78,6 +79,17 @@ def test_split_prefers_strong_boundaries():
     assert not 120 < cut < 120 + len(url)
 
 
+def test_split_signs_that_never_close():
+    """Many openings without an end take no more than linear time."""
+    import time
+
+    t = time.perf_counter()
+    for text in ("[" * 100_000, "[a](" * 25_000, "![" + "x" * 100_000):
+        splitting.boundary_strengths(text)
+    assert time.perf_counter() - t < 5
+    assert not splitting.boundary_strengths("![" + "图" * 300 + "](https://img.example/a?b,c)")[5:320].max() > 1
+
+
 def test_split_empty_and_repeated(spark):
     df = spark.createDataFrame([], "chunk_id string, h2 string, content string")
     assert splitting.split_items(df, "chunk_id", "content", "h2").count() == 0
@@ -120,6 +132,17 @@ def decisions(df):
     return {r.candidate_id: r.first_id for r in df.collect()}
 
 
+@pytest.mark.parametrize("task_rows", [0, 1 << 14])
+def test_a_repeated_id_with_two_wordings(spark, tmp_path, task_rows):
+    """What one wording of an id matches isn't matched by another id of its other wording."""
+    r = random.Random(2)
+    x, y = prose(150, r), prose(150, r)
+    store = incremental.IncrementalDeduper(spark, f"file://{tmp_path}/store", task_rows=task_rows)
+    row = lambda i, t: (i, 1, None, t, None, "", i, "")
+    store.add_batch(spark.createDataFrame([row(1, x)], CANDIDATE), "1")
+    assert decisions(store.add_batch(spark.createDataFrame([row(2, x), row(2, y), row(3, y), row(4, x), row(5, y)], CANDIDATE), "2")) == {2: 1, 3: None, 4: 1, 5: 3}
+
+
 @pytest.mark.parametrize("options", [{}, {"part_bytes": 4000, "fan": 2}, {"task_rows": 0}], ids=["plain", "parts and merges", "rounds"])
 def test_batches_equal_brute_force(spark, tmp_path, options):
     rows = candidates(60)

@@ -22,10 +22,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from wayfold.functions.text import squeeze_out, strip
-from wayfold.llm.minwise import MinwiseScheme, band_keys, band_pairs, content_keys, estimate, explode_bands, jaccard_at_least, signatures_of
+from wayfold.llm.minwise import MinwiseScheme, band_keys, band_pairs, content_keys, explode_bands, jaccard_at_least, signatures_of
 from wayfold.runtime import Files, materialize
 
 CANDIDATE_SCHEME = MinwiseScheme(threshold=0.5, min_chars=60, lanes=192, bits=8, bands=96, rows=4)
@@ -33,14 +34,15 @@ CANDIDATE_SCHEME = MinwiseScheme(threshold=0.5, min_chars=60, lanes=192, bits=8,
 LOOKUP_KEYS = 1 << 18
 #: At most so many hits travel to the stored fingerprints by a broadcast; more by a shuffle.
 LOOKUP_HITS = 1 << 15
-#: At most so many rows and links of a batch are decided in one task; more in rounds over distributed tables.
-TASK_ROWS = 1 << 20
+#: A batch of at most so many rows is decided in order in one task; a larger one in rounds over distributed tables, with the same result.
+TASK_ROWS = 1 << 14
 #: Bytes of a part of a block table, about.
 PART_BYTES = 16 << 20
 #: So many tables of one level are merged into one of the next.
 FAN = 8
 
 _BLOCK_BITS = 44
+_FLAT_SQL = "kind string, part int, id bigint, candidate_id bigint, first_id bigint, u string, t string, sig array<bigint>, key bigint"
 
 
 def address_key(url_hash: Column) -> Column:
@@ -92,34 +94,98 @@ def resolve_first_accepted(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return found.select("id", F.when(F.col("acc") < F.col("id"), F.col("acc")).alias("first_id"))
 
 
-def _decide(members: list[tuple], links: list[tuple]) -> list[tuple[int, int | None]]:
-    """The same decisions, and those against the history, in one pass in order of id.
+def _same(x: np.ndarray, y: np.ndarray, left: list[str], right: list[str], s: MinwiseScheme) -> np.ndarray:
+    """Which pairs agree: by the bit difference of their fingerprints (n x words), then on the texts."""
+    lanes = (x ^ y).view(np.uint8 if s.bits == 8 else np.uint16).reshape(len(x), s.lanes)
+    agree = 1 - (lanes != 0).sum(1) / s.lanes
+    ok = (agree - s.chance) / (1 - s.chance) >= s.floor()
+    at = np.flatnonzero(ok)
+    ok[at] = jaccard_at_least([left[i] for i in at], [right[i] for i in at], s.shingle, s.threshold)
+    return ok
 
-    members: (id, wording class or None, address class or None); links:
-    (of wordings, with history, class, accepted id or class).
+
+def _words(column: pa.Array, s: MinwiseScheme) -> np.ndarray:
+    """The fingerprints of a column without nulls, n x words."""
+    return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False)).reshape(-1, s.words)
+
+
+def _decide(rows: list[tuple], links: list[tuple], s: MinwiseScheme) -> dict[int, int | None]:
+    """id -> None if accepted, else the smallest accepted id that it matches: one pass in order of id.
+
+    rows: (id, address or None, content key, wording, fingerprint or None);
+    links: (of wordings, id, first half of the content key, accepted id of the
+    history).  A row is compared
+    with the accepted only, by its blocks, so copies and near copies of one
+    text cost no more than others.
     """
+    by_id: dict[int, list[tuple]] = {}
+    for r in rows:
+        by_id.setdefault(r[0], []).append(r)
     old: dict[tuple, int] = {}
-    near: dict[tuple, list[tuple]] = {}
-    for worded, historic, a, b in links:
-        if historic:
-            old[worded, a] = min(b, old.get((worded, a), b))
-        else:
-            near.setdefault((worded, a), []).append((worded, b))
-            near.setdefault((worded, b), []).append((worded, a))
-    groups: dict[int, set] = {}
-    for i, c, u in members:
-        groups.setdefault(i, set()).update(g for g in ((True, c), (False, u)) if g[1] is not None)
-    accepted: dict[tuple, int] = {}
-    out = []
-    for i in sorted(groups):
-        hits = [old[g] for g in groups[i] if g in old]
-        hits += [accepted[h] for g in groups[i] for h in (g, *near.get(g, ())) if h in accepted]
+    for worded, a, h1, b in links:
+        for r in by_id[a]:
+            if r[2][0] == h1:
+                g = ("w", r[2]) if worded else ("u", r[1])
+                old[g] = min(b, old.get(g, b))
+    signed = [r for r in rows if r[4] is not None]
+    keys = dict(zip(((r[0], r[2]) for r in signed), band_keys(np.array([r[4] for r in signed], np.int64), s).tolist())) if signed else {}
+    blocks: dict[int, list[tuple]] = {}
+    taken: dict[tuple, int] = {}
+    out: dict[int, int | None] = {}
+    for i in sorted(by_id):
+        hits = []
+        for r in by_id[i]:
+            groups = [("u", r[1])] * (r[1] is not None) + [("w", r[2])] * (r[4] is not None)
+            hits += [d[g] for g in groups for d in (old, taken) if g in d]
+        if not hits:
+            for r in by_id[i]:
+                if r[4] is None:
+                    continue
+                near = {id(o): o for k in keys[r[0], r[2]] for o in blocks.get(k, ())}
+                if near:
+                    others = list(near.values())
+                    ok = _same(np.array([r[4]] * len(others), np.int64), np.array([o[4] for o in others], np.int64), [r[3]] * len(others), [o[3] for o in others], s)
+                    hits += [o[0] for o, k in zip(others, ok) if k]
+        out[i] = min(hits) if hits else None
         if not hits:
-            accepted |= dict.fromkeys(groups[i], i)
-        out.append((i, min(hits) if hits else None))
+            for r in by_id[i]:
+                if r[1] is not None:
+                    taken["u", r[1]] = i
+                if r[4] is not None:
+                    taken["w", r[2]] = i
+                    for k in keys[r[0], r[2]]:
+                        blocks.setdefault(k, []).append(r)
     return out
 
 
+def _flat(count: int, kind: str, **columns) -> pa.RecordBatch:
+    """Rows of one kind for ``_append``; columns that the kind lacks are null."""
+    cols = [columns.get(n) for n in _FLAT.names]
+    cols[0] = pa.array([kind] * count)
+    return pa.RecordBatch.from_arrays([pa.nulls(count, f.type) if c is None else c.cast(f.type) for c, f in zip(cols, _FLAT)], schema=_FLAT)
+
+
+def _unfold(decided: pa.RecordBatch, parts: int, s: MinwiseScheme):
+    """Decided rows (id, first_id, u, t, sig, p, address) -> decisions, and fingerprints and block rows of the accepted."""
+    n = decided.num_rows
+    yield _flat(n, "decisions", part=pa.array(np.zeros(n, np.int32)), candidate_id=decided.column("id"), first_id=decided.column("first_id"))
+    kept = decided.filter(pc.is_null(decided.column("first_id")))
+    if not kept.num_rows:
+        return
+    yield _flat(kept.num_rows, "rows", **{c: kept.column(c) for c in ("id", "u", "t", "sig")}, part=kept.column("p"))
+    addressed, worded = kept.filter(pc.is_valid(kept.column("u"))), kept.filter(pc.is_valid(kept.column("sig")))
+    keys, ids = [addressed.column("address").to_numpy(zero_copy_only=False).astype(np.int64)], [addressed.column("id").to_numpy()]
+    if worded.num_rows:
+        keys.append(band_keys(_words(worded.column("sig"), s), s).reshape(-1))
+        ids.append(np.repeat(worded.column("id").to_numpy(), s.bands))
+    key = np.concatenate(keys)
+    if len(key):
+        yield _flat(len(key), "blocks", part=pa.array((key % parts).astype(np.int32)), id=pa.array(np.concatenate(ids)), key=pa.array(key))
+
+
+_FLAT = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("id", pa.int64()), ("candidate_id", pa.int64()), ("first_id", pa.int64()), ("u", pa.string()), ("t", pa.string()), ("sig", pa.list_(pa.int64())), ("key", pa.int64())])
+
+
 class IncrementalDeduper:
     """Everything accepted so far, in a folder: fingerprints by candidate and block tables by key.
 
@@ -172,37 +238,79 @@ class IncrementalDeduper:
     # -- a batch
 
     def _signed(self, batch: DataFrame) -> tuple[DataFrame, int]:
-        """The written rows (id, u, t, h1, h2, sig) of a batch and their number; sig is null for a wording that agrees with none."""
-        s = self.scheme
+        """The written rows (id, u, t, h1, h2, p, address, sig, keys) of a batch, and their number.
+
+        sig is null for a wording that agrees with none.  keys are those that
+        the row looks up: of copies and of equal addresses only the first of a
+        partition has them, so that copies that fill a batch cost little.
+        """
+        s, address = self.scheme, F.shiftrightunsigned(F.xxhash64("u"), 64 - _BLOCK_BITS).bitwiseOR(F.lit(self.scheme.bands << _BLOCK_BITS))
         rows = batch.where(F.col("candidate_id").isNotNull()).select(F.col("candidate_id").cast("bigint").alias("id"), address_key(F.col("url_hash")).alias("u"), wording(F.col("title"), F.col("summary")).alias("t"))
+        rows = rows.select("id", "u", "t", *content_keys(F.col("t")), F.xxhash64("id").alias("p"), F.when(F.col("u").isNotNull(), address).alias("address"))
 
         def run(batches):
+            seen: set = set()
             for b in batches:
-                texts = b.column("t").to_pylist()
-                own = np.array([i for i, t in enumerate(texts) if len(t) >= max(s.min_chars, s.shingle)], np.int64)
-                sig = signatures_of([texts[i] for i in own], s) if len(own) else np.zeros((0, s.words), np.int64)
-                ends = np.zeros(len(texts) + 1, np.int32)
-                ends[own + 1] = s.words
-                has = np.zeros(len(texts), bool)
-                has[own] = True
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(sig.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([v if h else None for v, h in zip(lists.to_pylist(), has)], pa.list_(pa.int64()))], [*b.schema.names, "sig"])
+                texts, us, ads = (b.column(c).to_pylist() for c in ("t", "u", "address"))
+                contents = list(zip(b.column("h1").to_pylist(), b.column("h2").to_pylist()))
+                own = [i for i, t in enumerate(texts) if len(t) >= max(s.min_chars, s.shingle)]
+                sig = signatures_of([texts[i] for i in own], s) if own else np.zeros((0, s.words), np.int64)
+                sigs, keys = [None] * len(texts), [[] for _ in texts]
+                for i, v, k in zip(own, sig, band_keys(sig, s)):
+                    sigs[i] = v
+                    if contents[i] not in seen:
+                        seen.add(contents[i])
+                        keys[i] = k.tolist()
+                for i, u in enumerate(us):
+                    if u is not None and u not in seen:
+                        seen.add(u)
+                        keys[i] = [*keys[i], ads[i]]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sigs, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], [*b.schema.names, "sig", "keys"])
 
         seen = Observation()
-        signed = rows.select("id", "u", "t", *content_keys(F.col("t"))).mapInArrow(run, "id bigint, u string, t string, h1 bigint, h2 bigint, sig array<bigint>")
+        signed = rows.mapInArrow(run, "id bigint, u string, t string, h1 bigint, h2 bigint, p bigint, address bigint, sig array<bigint>, keys array<bigint>")
         return materialize(signed.observe(seen, F.count(F.lit(1)).alias("n")), "p2-batch"), seen.get["n"]
 
-    def _look_up(self, keys: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
-        """(worded, a, b): accepted candidates b that share a block with a class a of the batch; and the bytes of the parts read."""
-        most = max((t["parts"] for t in self._tables()), default=1)
+    def _history(self, signed: DataFrame, n: int) -> tuple[DataFrame | None, int]:
+        """The written links (worded, a, h1, b) of rows (a, h1) of a batch with accepted candidates b, None without any; and the bytes of the parts read."""
+        s, most = self.scheme, max((t["parts"] for t in self._tables()), default=1)
+        keys, n_keys = signed.select(F.col("id").alias("a"), "h1", F.explode("keys").alias("key")), n * (self.scheme.bands + 1)
         hit = None
         if most > 1 and n_keys < 8 * most:  # more keys fall into every part
             hit = {r[0] for r in keys.select(F.pmod("key", F.lit(most)).cast("int")).distinct().collect()}
         paths = self._paths("blocks", hit, most)
+        if not paths:
+            return None, 0
+        looked = sum(self.files.size(p) for p in paths)
         stored = self._read(paths, "key bigint, id bigint")
-        mine = F.broadcast(keys) if n_keys <= LOOKUP_KEYS else keys
-        worded = F.shiftright("key", _BLOCK_BITS) < self.scheme.bands
-        return stored.join(mine, "key").select(worded.alias("worded"), "a", F.col("id").alias("b")).distinct(), sum(self.files.size(p) for p in paths)
+        met = stored.join(F.broadcast(keys) if n_keys <= LOOKUP_KEYS else keys, "key").select((F.shiftright("key", _BLOCK_BITS) < s.bands).alias("worded"), "a", "h1", F.col("id").alias("b")).distinct()
+        seen = Observation()
+        met = materialize(met.observe(seen, F.count(F.lit(1)).alias("n")), "p2-hits")
+        if not (n_met := seen.get["n"]):
+            return None, looked
+        # the stored rows of hits only
+        hit = {r[0] for r in met.select(F.pmod(F.xxhash64("b"), F.lit(most)).cast("int")).distinct().collect()} if most > 1 else None
+        paths = self._paths("rows", hit, most)
+        looked += sum(self.files.size(p) for p in paths)
+        others = self._read(paths, "id bigint, u string, t string, sig array<bigint>").toDF("b", "ub", "tb", "sb")
+        asked = met.join(signed.select(F.col("id").alias("a"), "h1", F.col("u").alias("ua"), F.col("t").alias("ta"), F.col("sig").alias("sa")), ["a", "h1"])
+        both = others.join(F.broadcast(asked) if n_met <= LOOKUP_HITS else asked, "b")
+        return materialize(self._verified(both), "p2-links"), looked
+
+    def _verified(self, both: DataFrame) -> DataFrame:
+        """The (worded, a, h1, b) of rows (worded, a, h1, b, ua, ub, ta, tb, sa, sb) that agree in their wording or are equal in their address."""
+        s = self.scheme
+
+        def verify(batches):
+            for b in batches:
+                worded = b.column("worded").to_numpy(zero_copy_only=False)
+                ok = pc.fill_null(pc.equal(b.column("ua"), b.column("ub")), False).to_numpy(zero_copy_only=False) & ~worded
+                ready = worded & pc.and_(pc.is_valid(b.column("sa")), pc.is_valid(b.column("sb"))).to_numpy(zero_copy_only=False)
+                c = b.filter(pa.array(ready))
+                ok[np.flatnonzero(ready)] = _same(_words(c.column("sa"), s), _words(c.column("sb"), s), c.column("ta").to_pylist(), c.column("tb").to_pylist(), s)
+                yield b.select(["worded", "a", "h1", "b"]).filter(pa.array(ok))
+
+        return both.select("worded", "a", "h1", "b", "ua", "ub", "ta", "tb", "sa", "sb").mapInArrow(verify, "worded boolean, a bigint, h1 bigint, b bigint")
 
     def add_batch(self, batch: DataFrame, name: str | None = None) -> DataFrame:
         """Check a batch (candidate_id, title, summary, url_hash) against everything accepted and against itself, and append what it accepts.
@@ -218,124 +326,72 @@ class IncrementalDeduper:
         name = name or uuid.uuid4().hex
         if any(c["batch"] == name for c in self.commits):
             return self.decisions([name])
-        s = self.scheme
         signed, n = self._signed(batch)
-        # one representative for each wording and address: copies that fill the batch are looked up once
-        classes = signed.where("sig is not null").groupBy("h1", "h2").agg(F.min(F.struct("id", "sig", "t")).alias("m"))
-        reps = classes.select(F.col("m.id").alias("mid"), "m.sig", "m.t")
-        addresses = signed.where("u is not null").groupBy("u").agg(F.min("id").alias("aid"))
-        address_block = F.shiftrightunsigned(F.xxhash64("u"), 64 - _BLOCK_BITS).bitwiseOR(F.lit(s.bands << _BLOCK_BITS))
-        keys = explode_bands(reps, "mid", s).toDF("a", "key").union(addresses.select("aid", address_block))
-        hits, looked = self._look_up(keys, n * (s.bands + 1))
-        within = band_pairs(explode_bands(reps, "mid", s), "p2-met").select(F.lit(True), F.lit(False), "a", "b")
-        seen = Observation()
-        met = materialize(hits.select("worded", F.lit(True).alias("old"), "a", "b").union(within).observe(seen, F.count(F.lit(1)).alias("n")), "p2-candidates")
-        n_met = seen.get["n"]
-
-        # the stored rows of hits only
-        most = max((t["parts"] for t in self._tables()), default=1)
-        hit = None
-        if most > 1:
-            hit = {r[0] for r in met.where("old").select(F.pmod(F.xxhash64("b"), F.lit(most)).cast("int")).distinct().collect()}
-        paths = self._paths("rows", hit, most)
-        looked += sum(self.files.size(p) for p in paths)
-        stored = self._read(paths, "id bigint, u string, t string, sig array<bigint>").select(F.lit(True).alias("old"), F.col("id").alias("b"), F.col("u").alias("ub"), F.col("sig").alias("sb"), F.col("t").alias("tb"))
-        others = stored.unionByName(reps.select(F.lit(False).alias("old"), F.col("mid").alias("b"), F.lit(None).cast("string").alias("ub"), F.col("sig").alias("sb"), F.col("t").alias("tb")))
-        mine = reps.select(F.lit(True).alias("worded"), F.col("mid").alias("a"), F.lit(None).cast("string").alias("ua"), F.col("sig").alias("sa"), F.col("t").alias("ta"))
-        mine = mine.union(addresses.select(F.lit(False), "aid", "u", F.lit(None).cast("array<bigint>"), F.lit(None).cast("string")))
-        asked = met.join(mine, ["worded", "a"])
-        both = others.join(F.broadcast(asked) if n_met <= LOOKUP_HITS else asked, ["old", "b"])
-        near = (F.col("worded") & (estimate(F.col("sa"), F.col("sb"), s) >= s.floor())) | (~F.col("worded") & (F.col("ua") == F.col("ub")))
-
-        def verify(batches):
-            for b in batches:
-                worded = b.column("worded").to_numpy(zero_copy_only=False)
-                ok = ~worded
-                at = np.flatnonzero(worded)
-                ok[at] = jaccard_at_least(b.column("ta").take(pa.array(at)).to_pylist(), b.column("tb").take(pa.array(at)).to_pylist(), s.shingle, s.threshold)
-                yield b.select(["worded", "old", "a", "b"]).filter(pa.array(ok))
-
-        links = materialize(both.where(near).select("worded", "old", "a", "b", "ta", "tb").mapInArrow(verify, "worded boolean, old boolean, a bigint, b bigint"), "p2-links")
-        named = signed.join(classes.select("h1", "h2", F.col("m.id").alias("cid")), ["h1", "h2"], "left").join(addresses, "u", "left")
-        members = named.select("id", F.when(F.col("sig").isNotNull(), F.col("cid")).alias("cid"), "aid")
-        small = n + n_met <= self.task_rows
-        decided = self._decided_in_task(members, links) if small else self._decided_in_rounds(members, links)
-        self._append(name, signed, decided, n, looked)
+        links, looked = self._history(signed, n)
+        parts = self._parts(n * (self.scheme.bands + 1) * 12)
+        flat = self._in_task(signed, links, parts) if n <= self.task_rows else self._in_rounds(signed, links, parts)
+        self._append(name, flat, parts, looked)
         return self.decisions([name])
 
-    def _decided_in_task(self, members: DataFrame, links: DataFrame) -> DataFrame:
-        """Decisions of at most ``task_rows`` rows and links."""
-        none = F.lit(None)
-        rows = members.select(F.lit(True).alias("member"), none.cast("boolean").alias("worded"), none.cast("boolean").alias("old"), F.col("id").alias("x"), F.col("cid").alias("y"), F.col("aid").alias("z"))
-        rows = rows.union(links.select(F.lit(False), "worded", "old", "a", "b", none.cast("bigint")))
+    def _in_task(self, signed: DataFrame, links: DataFrame | None, parts: int) -> DataFrame:
+        """Decisions of at most ``task_rows`` rows, and what is to be stored of them."""
+        s = self.scheme
+        rows = signed.select("id", "u", "t", "h1", "h2", F.pmod("p", F.lit(parts)).cast("int").alias("p"), "address", "sig", F.lit(None).cast("boolean").alias("worded"), F.lit(None).cast("bigint").alias("b"))
+        if links is not None:
+            rows = rows.unionByName(links.select(F.col("a").alias("id"), "h1", "worded", "b"), allowMissingColumns=True)
 
         def run(batches):
-            m, k = [], []
-            for b in batches:
-                for member, worded, old, x, y, z in zip(*(c.to_pylist() for c in b.columns)):
-                    if member:
-                        m.append((x, y, z))
-                    else:
-                        k.append((worded, old, x, y))
-            out = _decide(m, k)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["id", "first_id"])
-
-        return rows.coalesce(1).mapInArrow(run, "id bigint, first_id bigint")
-
-    def _decided_in_rounds(self, members: DataFrame, links: DataFrame) -> DataFrame:
+            batches = [b for b in batches if b.num_rows]
+            if not batches:
+                return
+            every = pa.Table.from_batches(batches)
+            link = pc.is_valid(every.column("worded"))
+            mine, k = every.filter(pc.invert(link)), every.filter(link)
+            at = lambda t, *names: zip(*(t.column(c).to_pylist() for c in names))
+            rows = [(i, u, (h1, h2), t, g) for i, u, h1, h2, t, g in at(mine, "id", "u", "h1", "h2", "t", "sig")]
+            first = _decide(rows, list(at(k, "worded", "id", "h1", "b")), s)
+            once, seen = [], set()
+            for r in rows:
+                once.append(r[:3] not in seen)
+                seen.add(r[:3])
+            mine = mine.append_column("first_id", pa.array([first[r[0]] for r in rows], pa.int64())).filter(pa.array(once))
+            for b in mine.combine_chunks().to_batches():
+                yield from _unfold(b, parts, s)
+
+        return rows.coalesce(1).mapInArrow(run, _FLAT_SQL)
+
+    def _in_rounds(self, signed: DataFrame, links: DataFrame | None, parts: int) -> DataFrame:
         """The same for batches of any size."""
+        s = self.scheme
+        classes = signed.where("sig is not null").groupBy("h1", "h2").agg(F.min(F.struct("id", "sig", "t")).alias("m"))
+        reps = materialize(classes.select(F.monotonically_increasing_id().alias("mid"), "h1", "h2", "m.sig", "m.t"), "p2-classes")
+        addresses = signed.where("u is not null").groupBy("u").agg(F.min("id").alias("aid"))
         name = lambda w, c: F.concat(F.when(w, "w").otherwise("u"), c.cast("string"))
+        named = signed.select("id", "u", "h1", "h2").join(reps.select("h1", "h2", F.col("mid").alias("cid")), ["h1", "h2"], "left").join(addresses, "u", "left")
         groups = F.explode(F.filter(F.array(name(F.lit(True), F.col("cid")), name(F.lit(False), F.col("aid"))), lambda g: g.isNotNull()))
-        nodes = members.select("id", groups.alias("g")).distinct()
-        old = links.where("old").select(name(F.col("worded"), F.col("a")).alias("g"), F.col("b").alias("acc"))
-        against = materialize(nodes.join(old, "g").groupBy("id").agg(F.min("acc").alias("acc")), "p2-against")
+        nodes = materialize(named.select("id", groups.alias("g")).distinct(), "p2-nodes")
+        none = self.spark.createDataFrame([], "worded boolean, a bigint, h1 bigint, b bigint")
+        of = (links if links is not None else none).join(named.withColumnRenamed("id", "a"), ["a", "h1"]).select(name(F.col("worded"), F.when(F.col("worded"), F.col("cid")).otherwise(F.col("aid"))).alias("g"), "b")
+        against = materialize(nodes.join(of.groupBy("g").agg(F.min("b").alias("acc")), "g").groupBy("id").agg(F.min("acc").alias("acc")), "p2-against")
+        side = lambda c: reps.select(F.col("mid").alias(c), F.lit(None).cast("string").alias(f"u{c}"), F.col("t").alias(f"t{c}"), F.col("sig").alias(f"s{c}"))
+        pairs = band_pairs(explode_bands(reps, "mid", s), "p2-met").select(F.lit(True).alias("worded"), "a", F.lit(0).cast("bigint").alias("h1"), "b").join(side("a"), "a").join(side("b"), "b")
+        inner = self._verified(pairs).select(name(F.lit(True), F.col("a")).alias("g"), name(F.lit(True), F.col("b")).alias("h"))
+        inner = materialize(inner.union(inner.select("h", "g")), "p2-inner")
         fresh = materialize(nodes.join(against, "id", "left_anti"), "p2-fresh")
-        inner = links.where("not old").select(name(F.col("worded"), F.col("a")).alias("g"), name(F.col("worded"), F.col("b")).alias("h"))
-        inner = inner.union(inner.select("h", "g"))
         among = resolve_first_accepted(fresh, inner)
         # a repeat of the history may also match a smaller one that this batch accepted
         taken = fresh.join(among.where("first_id is null").select("id"), "id", "left_semi").groupBy("g").agg(F.min("id").alias("acc"))
         taken = taken.union(inner.join(taken, "g").select(F.col("h").alias("g"), "acc"))
-        late = nodes.join(against.select("id"), "id", "left_semi").join(taken, "g").groupBy("id").agg(F.min("acc").alias("own"))
-        repeats = against.join(late, "id", "left").select("id", F.least("acc", "own").alias("first_id"))
-        settled = repeats.union(among)
-        return members.select("id").distinct().join(settled, "id", "left")
-
-    def _append(self, name: str, signed: DataFrame, decided: DataFrame, n: int, looked: int) -> None:
-        """Write the batch's decisions and the fingerprints and blocks of what it accepts, then its marker."""
-        s, path = self.scheme, f"{self.folder}/tables/{name}"
-        parts = self._parts(n * (s.bands + 1) * 12)
-        rows = signed.dropDuplicates(["id", "u", "h1", "h2"]).join(decided, "id").select("id", "first_id", "u", "t", "sig", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p"), F.shiftrightunsigned(F.xxhash64("u"), 64 - _BLOCK_BITS).bitwiseOR(F.lit(s.bands << _BLOCK_BITS)).alias("address"))
-        schema = "kind string, part int, id bigint, candidate_id bigint, first_id bigint, u string, t string, sig array<bigint>, key bigint"
-        names = ["kind", "part", "id", "candidate_id", "first_id", "u", "t", "sig", "key"]
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64()]
-
-        def unfold(batches):
-            def out(kind, count, **cols):
-                full = [pa.array([kind] * count) if c == "kind" else cols.get(c, None) for c in names]
-                return pa.RecordBatch.from_arrays([pa.nulls(count, k) if v is None else v.cast(k) for v, k in zip(full, kinds)], names)
-
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                yield out("decisions", b.num_rows, part=pa.array(np.zeros(b.num_rows, np.int32)), candidate_id=b.column("id"), first_id=b.column("first_id"))
-                kept = b.filter(pa.compute.is_null(b.column("first_id")))
-                if not kept.num_rows:
-                    continue
-                yield out("rows", kept.num_rows, part=kept.column("p"), id=kept.column("id"), u=kept.column("u"), t=kept.column("t"), sig=kept.column("sig"))
-                addressed = kept.filter(pa.compute.is_valid(kept.column("u")))
-                keys, ids = [addressed.column("address").to_numpy()], [addressed.column("id").to_numpy()]
-                worded = kept.filter(pa.compute.is_valid(kept.column("sig")))
-                if worded.num_rows:
-                    sig = worded.column("sig").flatten().to_numpy(zero_copy_only=False).reshape(worded.num_rows, -1)
-                    keys.append(band_keys(sig, s).reshape(-1))
-                    ids.append(np.repeat(worded.column("id").to_numpy(), s.bands))
-                key, own = np.concatenate(keys).astype(np.int64), np.concatenate(ids)
-                yield out("blocks", len(key), part=pa.array((key % parts).astype(np.int32)), id=pa.array(own), key=pa.array(key))
-
-        flat = rows.mapInArrow(unfold, schema)
-        flat = flat.coalesce(2) if parts == 1 else flat.repartition(2 * parts, "kind", "part")
+        late = nodes.join(against.select("id"), "id", "left_semi").join(taken, "g").where("acc < id").groupBy("id").agg(F.min("acc").alias("own"))
+        settled = against.join(late, "id", "left").select("id", F.least("acc", "own").alias("first_id")).union(among)
+        decided = signed.dropDuplicates(["id", "u", "h1", "h2"]).join(settled, "id", "left").select("id", "first_id", "u", "t", "sig", F.pmod("p", F.lit(parts)).cast("int").alias("p"), "address")
+        return decided.mapInArrow(lambda batches: (x for b in batches if b.num_rows for x in _unfold(b, parts, s)), _FLAT_SQL)
+
+    def _append(self, name: str, flat: DataFrame, parts: int, looked: int) -> None:
+        """Write a batch's decisions and the fingerprints and blocks of what it accepts, then its marker."""
+        path = f"{self.folder}/tables/{name}"
+        if parts > 1:
+            flat = flat.repartition(2 * parts, "kind", "part")
         flat.sortWithinPartitions("kind", "part", "key").write.mode("overwrite").option("compression", "zstd").partitionBy("kind", "part").parquet(path)
         new = self._listed(path, parts, 0)
         made = f"{path}/kind=decisions/part=0"
