@@ -1,11 +1,13 @@
-"""Vector search: exact top-k of stated queries, thresholds, an inverted-file index, graph expansion, hybrid scores."""
+"""Vector search: exact top-k of stated queries, thresholds, an inverted-file index, graph expansion, hybrid hits."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -24,15 +26,42 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Unit rows; a null vector, one of another length or zero is a zero row."""
+    """Unit rows; a null vector, one of another length or with a null, or zero is a zero row."""
     out = np.zeros((len(column), width))
-    for i, v in enumerate(column.to_pylist()):
-        if v is not None and len(v) == width and all(x is not None for x in v):
-            out[i] = v
+    good = pc.fill_null(pc.equal(pc.list_value_length(column), width), False)
+    rows = np.flatnonzero(good.to_numpy(zero_copy_only=False))
+    if len(rows):
+        flat = column.filter(good).flatten()
+        values = flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(rows), width)
+        if flat.null_count:
+            values = np.where(np.isnan(values).any(1, keepdims=True), 0, values)
+        out[rows] = values
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm > 0, norm, 1)
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest scores at or above the threshold of each row, ties by id: a partial selection, then a sort of what it leaves."""
+    if scores.shape[1] > k:
+        bound = np.maximum(np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k], threshold)
+    else:
+        bound = np.full(len(scores), threshold)
+    row, col = np.nonzero(scores >= bound[:, None])
+    order = np.lexsort((ids[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    starts = np.searchsorted(row, np.arange(len(scores)))
+    keep = np.arange(len(row)) - starts[row] < k
+    return row[keep], col[keep]
+
+
+def _in_blocks(rows: DataFrame, name: str, key: str, group: str | None, size: int) -> DataFrame:
+    """Rows with the number of their block of about ``size`` rows; a group of any size is divided into as many blocks as it needs."""
+    if group is None:
+        return rows.withColumn(name, F.floor(F.monotonically_increasing_id() / size))
+    n = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    return rows.join(n, group).withColumn(name, F.pmod(F.xxhash64(key), F.ceil(F.col("__n") / size))).drop("__n")
+
+
 def top_k(queries: DataFrame, stored: DataFrame, k: int, width: int, threshold: float | None = None, exclude_self: bool = True, group: str | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k stored vectors nearest to each query by cosine, ties by id.
 
@@ -43,9 +72,10 @@ def top_k(queries: DataFrame, stored: DataFrame, k: int, width: int, threshold:
     one (not every row), so the work is queries times rows, spread by block.
     """
     by = [group] if group else []
+    none = F.array().cast(stored.schema["vec"].dataType)
     qn = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("qv"), *by)
-    q = qn.withColumn("qb", F.floor(F.monotonically_increasing_id() / QUERY_BLOCK)).groupBy("qb", *by).agg(F.collect_list("query_id").alias("qi"), F.collect_list(F.coalesce("qv", F.array().cast(stored.schema["vec"].dataType))).alias("qm"))
-    s = stored.select("id", F.coalesce("vec", F.array().cast(stored.schema["vec"].dataType)).alias("vec"), *by).withColumn("sb", F.floor(F.monotonically_increasing_id() / STORED_BLOCK)).groupBy("sb", *by).agg(F.collect_list("id").alias("si"), F.collect_list("vec").alias("sm"))
+    q = _in_blocks(qn, "qb", "query_id", group, QUERY_BLOCK).groupBy("qb", *by).agg(F.collect_list("query_id").alias("qi"), F.collect_list(F.coalesce("qv", none)).alias("qm"))
+    s = _in_blocks(stored.select("id", "vec", *by), "sb", "id", group, STORED_BLOCK).groupBy("sb", *by).agg(F.collect_list("id").alias("si"), F.collect_list(F.coalesce("vec", none)).alias("sm"))
     schema = T.StructType([T.StructField("query_id", queries.schema["id"].dataType), T.StructField("id", stored.schema["id"].dataType), T.StructField("score", T.DoubleType())])
 
     def run(batches):
@@ -55,10 +85,8 @@ def top_k(queries: DataFrame, stored: DataFrame, k: int, width: int, threshold:
                 scores = np.round(_matrix(b.column("qm")[row].values, width) @ _matrix(b.column("sm")[row].values, width).T, 9)
                 if exclude_self:
                     scores[qi[:, None] == si[None, :]] = -2
-                for i in range(len(qi)):
-                    order = np.lexsort((si, -scores[i]))[:k]
-                    order = order[scores[i][order] >= (threshold if threshold is not None else -1.5)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), qi[i])), pa.array(si[order]), pa.array(scores[i][order])], schema.names)
+                r, c = _best(si, scores, k, threshold if threshold is not None else -1.5)
+                yield pa.RecordBatch.from_arrays([pa.array(qi[r]), pa.array(si[c]), pa.array(scores[r, c])], schema.names)
 
     best = (s.join(q, group) if group else s.crossJoin(q)).select("qi", "qm", "si", "sm").mapInArrow(run, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
@@ -94,10 +122,8 @@ def similar_pairs(stored: DataFrame, k: int, width: int, threshold: float, block
 
     def best(own, others, scores):
         scores = np.where(own[:, None] == others[None, :], -2, scores)
-        for i in range(len(own)):
-            near = np.flatnonzero(scores[i] >= threshold)
-            near = near[np.lexsort((others[near], -scores[i][near]))[:k]]
-            yield own[np.full(len(near), i)], others[near], scores[i][near]
+        r, c = _best(others, scores, k, threshold)
+        return [(own[r], others[c], scores[r, c])]
 
     def run(pair: pa.Table) -> pa.Table:
         blocks = pair.column("b").to_numpy()
@@ -124,14 +150,18 @@ class InvertedFile:
     """A nearest-neighbour index: every vector is filed under its nearest centre; a query looks into the nearest few.
 
     Centres are fitted on at most ``sample`` vectors (a bound, not a share);
-    every row is indexed.  More ``probes`` give more recall; probing all
-    centres is exact.
+    every row is indexed.  The number of lists grows with the square root of
+    the rows, so a list holds about that many rows, and a query that probes a
+    fixed number of lists reads a share that falls as the table grows.  More
+    ``probes`` give more recall; probing all centres is exact.
     """
 
     centres: np.ndarray
 
     @staticmethod
-    def fit(stored: DataFrame, width: int, lists: int = 16, sample: int = 20_000, rounds: int = 12, seed: int = 5) -> InvertedFile:
+    def fit(stored: DataFrame, width: int, lists: int | None = None, sample: int = 20_000, rounds: int = 12, seed: int = 5) -> InvertedFile:
+        if lists is None:
+            lists = max(1, min(sample, round(stored.count() ** 0.5)))
         rows = stored.where(F.size("vec") == width).orderBy(F.xxhash64("id", F.lit(seed))).limit(sample).select("vec").toArrow()
         x = _matrix(rows.column("vec").combine_chunks(), width)
         rng = np.random.default_rng(seed)
@@ -156,10 +186,8 @@ class InvertedFile:
         return rows.select("*", F.explode(nearest("vec")).alias("list"))
 
     def search(self, queries: DataFrame, stored: DataFrame, k: int, probes: int = 4) -> DataFrame:
-        """(query_id, id, score, rank) from the probed lists only."""
-        q = self.file(queries.select("id", "vec"), probes).select(F.col("id").alias("query_id"), F.col("vec").alias("qv"), "list")
-        hits = self.file(stored.select("id", "vec")).join(q, "list").where("id <> query_id").select("query_id", "id", F.round(cosine(F.col("qv"), F.col("vec")), 9).alias("score"))
-        return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+        """(query_id, id, score, rank) from the probed lists only, by products of blocks of a list; a list that holds a third of all rows is many blocks."""
+        return top_k(self.file(queries.select("id", "vec"), probes), self.file(stored.select("id", "vec")), k, self.centres.shape[1], group="list")
 
 
 def expand(seeds: DataFrame, edges: DataFrame, per_seed: int, factor: float) -> DataFrame:
@@ -169,31 +197,16 @@ def expand(seeds: DataFrame, edges: DataFrame, per_seed: int, factor: float) ->
     return seeds.select("id", "score").union(near).groupBy("id").agg(F.max("score").alias("score"))
 
 
-def hybrid(dense: DataFrame, sparse: DataFrame, dense_weight: float = 0.7, sparse_weight: float = 0.3) -> DataFrame:
-    """Weighted sum of two score lists (id, score), each divided by its maximum; a missing score is 0."""
-    norm = lambda df, c: df.crossJoin(df.agg(F.max("score").alias("top"))).select("id", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0).alias(c))
-    both = norm(dense, "dense").join(norm(sparse, "sparse"), "id", "full")
-    return both.select("id", (dense_weight * F.coalesce("dense", F.lit(0.0)) + sparse_weight * F.coalesce("sparse", F.lit(0.0))).alias("score"))
-
-
-def hybrid_top(queries: DataFrame, stored: DataFrame, sparse: DataFrame, k: int, dense_weight: float = 0.7, sparse_weight: float = 0.3) -> DataFrame:
-    """(query_id, id, score, rank): the k best ids of each query by the weighted sum of its cosines and of the sparse scores, rounded to 5 places, ties by id.
+def hybrid(dense: DataFrame, sparse: DataFrame, k: int, weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
+    """(query_id, id, score, rank): two hit lists (query_id, id, score) united by the weighted sum of their normal scores, rounded to 6 places, ties by id.
 
-    The cosines are divided by the query's largest, the sparse scores (id,
-    score) by theirs; a missing score is 0, and a query's own vector has none.
-    Ids without a vector score the same for every query, so that the k best of
-    them are enough.
+    A cosine s counts (1 + s) / 2, a term score s counts 2 / pi * atan(s); a hit
+    that a list lacks counts 0 there.  Each list is the best of its own search,
+    so nothing but hits is shuffled here.
     """
-    top = sparse.agg(F.max("score").alias("top"))
-    sp = sparse.crossJoin(top).select("id", (sparse_weight * F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0)).alias("sparse"))
-    q = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("qv"))
-    pairs = stored.select("id", "vec").crossJoin(q).select("query_id", "id", F.when(F.col("id") != F.col("query_id"), cosine(F.col("qv"), F.col("vec"))).alias("dense"))
-    best = pairs.groupBy("query_id").agg(F.max("dense").alias("best"))
-    dense = dense_weight * F.coalesce(F.when(F.col("best") > 0, F.col("dense") / F.col("best")), F.lit(0.0))
-    seen = pairs.join(best, "query_id").join(sp, "id", "left").where("dense is not null or sparse is not null").select("query_id", "id", F.round(dense + F.coalesce("sparse", F.lit(0.0)), 5).alias("score"))
-    alone = sp.join(stored, "id", "left_anti").select("id", F.round("sparse", 5).alias("score")).orderBy(F.desc("score"), "id").limit(k)
-    rows = seen.unionByName(alone.crossJoin(q.select("query_id")))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    parts = [dense.select("query_id", "id", (weights[0] * (1 + F.col("score")) / 2).alias("s")), sparse.select("query_id", "id", (weights[1] * F.atan("score") * (2 / math.pi)).alias("s"))]
+    both = parts[0].unionByName(parts[1]).groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 
 def backfill(hits: DataFrame, contents: DataFrame, key: str, column: str) -> DataFrame:
