@@ -6,7 +6,9 @@ Ratios are 0 for an empty denominator and clamped to 0..1.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from wayfold.runtime import materialize
 
 #: The event types and the weights of the positive ones.
 EVENT_TYPES = ["impression", "click", "like", "favorite", "read_complete", "dislike"]
@@ -31,21 +33,32 @@ def since(events: DataFrame, as_of: str, seconds: int, column: str = "event_ts")
     return events.where(F.col(column) >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(seconds)} SECONDS"))
 
 
-def cells(events: DataFrame) -> DataFrame:
+def cells(events: DataFrame, ranks: int = 0) -> DataFrame:
     """(rec_request_id, article_id, impressions, clicks, conversions, positive): the log by request and article.
 
     All counts and distinct counts follow from these sums, so the log is read
     and shuffled once, combined before the shuffle, and no row is expanded for
-    each distinct count.
+    each distinct count.  With ``ranks``, w1, w2, ... are the weights of
+    positive events by rank.
     """
     n = lambda *t: F.count(F.when(F.col("event_type").isin(*t), 1))
-    return events.groupBy("rec_request_id", "article_id").agg(n("impression").alias("impressions"), n("click").alias("clicks"), n(*CONVERSIONS).alias("conversions"), n(*POSITIVE).alias("positive"))
+    by_rank = [F.sum(F.when(F.col("rank") == r, weight())).alias(f"w{r}") for r in range(1, ranks + 1)]
+    return events.groupBy("rec_request_id", "article_id").agg(n("impression").alias("impressions"), n("click").alias("clicks"), n(*CONVERSIONS).alias("conversions"), n(*POSITIVE).alias("positive"), *by_rank)
+
+
+def weight() -> Column:
+    """The weight of an event's type; 0 for one that isn't positive."""
+    out = F.lit(0.0)
+    for t, v in WEIGHTS.items():
+        out = F.when(F.col("event_type") == t, v).otherwise(out)
+    return out
 
 
-def per_request(cells: DataFrame, articles: DataFrame | None = None) -> DataFrame:
+def per_request(cells: DataFrame, articles: DataFrame | None = None, ranks: int = 0) -> DataFrame:
     """One row per request: its sums, positive items and, given articles, distinct topics and items of its impressions."""
     c = cells
     aggs = [F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.sum("conversions").alias("conversions"), F.count(F.when((F.col("positive") > 0) & F.col("article_id").isNotNull(), 1)).alias("positive_items"), F.sum("positive").alias("positive"), F.count(F.when((F.col("impressions") > 0) & F.col("article_id").isNotNull(), 1)).alias("items")]
+    aggs += rank_sums(ranks)
     if articles is not None:
         # an empty tag text is no topic, a null one falls back (T4)
         topic = F.nullif(F.coalesce("type_tags", "tags", F.lit("")), F.lit(""))
@@ -92,32 +105,42 @@ def personalization(events: DataFrame, max_rows: int = 2000, max_users: int = 50
     The row and user limits are the feature: rows are taken by (user, newest
     first), users by name, so at most ``max_users`` squared pairs exist.
     """
-    rows = events.where("event_type = 'impression' and user_id <> ''").orderBy("user_id", F.desc("event_ts"), F.desc("event_id")).limit(max_rows).select("user_id", "article_id").distinct()
-    users = rows.select("user_id").distinct().orderBy("user_id").limit(max_users)
-    rows = rows.join(users, "user_id", "left_semi")
-    size = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    a, b = size.toDF("a", "na"), size.toDF("b", "nb")
-    both = rows.toDF("a", "article_id").join(rows.toDF("b", "article_id"), "article_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-    pairs = a.join(b, F.col("a") < F.col("b")).join(both, ["a", "b"], "left")
-    k = F.coalesce("k", F.lit(0))
-    return pairs.agg(F.coalesce(F.avg(1 - k / (F.col("na") + F.col("nb") - k)), F.lit(0.0)).alias("personalization"))
+    rows = events.where("event_type = 'impression' and user_id <> ''").orderBy("user_id", F.desc("event_ts"), F.desc("event_id")).limit(max_rows).select("user_id", "article_id")
+    users = rows.groupBy("user_id").agg(F.collect_set("article_id").alias("seen")).orderBy("user_id").limit(max_users)
+    every = users.agg(F.collect_list("seen").alias("l"))  # at most ``max_rows`` articles of ``max_users`` users
+    both = lambda x, y: F.size(F.array_intersect(x, y))
+    apart = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda y: 1 - both(x, y) / F.nullif(F.size(x) + F.size(y) - both(x, y), F.lit(0)))))
+    return every.select(F.explode_outer(apart).alias("d")).agg(F.coalesce(F.avg("d"), F.lit(0.0)).alias("personalization"))
+
+
+def mean_ndcg(ranks: int) -> Column:
+    """Mean NDCG over rows with w1, w2, ... that have a weight; the ideal order is of the observed ranks."""
+    got = F.array(*[F.coalesce(F.col(f"w{r}"), F.lit(0.0)) for r in range(1, ranks + 1)])
+    gain = lambda a: F.aggregate(F.transform(a, lambda w, i: w / F.log2(i + F.lit(2.0))), F.lit(0.0), lambda x, y: x + y)
+    ideal = gain(F.sort_array(got, asc=False))
+    return F.coalesce(F.avg(F.when(ideal > 0, gain(got) / ideal)), F.lit(0.0)).alias("ndcg")
+
+
+def rank_sums(ranks: int) -> list[Column]:
+    return [F.sum(f"w{r}").alias(f"w{r}") for r in range(1, ranks + 1)]
 
 
 def ndcg_at(events: DataFrame, k: int = 10) -> DataFrame:
-    """Mean NDCG over requests with a positive event; the ideal order is of the observed ranks up to k."""
-    weight = F.lit(0.0)
-    for t, v in WEIGHTS.items():
-        weight = F.when(F.col("event_type") == t, v).otherwise(weight)
-    per = events.where(F.col("event_type").isin(POSITIVE) & F.col("rank").between(1, k)).groupBy("rec_request_id", "rank").agg(F.sum(weight).alias("w"))
-    ideal = F.row_number().over(Window.partitionBy("rec_request_id").orderBy(F.desc("w"), "rank"))  # at most k rows
-    sums = per.withColumn("i", ideal).groupBy("rec_request_id").agg(F.sum(F.col("w") / F.log2(F.col("rank") + 1)).alias("dcg"), F.sum(F.col("w") / F.log2(F.col("i") + 1)).alias("idcg"))
-    return sums.where("idcg > 0").agg(F.coalesce(F.avg(F.col("dcg") / F.col("idcg")), F.lit(0.0)).alias("ndcg"))
+    """Mean NDCG over requests with a positive event; the ideal order is of the observed ranks up to k (A7): one aggregation, no sort of the log."""
+    by_rank = [F.sum(F.when(F.col("rank") == r, weight())).alias(f"w{r}") for r in range(1, k + 1)]
+    return events.where(F.col("event_type").isin(POSITIVE) & F.col("rank").between(1, k)).groupBy("rec_request_id").agg(*by_rank).agg(mean_ndcg(k))
 
 
-def summary(events: DataFrame, requests: DataFrame, articles: DataFrame) -> DataFrame:
-    """Nine metrics in long form: (metric, value)."""
-    by_cell = cells(events)
-    one = per_request(by_cell, articles).agg(*totals(), mean_diversity()).crossJoin(seen_articles(by_cell)).crossJoin(articles.agg(F.count(F.lit(1)).alias("total"))).crossJoin(requests.agg(F.count(F.lit(1)).alias("requests"))).crossJoin(personalization(events)).crossJoin(ndcg_at(events))
+def summary(events: DataFrame, requests: DataFrame | None, articles: DataFrame, k: int = 10) -> DataFrame:
+    """Nine metrics in long form: (metric, value) (A8); without a request log, the requests are those of the events.
+
+    The log is read for the cells, which are written, and for the bounded
+    personalization; all else comes from the cells.
+    """
+    by_cell = materialize(cells(events, k), "cells")
+    per = per_request(by_cell, articles, k)
+    one = per.agg(*totals(), mean_diversity(), mean_ndcg(k), F.count(F.lit(1)).alias("seen_requests")).crossJoin(seen_articles(by_cell)).crossJoin(articles.agg(F.count(F.lit(1)).alias("total"))).crossJoin(personalization(events))
+    one = one.withColumnRenamed("seen_requests", "requests") if requests is None else one.crossJoin(requests.agg(F.count(F.lit(1)).alias("requests")))
     c = F.col
     metrics = {
         "hit_rate": ratio(c("positive_requests"), c("requests")),

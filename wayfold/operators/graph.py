@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import functools
+
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+
+from wayfold.runtime import materialize
 
 
 def children_summary(edges: DataFrame, nodes: DataFrame, most: int = 20) -> DataFrame:
@@ -18,14 +22,20 @@ def roll_up(edges: DataFrame, values: DataFrame, depth: int = 6) -> DataFrame:
     """(id, n, total): the number and the sum of values over all paths of 1 to ``depth`` edges below each node.
 
     Values move up one level a step and are added before the next, so no path
-    is listed; a node reached over two paths counts twice, as paths do.
+    is listed; a node reached over two paths counts twice, as paths do.  Edges
+    and levels are written, so that a level reads its links and the level
+    below once, and the steps end with the first empty level.
     """
-    level, out = values.select("id", F.lit(1).cast("bigint").alias("n"), F.col("value").alias("total")), None
-    links = edges.select("src", "dst")
+    links, levels = materialize(edges.select("src", "dst"), "links"), []
+    level = values.select("id", F.lit(1).cast("bigint").alias("n"), F.col("value").alias("total"))
     for _ in range(depth):
-        level = links.join(level.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).withColumnRenamed("src", "id")
-        out = level if out is None else out.unionByName(level)
-    return out.groupBy("id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        seen = Observation()
+        up = links.join(level.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        level = materialize(up.observe(seen, F.count(F.lit(1)).alias("rows")), "level")
+        levels.append(level)
+        if not seen.get["rows"]:
+            break
+    return functools.reduce(DataFrame.unionByName, levels).groupBy("id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 def descendants(edges: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame:

@@ -111,7 +111,7 @@ def ndcg_at_10(spark, d):
   SELECT 'ctr', round({_q('clicks', 'impressions')}, 6) FROM c UNION ALL SELECT 'cvr', round({_q('conversions', 'clicks')}, 6) FROM c""")
 def reco_summary(spark, d):
     """The flagship query."""
-    return ev.summary(event_log(spark, d), request_log(spark, d), article_dim(spark, d))
+    return ev.summary(event_log(spark, d), None, article_dim(spark, d))
 
 
 @R.query(f"WITH {EV} SELECT event_id, event_type, article_id FROM ev WHERE event_ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY")
@@ -124,10 +124,10 @@ def time_window_filter(spark, d):
   round({_q("count(*) FILTER (event_type = 'click')", "count(*) FILTER (event_type = 'impression')")}, 6) AS ctr
   FROM (VALUES ('1d', 86400), ('7d', 604800), ('30d', 2592000)) w(name, s) LEFT JOIN ev ON event_ts >= TIMESTAMP '{AS_OF}' - to_seconds(s) GROUP BY 1""")
 def windowed_metrics(spark, d):
-    """The last 1, 7 and 30 days in one pass over the log."""
+    """The last 1, 7 and 30 days in one pass over the part of the log since the longest window began."""
     windows = {"1d": DAY, "7d": 7 * DAY, "30d": 30 * DAY}
     age = F.unix_timestamp(F.lit(AS_OF).cast("timestamp")) - F.unix_micros(F.col("event_ts").cast("timestamp")) / 1e6
-    log = event_log(spark, d)
+    log = ev.since(event_log(spark, d), AS_OF, max(windows.values()))
     aggs = [F.count(F.when((F.col("event_type") == t) & (age <= s), 1)).alias(f"{w}_{t}") for w, s in windows.items() for t in ("impression", "click")]
     one = log.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(w).alias("win"), F.col(f"{w}_impression").alias("impressions"), F.col(f"{w}_click").alias("clicks")) for w in windows])
