@@ -54,6 +54,16 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.size(F.array_intersect(a, b)) / n).otherwise(0.0)
 
 
+def keyword_set(c: Column) -> Column:
+    """The distinct runs of at least two digits, Latin letters and Han signs, in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9\u4e00-\u9fff]+"), lambda x: F.char_length(x) >= 2))
+
+
+def hashtags(c: Column) -> Column:
+    """What stands behind number signs, as often as it stands there."""
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"#([\p{IsHan}A-Za-z0-9_\-]+)"), F.lit(1))
+
+
 def fixed_windows(c: Column, size: int, overlap_chars: int) -> Column:
     """Windows of ``size`` characters, each ``overlap_chars`` into the one before (X2); the last ends with the text."""
     step = size - overlap_chars

@@ -44,10 +44,17 @@ def capped_then_fill(df: DataFrame, group: str, order: list[Column], per_group:
 
 
 def round_robin(df: DataFrame, group: str, order: list[Column], limit: int) -> DataFrame:
-    """One of each group in turn; in a turn by order, which is the groups' order by first row in the first turn."""
+    """One of each group in turn, with its ``turn``; in every turn the groups come in the order of their first rows.
+
+    Only the first ``limit`` rows of a group and the groups of the ``limit``
+    best first rows can be taken: the window keeps no more of a group, and the
+    number of groups that are ordered is bounded before they are joined.
+    """
     w = Window.partitionBy(group).orderBy(*order)
     ranked = df.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= limit)
-    return ranked.orderBy("turn", *order).limit(limit)
+    first = ranked.where("turn = 1").orderBy(*order).limit(limit)
+    place = first.withColumn("__place", F.row_number().over(Window.orderBy(*order))).select(F.col(group).alias("__g"), "__place")  # at most ``limit`` rows
+    return ranked.join(F.broadcast(place), F.col(group).eqNullSafe(F.col("__g"))).orderBy("turn", "__place").limit(limit).drop("__g", "__place")
 
 
 def latest_unique(df: DataFrame, group: str, value: str, pos: str, n: int) -> DataFrame:

@@ -49,10 +49,21 @@ def latest_per_group(df: DataFrame, group: str, order: list[str], keep: list[str
     return df.groupBy(group).agg(F.max(F.struct(*order, *[c for c in keep if c not in order])).alias("m"), F.count(F.lit(1)).alias("n")).select(group, *[F.col(f"m.{c}").alias(c) for c in keep], "n")
 
 
-def keyset_page(df: DataFrame, key: str, tie: str, cursor: str | None, limit: int = 20) -> DataFrame:
-    """The page after ``cursor``, newest first; ``has_more`` tells whether another follows."""
+def keyset_page(df: DataFrame, key: str, tie: str, cursor: str | tuple | None, limit: int = 20) -> DataFrame:
+    """The page after ``cursor``, newest first; ``has_more`` tells whether another follows.
+
+    A cursor is the (key, tie) of the last row seen, so that rows of one key
+    on both sides of a page's end are all seen once; a key alone leaves out
+    all rows of that key.
+    """
     n = clamp_limit(limit, 20, 50)
-    rows = df if cursor is None else df.where(F.col(key) < F.lit(cursor).cast(df.schema[key].dataType))
+    rows = df
+    if cursor is not None:
+        at = cursor if isinstance(cursor, tuple) else (cursor,)
+        last = [F.lit(v).cast(df.schema[c].dataType) for v, c in zip(at, (key, tie))]
+        after = F.col(key) < last[0]
+        # the first bound alone reaches the scan
+        rows = df.where(after if len(last) == 1 else (F.col(key) <= last[0]) & (after | (F.col(tie) < last[1])))
     page = rows.orderBy(F.desc(key), F.desc(tie)).limit(n + 1)
     w = Window.orderBy(F.desc(key), F.desc(tie))  # at most n + 1 rows
     return page.withColumn("pos", F.row_number().over(w)).withColumn("has_more", F.count(F.lit(1)).over(Window.partitionBy()) > n).where(F.col("pos") <= n)

@@ -70,17 +70,16 @@ def guide_dedup(spark, d):
     return op.dedup(c, "k", F.coalesce("vote_up_count", F.lit(0)), "candidate_id").select("k", "candidate_id", "sources")
 
 
-@R.query("SELECT candidate_id, row_number() OVER (ORDER BY CASE status WHEN 'accepted' THEN 0 WHEN 'review' THEN 1 WHEN 'rejected' THEN 2 ELSE 3 END, score DESC NULLS LAST, candidate_id)::INT AS place FROM zhihu_guide_candidates WHERE run_id = (SELECT min(run_id) FROM zhihu_guide_candidates)")
+@R.query("SELECT run_id, candidate_id, row_number() OVER (PARTITION BY run_id ORDER BY CASE status WHEN 'accepted' THEN 0 WHEN 'review' THEN 1 WHEN 'rejected' THEN 2 ELSE 3 END, score DESC NULLS LAST, candidate_id)::INT AS place FROM zhihu_guide_candidates")
 def guide_rank(spark, d):
-    """The candidates of a run by status, then score."""
+    """The candidates of every run by status, then score."""
     c = cands(spark, d)
-    c = c.join(c.agg(F.min("run_id").alias("run_id")), "run_id")
     status = F.when(F.col("status") == "accepted", 0).when(F.col("status") == "review", 1).when(F.col("status") == "rejected", 2).otherwise(3)
     c = c.select("run_id", "candidate_id", "score", status.alias("s"))
-    return distributed_rank(c, ["run_id"], [F.col("s").asc(), F.desc_nulls_last("score"), F.col("candidate_id").asc()], "place").select("candidate_id", F.col("place").cast("int").alias("place"))
+    return distributed_rank(c, ["run_id"], [F.col("s").asc(), F.desc_nulls_last("score"), F.col("candidate_id").asc()], "place").select("run_id", "candidate_id", F.col("place").cast("int").alias("place"))
 
 
-@R.query("""WITH p AS (SELECT candidate_id, url_hash, regexp_replace(trim(url), '[?#].*$', '') AS u FROM zhihu_guide_candidates WHERE candidate_id % 3 <> 0), d AS (SELECT candidate_id AS decision_id, CASE WHEN candidate_id % 2 = 0 THEN url_hash END AS h, regexp_replace(trim(url), '[?#].*$', '') AS u FROM zhihu_guide_candidates),
+@R.query("""WITH p AS (SELECT candidate_id, url_hash, regexp_replace(trim(url), '[?#].*$', '') AS u FROM zhihu_guide_candidates), d AS (SELECT candidate_id AS decision_id, CASE WHEN candidate_id % 2 = 0 THEN url_hash END AS h, regexp_replace(trim(url), '[?#].*$', '') AS u FROM zhihu_guide_candidates),
   ph AS (SELECT url_hash, min(candidate_id) AS c FROM p WHERE url_hash IS NOT NULL GROUP BY 1), pu AS (SELECT u, min(candidate_id) AS c FROM p GROUP BY 1)
   SELECT decision_id, coalesce(ph.c, pu.c) AS candidate_id FROM d LEFT JOIN ph ON ph.url_hash = d.h LEFT JOIN pu ON pu.u = d.u""")
 def decision_match(spark, d):
@@ -101,14 +100,14 @@ def decision_fill(spark, d):
     return human.withColumn("by", F.lit("human")).union(auto.withColumn("by", F.lit("auto")))
 
 
-_PLAN = ", ".join(f"({i}, '{s}', '{k}')" for i, (s, k) in enumerate(op.QUERY_TEMPLATES[:8]))
+_PLAN = ", ".join(f"({i}, '{s}', '{k}')" for i, (s, k) in enumerate(op.QUERY_TEMPLATES))
 
 
 @R.query(f"WITH t AS (SELECT DISTINCT trim(substr(run_id, 17)) AS topic FROM zhihu_guide_candidates WHERE trim(substr(run_id, 17)) <> '') SELECT topic, pos, trim(topic || s) AS query, intent FROM t, (VALUES {_PLAN}) v(pos, s, intent)")
 def query_plan(spark, d):
     """Queries of each topic from templates."""
     topics = cands(spark, d).select(F.trim(F.expr("substring(run_id, 17)")).alias("t")).where("t <> ''").distinct()
-    return op.query_plan(topics, "t", 8)
+    return op.query_plan(topics, "t", len(op.QUERY_TEMPLATES))
 
 
 @R.query("SELECT run_id, list(DISTINCT source_intent ORDER BY source_intent)[1:24] AS topics FROM zhihu_guide_candidates WHERE source_intent IS NOT NULL GROUP BY 1")

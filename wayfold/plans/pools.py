@@ -124,7 +124,7 @@ def build_pool_items(spark, d):
 
 
 @R.query("""WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id % 97, vec_id) AS turn FROM embeddings)
-  SELECT vec_id, label, turn FROM r ORDER BY turn, vec_id % 97, vec_id LIMIT 30""")
+  SELECT r.vec_id, label, turn FROM r JOIN (SELECT label, vec_id % 97 AS a, vec_id AS b FROM r WHERE turn = 1) f USING (label) ORDER BY turn, a, b LIMIT 30""")
 def round_robin_diversify(spark, d):
     """W7."""
     e = load(spark, d, "embeddings").select("vec_id", "label")
@@ -147,11 +147,12 @@ def latest_unique_n(spark, d):
     return op.latest_unique(load(spark, d, "events").select("user_id", "event_type", "event_id"), "user_id", "event_type", "event_id", 3)
 
 
-@R.query("""WITH x AS (SELECT vec_id * 7 % 1000 AS id, vec_id AS pos FROM embeddings) SELECT id, min(pos) AS pos FROM x WHERE id IN (SELECT vec_id FROM embeddings WHERE label < 5) GROUP BY 1 ORDER BY 2 LIMIT 40""")
+@R.query("""WITH x AS (SELECT vec_id * 7 % (SELECT 2 * count(*) FROM embeddings) AS id, vec_id AS pos FROM embeddings) SELECT id, min(pos) AS pos FROM x WHERE id IN (SELECT vec_id FROM embeddings WHERE label < 5) GROUP BY 1 ORDER BY 2 LIMIT 40""")
 def rerank_guard(spark, d):
-    """Proposed ids limited to candidates, once each."""
+    """Proposed ids, of which every other one is no row, limited to candidates, once each."""
     e = load(spark, d, "embeddings")
-    proposed = e.select((F.col("vec_id") * 7 % 1000).alias("id"), F.col("vec_id").alias("pos"))
+    n = e.agg((2 * F.count(F.lit(1))).alias("n"))  # one row
+    proposed = e.crossJoin(n).select((F.col("vec_id") * 7 % F.col("n")).alias("id"), F.col("vec_id").alias("pos"))
     return op.guard_output(proposed, e.where("label < 5").select(F.col("vec_id").alias("id")), "id", "pos", 40)
 
 

@@ -82,11 +82,15 @@ def include_exclude_filter(spark, d):
     return op.include_exclude(load(spark, d, "orders"), "o_orderpriority", ["1-URGENT", " 2-HIGH ", "", "5-LOW"], ["2-HIGH", " "]).select("o_orderkey", "o_orderpriority")
 
 
-@R.query("""SELECT o_orderkey, o_orderdate, pos, (SELECT count(*) FROM (SELECT 1 FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' LIMIT 21)) > 20 AS has_more FROM
-  (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS pos FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01') WHERE pos <= 20""")
+@R.query(f"""SELECT o_orderkey, o_orderdate, 1 AS page, pos, TRUE AS has_more FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS pos FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01') WHERE pos <= 20
+  UNION ALL SELECT o_orderkey, o_orderdate, 2, pos - 20, n > 40 FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS pos, count(*) OVER () AS n FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01') WHERE pos BETWEEN 21 AND 40""")
 def keyset_page(spark, d):
-    """A page of 20 after a cursor."""
-    return op.keyset_page(load(spark, d, "orders"), "o_orderdate", "o_orderkey", "1996-01-01 00:00:00", 20).select("o_orderkey", "o_orderdate", "pos", "has_more")
+    """A page of 20 before a date, and the page after its last row."""
+    o = load(spark, d, "orders")
+    one = op.keyset_page(o, "o_orderdate", "o_orderkey", "1996-01-01 00:00:00", 20).select("o_orderkey", "o_orderdate", F.lit(1).alias("page"), "pos", "has_more")
+    last = one.where("pos = 20").first()
+    two = op.keyset_page(o, "o_orderdate", "o_orderkey", (last["o_orderdate"], last["o_orderkey"]), 20) if last else o.limit(0).withColumns({"pos": F.lit(0), "has_more": F.lit(False)})
+    return one.unionByName(two.select("o_orderkey", "o_orderdate", F.lit(2).alias("page"), "pos", "has_more"))
 
 
 @R.query("SELECT chunk_id, length(content)::INT AS n_tokens FROM article_chunks WHERE chunk_id IN (SELECT chunk_id FROM article_chunks WHERE h2 = '小结')")

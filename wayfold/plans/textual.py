@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from wayfold.functions import strings as fx
-from wayfold.operators import markdown
+from wayfold.operators import fusion, markdown
+from wayfold.operators.ranking import distributed_rank
 from wayfold.plans.registry import Registry
 from wayfold.runtime import load
 
@@ -44,29 +45,69 @@ def keyword_coverage(spark, d):
     return load(spark, d, "embeddings").select("vec_id", F.round(fx.keyword_coverage(F.col("vec_id") % 9), 6).alias("coverage"))
 
 
-@R.query(f"""WITH s AS (SELECT article_id, type_tags, tags, title FROM articles),
-  k AS (SELECT article_id, unnest({_sig('type_tags')}) AS k, 5 AS w FROM s UNION ALL SELECT article_id, unnest({_sig('tags')}), 4 FROM s UNION ALL SELECT article_id, unnest({_sig('title')}), 2 FROM s)
-  SELECT article_id, k AS keyword, sum(w)::BIGINT AS weight FROM k GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY sum(w) DESC, length(k), k) <= 5""")
-def keyword_detect(spark, d):
-    """Weighted keywords from types, tags and title, heavier, shorter and first in order."""
-    a = load(spark, d, "articles")
-    part = lambda c, w: a.select("article_id", F.explode(fx.signals(F.col(c))).alias("keyword"), F.lit(w).alias("w"))
-    k = part("type_tags", 5).union(part("tags", 4)).union(part("title", 2)).groupBy("article_id", "keyword").agg(F.sum("w").alias("weight"))
-    r = F.row_number().over(Window.partitionBy("article_id").orderBy(F.desc("weight"), F.char_length("keyword"), "keyword"))
-    return k.withColumn("r", r).where("r <= 5").drop("r")
+def _edge(c):
+    return f"trim(trim(trim({c}), '{_EDGE}'))"
+
+
+_KEEP = "list_filter({}, lambda x: length(x) BETWEEN 2 AND 24 AND lower(x) NOT IN ('type', 'title', 'tag', 'tags', 'intro', 'summary'))"
 
 
-@R.query(f"""WITH a AS (SELECT article_id, score::DOUBLE AS score, {_sig('tags')} AS t, {_sig('type_tags')} AS u, row_number() OVER (ORDER BY created_at DESC, article_id) AS r, count(*) OVER () AS n FROM articles)
-  SELECT article_id, round(0.35 * coalesce(score, 0) + 0.45 * CASE WHEN greatest(len(t), len(u)) > 0 THEN len(list_intersect(t, u)) / greatest(len(t), len(u))::DOUBLE ELSE 0 END + 0.20 * (1 - (r - 1) / n::DOUBLE), 6) AS score FROM a WHERE r <= 100""")
+@R.query(f"""WITH h AS (SELECT article_id, list(trim(h2) ORDER BY chunk_id) FILTER (trim(coalesce(h2, '')) <> '') AS h FROM article_chunks GROUP BY 1),
+  s AS (SELECT a.article_id, {_KEEP.format(_sig('type_tags'))} AS ty, {_KEEP.format(_sig('tags'))} AS tg, list_concat([coalesce(title, '')], coalesce(h, [])) AS x FROM articles a LEFT JOIN h USING (article_id)),
+  k AS (SELECT article_id, unnest(ty) AS k, 5 AS w, generate_subscripts(ty, 1) AS n, 0 AS part, 0 AS no FROM s UNION ALL SELECT article_id, unnest(tg), 4, generate_subscripts(tg, 1), 1, 0 FROM s
+    UNION ALL SELECT article_id, unnest(l), 4, generate_subscripts(l, 1), 2, no FROM (SELECT article_id, no, {_KEEP.format("list_transform(regexp_extract_all(t, '#([\\p{Han}A-Za-z0-9_\\-]+)', 1), lambda y: " + _edge('y') + ")")} AS l FROM (SELECT article_id, unnest(x) AS t, generate_subscripts(x, 1) AS no FROM s))
+    UNION ALL SELECT article_id, unnest(l), 2, generate_subscripts(l, 1), 3, no FROM (SELECT article_id, no, {_KEEP.format(_sig('t'))} AS l FROM (SELECT article_id, unnest(x) AS t, generate_subscripts(x, 1) AS no FROM s))),
+  g AS (SELECT article_id, lower(k) AS key, sum(w)::BIGINT AS weight, min((part, no, n)) AS seen, arg_min(k, (part, no, n)) AS keyword FROM k GROUP BY 1, 2)
+  SELECT article_id, keyword, weight FROM g QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY weight DESC, length(keyword), seen) <= 5""")
+def keyword_detect(spark, d):
+    """Weighted keywords from types, tags, hashtags and pieces of title and headings; heavier, shorter and first seen in order."""
+    heads = load(spark, d, "article_chunks").where(F.trim(F.coalesce("h2", F.lit(""))) != "").groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", F.trim("h2").alias("h")))).alias("h"))
+    a = load(spark, d, "articles").join(heads, "article_id", "left")
+    texts = F.concat(F.array(F.coalesce("title", F.lit(""))), F.coalesce(F.transform("h", lambda x: x["h"]), F.array().cast("array<string>")))
+    a = a.select("article_id", "type_tags", "tags", texts.alias("x"))
+    kept = lambda c: F.filter(c, lambda x: F.char_length(x).between(2, 24) & ~F.lower(x).isin(fx.KEYWORD_STOPS))
+    edged = lambda c: F.transform(c, lambda y: F.trim(F.btrim(F.trim(y), F.lit(fx.SIGNAL_EDGES))))
+    entry = lambda c, w, part, no: F.transform(c, lambda k, n: F.struct(k.alias("k"), F.lit(w).alias("w"), F.struct(F.lit(part).alias("part"), no.alias("no"), n.alias("n")).alias("at")))
+    per_text = lambda f, w, part: F.flatten(F.transform("x", lambda t, no: entry(kept(f(t)), w, part, no)))
+    zero = F.lit(0)
+    every = F.concat(entry(fx.keyword_pieces(F.col("type_tags")), 5, 0, zero), entry(fx.keyword_pieces(F.col("tags")), 4, 1, zero), per_text(lambda t: edged(fx.hashtags(t)), 4, 2), per_text(fx.signals, 2, 3))
+    k = a.select("article_id", F.explode(every).alias("e")).groupBy("article_id", F.lower("e.k").alias("key")).agg(F.sum("e.w").alias("weight"), F.min(F.struct("e.at", "e.k")).alias("m"))
+    r = F.row_number().over(Window.partitionBy("article_id").orderBy(F.desc("weight"), F.char_length("m.k"), "m.at"))
+    return k.withColumn("r", r).where("r <= 5").select("article_id", F.col("m.k").alias("keyword"), "weight")
+
+
+INTENT, TOP_K = "周末 护肤 旅行攻略 预算 日语学习 夜市", 12
+_SET = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]+'), lambda x: length(x) >= 2))"
+_PRE = f"""q AS (SELECT {_SET.format(f"'{INTENT}'")} AS q),
+  x AS (SELECT article_id, coalesce(score, 0)::DOUBLE AS s, row_number() OVER (ORDER BY created_at DESC, article_id) - 1 AS i, count(*) OVER () AS n, {_SET.format("coalesce(title, '') || ' ' || coalesce(type_tags, '') || ' ' || coalesce(tags, '')")} AS t,
+    coalesce(list_filter(list_transform(string_split(lower(coalesce(type_tags, '')), ','), lambda y: trim(y)), lambda y: y <> '')[1], nullif(trim(lower(coalesce(title, ''))), ''), 'default') AS cluster FROM articles),
+  p AS (SELECT article_id, cluster, i, round(0.35 * s + 0.45 * CASE WHEN len(t) > 0 THEN len(list_intersect(t, q)) / greatest(len(t), len(q))::DOUBLE ELSE 0 END + 0.20 * CASE WHEN n <= 1 THEN 1 ELSE 1 - i / (n - 1)::DOUBLE END, 6) AS score FROM x, q)"""
+
+
+@R.query(f"WITH {_PRE} SELECT article_id, cluster, score FROM p")
 def prefilter_score(spark, d):
-    """Score, overlap and recency, the latter by an explicit order."""
+    """Every article's score, overlap with the intent and recency, the latter by an explicit order, and its cluster."""
+    return _prefilter(spark, d).select("article_id", "cluster", "score")
+
+
+def _prefilter(spark, d):
     a = load(spark, d, "articles")
-    total = a.agg(F.count(F.lit(1)).alias("n"))
-    newest = a.orderBy(F.desc("created_at"), "article_id").limit(100)
-    r = F.row_number().over(Window.orderBy(F.desc("created_at"), "article_id"))  # at most 100 rows
-    s = newest.withColumn("r", r).crossJoin(total)
-    score = 0.35 * F.coalesce(F.col("score").cast("double"), F.lit(0.0)) + 0.45 * fx.overlap(fx.signals(F.col("tags")), fx.signals(F.col("type_tags"))) + 0.20 * (1 - (F.col("r") - 1) / F.col("n"))
-    return s.select("article_id", F.round(score, 6).alias("score"))
+    n = a.agg(F.count(F.lit(1)).alias("n"))  # one row
+    placed = distributed_rank(a, [], [F.desc("created_at"), F.col("article_id").asc()], "place").crossJoin(n)
+    recency = F.when(F.col("n") <= 1, 1.0).otherwise(1 - (F.col("place") - 1) / (F.col("n") - 1))
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("type_tags", F.lit("")), F.coalesce("tags", F.lit("")))
+    score = 0.35 * F.coalesce(F.col("score").cast("double"), F.lit(0.0)) + 0.45 * fx.overlap(fx.keyword_set(F.lit(INTENT)), fx.keyword_set(text)) + 0.20 * recency
+    kinds = F.filter(F.transform(F.split(F.lower(F.coalesce("type_tags", F.lit(""))), ","), lambda y: F.trim(y)), lambda y: y != "")
+    cluster = F.coalesce(F.try_element_at(kinds, F.lit(1)), F.nullif(F.trim(F.lower(F.coalesce("title", F.lit("")))), F.lit("")), F.lit("default"))
+    return placed.select("article_id", cluster.alias("cluster"), F.round(score, 6).alias("score"), "place")
+
+
+@R.query(f"""WITH {_PRE}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, i) AS turn FROM p), f AS (SELECT cluster, score AS fs, i AS fi FROM r WHERE turn = 1)
+  SELECT article_id, cluster, turn, score FROM r JOIN f USING (cluster) ORDER BY turn, fs DESC, fi LIMIT least(greatest(2 * {TOP_K}, 12), 30)""")
+def rerank_prefilter(spark, d):
+    """The candidates of a reranking: of all articles by score, one of each cluster in turn, 12 to 30 of them (the feature's cap)."""
+    best = fusion.round_robin(_prefilter(spark, d), "cluster", [F.desc("score"), F.col("place").asc()], min(max(2 * TOP_K, 12), 30))
+    return best.select("article_id", "cluster", "turn", "score")
 
 
 @R.query("SELECT chunk_id, i::INT AS no, substr(content, (i * 280 + 1)::BIGINT, 320) AS chunk FROM article_chunks, range(0, 1000) r(i) WHERE length(content) > 0 AND i <= greatest(ceil((length(content) - 40) / 280.0) - 1, 0)")

@@ -111,7 +111,7 @@ def route_pairs(spark, d):
     return o.select("trip", F.col("stop").alias("src"), F.lead("stop").over(w).alias("dst"), (F.lead(F.to_date("o_orderdate")).over(w) != F.to_date("o_orderdate")).alias("across")).where("dst is not null")
 
 
-@R.query("""WITH o AS (SELECT o_custkey AS k, min(o_orderdate)::DATE AS lo, max(o_orderdate)::DATE AS hi FROM orders WHERE o_custkey % 25 = 0 GROUP BY 1),
+@R.query("""WITH o AS (SELECT o_custkey AS k, min(o_orderdate)::DATE AS lo, max(o_orderdate)::DATE AS hi FROM orders GROUP BY 1),
   m AS (SELECT k, 'month' AS unit, row_number() OVER (PARTITION BY k ORDER BY x) AS no, greatest(x::DATE, lo) AS lo, least(last_day(x::DATE), hi) AS hi FROM o, unnest(generate_series(date_trunc('month', lo)::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 MONTH)) t(x)),
   w AS (SELECT k, 'week' AS unit, row_number() OVER (PARTITION BY k ORDER BY x) AS no, x::DATE AS lo, least(x::DATE + 6, hi) AS hi FROM o, unnest(generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 7 DAY)) t(x))
   SELECT k, unit, no::INT AS no, lo, hi FROM m UNION ALL SELECT k, unit, no::INT, lo, hi FROM w""")
