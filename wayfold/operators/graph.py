@@ -76,7 +76,7 @@ def islands(df: DataFrame, group: str, day: Column, least: int = 1) -> DataFrame
 
 
 def first_keyword(df: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
-    """(key, word, pos): of the words contained in the text the one that stands first, of these the longest.
+    """(key, word, pos): of the words contained in the text the one that stands first, of these the longest.
 
     The words are a given list; the text is scanned for each inside the JVM.
     """

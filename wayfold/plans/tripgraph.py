@@ -140,20 +140,11 @@ def budget_share_deviation(spark, d):
 
 
 @R.query("""SELECT doc_id, word, pos FROM (SELECT doc_id, w AS word, instr(text, w) AS pos, row_number() OVER (PARTITION BY doc_id ORDER BY instr(text, w), length(w) DESC, w) AS r FROM documents, (VALUES ('湖心岛'), ('湖'), ('天文台'), ('古镇'), ('夜市')) k(w) WHERE contains(text, w)) WHERE r = 1""")
-def geo_scope_violation(spark, d):
-    """The first keyword of a list in each text, the longest of those at one place."""
+def first_keyword(spark, d):
+    """The first keyword of a list in each text, the longest of those at one place."""
     return op.first_keyword(load(spark, d, "documents"), "doc_id", "text", ["湖心岛", "湖", "天文台", "古镇", "夜市"])
 
 
-@R.query("""WITH k AS (SELECT * FROM (VALUES ('湖心岛'), ('天文台'), ('古镇'), ('火星')) k(w)) SELECT w AS anchor, EXISTS (SELECT 1 FROM article_chunks WHERE contains(content, w)) AS covered FROM k""")
-def anchor_coverage(spark, d):
-    """Whether any text contains an anchor; one pass with one flag for each anchor."""
-    words = ["湖心岛", "天文台", "古镇", "火星"]
-    c = load(spark, d, "article_chunks")
-    flags = c.agg(*[F.coalesce(F.max(F.contains(F.col("content"), F.lit(w))), F.lit(False)).alias(f"c{i}") for i, w in enumerate(words)])
-    return flags.select(F.explode(F.array(*[F.struct(F.lit(w).alias("anchor"), F.col(f"c{i}").alias("covered")) for i, w in enumerate(words)])).alias("r")).select("r.*")
-
-
 @R.query("""WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS n FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 7), o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS r FROM orders)
   SELECT o_orderkey, p_partkey FROM o JOIN a ON n = r % 7""")
 def modulo_assign(spark, d):
