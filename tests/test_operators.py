@@ -282,3 +282,13 @@ def test_ingest_and_services(spark, tmp_path):
         limit.wait()
     assert waits == [0.5, 1.0]
     assert one(spark, services.lexical_rerank(F.lit("ab"), F.lit("xa")).alias("s")).s == 0.5
+
+
+def test_unclosed_signs_take_linear_time():
+    import time
+
+    t = time.perf_counter()
+    for text in ("(" * 100_000, "“" * 100_000, "(“" * 50_000 + ")", '"' * 100_001):
+        tokenize(text)
+    assert time.perf_counter() - t < 5
+    assert tokenize("a(b,c),“d“e”,f”,(g,h") == ["a(b,c)", "d“e”,f", "(g", "h"]

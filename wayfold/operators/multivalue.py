@@ -23,13 +23,25 @@ _SPECIAL = re.compile("[" + re.escape(DELIMITERS + LIST_SIGNS + "".join(QUOTES)
 _ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}|.)", re.S)
 
 
+def _partners(text: str) -> dict[int, int]:
+    """The places of the opening signs that have an end of another shape, and of their ends: one pass with a stack for each kind."""
+    ends = {close: opening for opening, close in (QUOTES | NESTING).items() if close != opening}
+    waiting: dict[str, list[int]] = {opening: [] for opening in ends.values()}
+    out = {}
+    for i, ch in enumerate(text):
+        if ch in waiting:
+            waiting[ch].append(i)
+        elif ch in ends and waiting[ends[ch]]:
+            out[waiting[ends[ch]].pop()] = i
+    return out
+
+
 def _quoted(text: str, at: int) -> tuple[str, int] | None:
-    """The value of the quote that opens at ``at`` and the place behind its end; None if it never ends."""
-    opening = text[at]
-    closing, i, depth, out = QUOTES[opening], at + 1, 1, []
+    """The value of the straight quote that opens at ``at`` and the place behind its end; None if it never ends."""
+    sign, i, out = text[at], at + 1, []
     while i < len(text):
         ch = text[i]
-        if ch == "\\" and opening in "\"'" and (m := _ESCAPE.match(text, i)):
+        if ch == "\\" and (m := _ESCAPE.match(text, i)):
             code = m.group(1)
             if code[0] == "u" and len(code) == 5:
                 out.append(chr(int(code[1:], 16)))
@@ -37,74 +49,68 @@ def _quoted(text: str, at: int) -> tuple[str, int] | None:
                 out.append(code if code in "\"'\\/" else m.group())
             i = m.end()
             continue
-        if ch == closing:
-            if opening == closing and text[i + 1 : i + 2] == closing:  # doubled quote
-                out.append(ch)
-                i += 2
-                continue
-            depth -= 1
-            if not depth:
+        if ch == sign:
+            if text[i + 1 : i + 2] != sign:
                 return "".join(out), i + 1
-        elif ch == opening:
-            depth += 1
+            i += 1  # a doubled quote is a quote
         out.append(ch)
         i += 1
     return None
 
 
-def _nested_end(text: str, at: int) -> int | None:
-    """The place behind the bracket that closes the one at ``at``; None if it never closes."""
-    opening, depth = text[at], 0
-    for i in range(at, len(text)):
-        depth += (text[i] == opening) - (text[i] == NESTING[opening])
-        if not depth:
-            return i + 1
-    return None
-
-
 def tokenize(text: str | None) -> list[str]:
     """The values of a field in order; an empty list for null, blank or valueless text.
 
     States: between values, in an unquoted value, in a quote (with its depth),
     behind a quote.  A quote opens only where a value begins and only if it
     ends; other quote signs belong to the value.  Delimiters inside round
-    brackets belong to the value if the brackets close.
+    brackets belong to the value if the brackets close.  Time is linear in the
+    text: where brackets and paired quotes end is found in one pass.
     """
     if not text:
         return []
     values: list[str] = []
     buf: list[str] = []
-    i, n = 0, len(text)
+    begun = False  # the value has a sign that isn't white space
+    i, n, partners = 0, len(text), None
+
+    def hold(part: str):
+        nonlocal begun
+        buf.append(part)
+        begun = begun or bool(part.strip(WHITE_SPACE))
 
     def emit():
-        v = "".join(buf).strip(WHITE_SPACE)
-        if v:
+        nonlocal begun
+        if v := "".join(buf).strip(WHITE_SPACE):
             values.append(v)
         buf.clear()
+        begun = False
 
     while i < n:
         m = _SPECIAL.search(text, i)
         if m is None:
-            buf.append(text[i:])
+            hold(text[i:])
             break
-        buf.append(text[i : m.start()])
-        ch, i = m.group(), m.end()
+        hold(text[i : m.start()])
+        ch, at, i = m.group(), m.start(), m.end()
+        if partners is None and (ch in NESTING or ch in QUOTES):
+            partners = _partners(text)
         if ch in DELIMITERS or ch in LIST_SIGNS:
             emit()
         elif ch in QUOTES:
-            q = _quoted(text, m.start()) if not "".join(buf).strip(WHITE_SPACE) else None
+            q = None
+            if not begun:
+                q = _quoted(text, at) if QUOTES[ch] == ch else (text[at + 1 : partners[at]], partners[at] + 1) if at in partners else None
             if q is not None:
                 buf.clear()
-                buf.append(q[0])
+                hold(q[0])
                 i = q[1]
-            elif "".join(buf).strip(WHITE_SPACE) or ch == "'":
-                buf.append(ch)
+            elif begun or ch == "'":
+                hold(ch)
             # a quote that opens a value and never ends only marks it
         else:
-            end = _nested_end(text, m.start())
-            stop = i if end is None else end
-            buf.append(text[m.start() : stop])
-            i = stop
+            i = partners[at] + 1 if at in partners else i
+            hold(text[at:i])
     emit()
     return values
 
