@@ -1,8 +1,9 @@
 """Problem 6: one row of counts, recency and totals per entity, for hundreds of event types.
 
-Method: event types are partitioned into blocks; every block is aggregated by
-entity; the blocks, all partitioned by entity, are joined onto the complete
-entity table without a further shuffle.
+Method: event types are partitioned into blocks; every block is stored in a
+folder of its own, bucketed by entity; a block is read from its folder once,
+aggregated by entity in place, and the co-bucketed blocks are joined onto the
+complete entity table without a further shuffle of theirs.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wayfold.functions.text import nonblank
-from wayfold.runtime import materialize
+from wayfold.runtime import materialize_buckets, partitions
 
 #: Types in a block: wide enough for few joins, narrow enough for one generated aggregation.
 BLOCK_TYPES = 32
@@ -40,19 +41,17 @@ def entity_blocks(events: DataFrame, type_names: list[str], block: int = BLOCK_T
     """One (user_id, block) for each block of types; block maps a type's number to its (n, last, total).
 
     Events are first summed by (user_id, event_type), partly before they are
-    shuffled; after that an entity has at most one row for each type, and a
-    block's aggregation holds at most ``block`` entries for it.
+    shuffled; after that an entity has at most one row for each type.  The sums
+    are written once, by block and bucketed by entity: a block reads its own
+    folder, and neither its aggregation nor its joins shuffle it again.
     """
+    spark = events.sparkSession
+    numbers = spark.createDataFrame([(t, i) for i, t in enumerate(type_names)], "event_type string, number int")
     sums = events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"), F.sum("preference").alias("total"))
-    sums = materialize(sums, "p6-sums")
-    out = []
-    for i in range(0, len(type_names), block):
-        names = type_names[i : i + block]
-        number = F.create_map(*[x for j, t in enumerate(names) for x in (F.lit(t), F.lit(i + j))])
-        entry = F.struct(number[F.col("event_type")].alias("key"), F.struct("n", "last", "total").alias("value"))
-        mine = sums.where(F.col("event_type").isin(names)).select("user_id", entry.alias("e")).repartition("user_id")
-        out.append(mine.groupBy("user_id").agg(F.map_from_entries(F.collect_list("e")).alias("block")))
-    return out
+    sums = sums.join(F.broadcast(numbers), "event_type").select("user_id", "number", "n", "last", "total", F.floor(F.col("number") / block).cast("int").alias("block"))  # at most MAX_TYPES names
+    stored = materialize_buckets(sums, "p6-sums", "block", "user_id", partitions(spark))
+    entry = F.struct(F.col("number").alias("key"), F.struct("n", "last", "total").alias("value"))
+    return [stored.where(F.col("block") == k).groupBy("user_id").agg(F.map_from_entries(F.collect_list(entry)).alias("block")) for k in range(-(-len(type_names) // block))]
 
 
 def _joined(history: DataFrame, types: DataFrame, block: int) -> tuple[DataFrame, list[str], list[str]]:

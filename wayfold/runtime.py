@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: str | None = None
 _WRITTEN: list[str] = []
+_TABLES: list[str] = []
 _SHIPPED: set[str] = set()
 
 
@@ -86,6 +87,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_buckets(df: DataFrame, label: str, part: str, by: str, buckets: int) -> DataFrame:
+    """Write ``df`` into the shared folder, a folder for each value of ``part``, each bucketed and sorted by ``by``; return a scan of it.
+
+    A filter on ``part`` reads its folder only; grouping and joining by ``by``
+    need no shuffle.  The table has a name in the session's catalogue until
+    ``release``.
+    """
+    spark = df.sparkSession
+    name = f"wayfold_{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, by).write.option("compression", "zstd").option("path", scratch(spark, label))
+    writer.partitionBy(part).bucketBy(buckets, by).sortBy(by).saveAsTable(name)
+    _TABLES.append(name)
+    return spark.table(name)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder below the shared one, deleted by ``release``; it isn't created yet."""
     path = f"{shared_root(spark).rstrip('/')}/wayfold-{label}-{uuid.uuid4().hex}"
@@ -137,6 +153,8 @@ def release(spark: SparkSession) -> int:
 
     To be called when no result that depends on them is still to be read.
     """
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     n = 0
     while _WRITTEN:
         p = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
