@@ -1,4 +1,4 @@
-"""Hierarchies and property graphs as node and edge tables."""
+"""Hierarchies and property graphs as node and edge tables."""
 
 from __future__ import annotations
 
@@ -90,3 +90,75 @@ def haversine_km(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Colu
     r = F.radians
     a = F.pow(F.sin(r(lat2 - lat1) / 2), 2) + F.cos(r(lat1)) * F.cos(r(lat2)) * F.pow(F.sin(r(lng2 - lng1) / 2), 2)
     return 2 * 6371 * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+
+
+def subgraph(nodes: DataFrame, branches: dict[str, DataFrame]) -> DataFrame:
+    """Nodes (id, ...) with one array for each branch (J14, J15, A20): the distinct rows (as structs, in order) that belong to the node.
+
+    A branch has ``id``, the node, and any other columns.  Each branch is
+    gathered by node before it is joined, so branches don't multiply each
+    other; a node without rows of a branch has an empty array.
+    """
+    out = nodes
+    for name, b in branches.items():
+        item = F.struct(*[F.col(f"`{c}`") for c in b.columns if c != "id"])
+        own = b.groupBy("id").agg(F.sort_array(F.collect_set(item)).alias(name))
+        out = out.join(own, "id", "left")
+    kinds = dict(out.dtypes)
+    return out.select(*[F.coalesce(F.col(c), F.array().cast(kinds[c])).alias(c) if c in branches else F.col(c) for c in out.columns])
+
+
+def scan(nodes: DataFrame, label: str, **props) -> DataFrame:
+    """Nodes (id, label, props map) of a label with the given properties (S19); the filters stand at the scan."""
+    hit = F.col("label") == label
+    for k, v in props.items():
+        hit = hit & (F.col("props")[k] == F.lit(str(v)))
+    return nodes.where(hit)
+
+
+def create(nodes: DataFrame, edges: DataFrame, new: DataFrame, target: str, rel: str, outgoing: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The graph with new nodes (columns of nodes, and ``target``), each with an edge to its target, or from it; only where the target exists."""
+    known = new.join(nodes.select(F.col("id").alias(target)).distinct(), target, "left_semi")
+    ends = (F.col("id"), F.col(target)) if outgoing else (F.col(target), F.col("id"))
+    made = known.select(ends[0].alias("src"), ends[1].alias("dst"), F.lit(rel).alias("rel"))
+    return nodes.unionByName(known.select(*nodes.columns)), edges.unionByName(made, allowMissingColumns=True)
+
+
+def merge_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame, order: str) -> DataFrame:
+    """Edges (src, dst, rel, props) after a merge of new ones (K15, K17): one edge for each (src, dst, rel), the properties of the latest by ``order``; new edges without both ends are dropped."""
+    ids = nodes.select("id").distinct()
+    whole = new.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    both = edges.withColumn("__o", F.lit(None).cast(new.schema[order].dataType)).unionByName(whole.withColumnRenamed(order, "__o").select("src", "dst", "rel", "props", "__o"))
+    return both.groupBy("src", "dst", "rel").agg(F.max_by("props", F.struct(F.col("__o").isNotNull(), "__o")).alias("props"))
+
+
+def merge_create_only(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Old rows as they are, and of new keys the first row by ``order``."""
+    rest = [c for c in old.columns if c not in keys]
+    first = new.join(old.select(*keys), keys, "left_anti").groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("m"))
+    return old.unionByName(first.select(*keys, *[F.col("m")[c].alias(c) for c in rest]))
+
+
+def soft_delete(nodes: DataFrame, gone: DataFrame, at: str, reason: str) -> DataFrame:
+    """Nodes (id, status, props map) of which the gone ones stay, rejected and dimmed."""
+    marks = F.create_map(*[F.lit(x) for k, v in (("visibility", "dimmed"), ("deleted_at", at), ("deleted_reason", reason)) for x in (k, v)])
+    hit = F.col("__g").isNotNull()
+    kept = F.map_filter(F.coalesce("props", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("visibility", "deleted_at", "deleted_reason"))
+    out = nodes.join(gone.select("id", F.lit(1).alias("__g")).distinct(), "id", "left")
+    return out.withColumn("status", F.when(hit, "rejected").otherwise(F.col("status"))).withColumn("props", F.when(hit, F.map_concat(kept, marks)).otherwise(F.col("props"))).drop("__g")
+
+
+def content_edges(chunks: DataFrame, order: list[str]) -> DataFrame:
+    """Edges (src, dst, rel, weight) of articles and their chunks (K17): HAS_CHILD, and NEXT from each chunk to the next of its article."""
+    child = chunks.select(F.col("article_id").alias("src"), F.col("chunk_id").alias("dst"), F.lit("HAS_CHILD").alias("rel"), F.lit(1.0).alias("weight")).distinct()
+    w = Window.partitionBy("article_id").orderBy(*order)
+    follow = chunks.select(F.col("chunk_id").alias("src"), F.lead("chunk_id").over(w).alias("dst"), F.lit("NEXT").alias("rel"), F.lit(1.0).alias("weight")).where("dst is not null")
+    return child.unionByName(follow)
+
+
+def macro_route(stops: DataFrame, trip: str, place: str, order: list[str], located, most: int = 12) -> DataFrame:
+    """(trip, no, src, dst): the first ``most`` distinct places of each trip in order, of these the located ones, each connected with the next."""
+    first = stops.groupBy(trip, place).agg(F.min(F.struct(*order)).alias("at"), F.max(located).alias("located"))
+    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy(trip).orderBy("at", place))).where((F.col("r") <= most) & F.col("located"))
+    w = Window.partitionBy(trip).orderBy("r")
+    return ranked.select(trip, F.row_number().over(w).alias("no"), F.col(place).alias("src"), F.lead(place).over(w).alias("dst")).where("dst is not null")

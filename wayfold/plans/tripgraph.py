@@ -40,7 +40,7 @@ def unplanned_children(spark, d):
 
 @R.query("""SELECT r_name, count(DISTINCT n_nationkey) AS nations, count(DISTINCT c_custkey) AS customers, count(DISTINCT o_orderkey) AS orders FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def hierarchy_overview(spark, d):
-    """A fixed-depth walk, each level aggregated before it is joined."""
+    """A fixed-depth walk, each level aggregated before it is joined."""
     o = load(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("orders"))
     c = load(spark, d, "customer").join(o, "c_custkey", "left").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("customers"), F.sum("orders").alias("orders"))
     n = load(spark, d, "nation").join(c, "n_nationkey", "left").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count(F.lit(1)).alias("nations"), F.sum("customers").alias("customers"), F.sum("orders").alias("orders"))
@@ -105,7 +105,7 @@ def interval_join_days(spark, d):
 @R.query("""WITH x AS (SELECT o_custkey AS trip, o_orderkey AS stop, o_orderdate::DATE AS day, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders)
   SELECT trip, stop AS src, lead(stop) OVER w AS dst, lead(day) OVER w <> day AS across FROM x WINDOW w AS (PARTITION BY trip ORDER BY n) QUALIFY dst IS NOT NULL""")
 def route_pairs(spark, d):
-    """Consecutive stops, also from a day's last to the next day's first."""
+    """Consecutive stops, also from a day's last to the next day's first."""
     w = Window.partitionBy("trip").orderBy("o_orderdate", "stop")
     o = load(spark, d, "orders").select(F.col("o_custkey").alias("trip"), F.col("o_orderkey").alias("stop"), "o_orderdate")
     return o.select("trip", F.col("stop").alias("src"), F.lead("stop").over(w).alias("dst"), (F.lead(F.to_date("o_orderdate")).over(w) != F.to_date("o_orderdate")).alias("across")).where("dst is not null")
