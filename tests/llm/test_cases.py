@@ -511,3 +511,50 @@ def test_shared_spans_edges(spark):
     assert shared_spans.shared_spans(one, "doc_id", "text").count() == 0
     c = {x.doc_id: x for x in shared_spans.shared_coverage(spark.createDataFrame([(1, t), (2, t + "x"), (3, None)], schema), "doc_id", "text").collect()}
     assert c[1].shared_ratio == 1.0 and c[2].shared_chars == 300 and c[3].n_chars == 0
+
+
+# ---- problem 10 by paragraphs
+
+
+def test_components(spark):
+    from wayfold.llm import paragraphs
+
+    r = random.Random(6)
+    links = [(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 9), (9, 7)] + [(500, 500 + i) for i in range(1, 30)] + [(r.randrange(1000, 1040), r.randrange(1000, 1040)) for _ in range(30)]
+    links = [(a, b) for a, b in links if a != b]
+    up = {x: x for p in links for x in p}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    assert {r.node: r.component for r in paragraphs.components(spark.createDataFrame(links, "a long, b long")).collect()} == {x: root(x) for x in up}
+    assert paragraphs.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_equal_paragraphs(spark):
+    from wayfold.llm import paragraphs
+
+    r = random.Random(9)
+    base = [prose(200, r) for _ in range(4)]
+    texts = {1: base[0] + "\n\n" + base[1], 2: edited(base[0], 0.01, r) + "\n短", 3: base[2] + "\n  " + base[0] + " ", 4: None, 5: "", 6: base[3], 7: base[1].upper() + "\r\n" + prose(3000, r)}
+    df = spark.createDataFrame([*((i, t, "clash") for i, t in texts.items()), (None, base[3], ""), (6, base[3], "again")], "doc_id long, text string, pid string")
+    got = {(x.doc_id, x.no): (x.copies, x.removed) for x in paragraphs.clustered_paragraphs(df, "doc_id", "text").collect()}
+    assert got == {(1, 0): (3, False), (2, 0): (3, True), (3, 1): (3, True), (1, 2): (2, False), (7, 0): (2, True)}
+    cover = {x.doc_id: (x.n_paragraphs, x.clustered, x.removed) for x in paragraphs.paragraph_coverage(df, "doc_id", "text").collect()}
+    assert cover == {1: (2, 2, 0), 2: (2, 1, 1), 3: (2, 1, 1), 6: (1, 0, 0), 7: (2, 1, 1)}
+    assert paragraphs.clustered_paragraphs(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_spans_that_a_hash_alone_would_share_are_dropped(spark, monkeypatch):
+    """With a hash that is the same for all stretches, the texts decide."""
+    df = spark.createDataFrame([(1, 0, 2, 0, 0, 0, 100), (3, 0, 2, 0, 5, 5, 120)], "id long, tk int, wid long, wtk int, shift int, lo int, hi int")
+    a, b = prose(150, random.Random(1)), prose(150, random.Random(2))
+    texts = spark.createDataFrame([(1, 0, a), (2, 0, b), (3, 0, "x" * 5 + b)], "id long, tk int, t string")
+    from pyspark.sql import types as T
+
+    assert [tuple(r) for r in shared_spans._verified(df, texts, T.LongType()).collect()] == [(3, 0, 5, 120)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfold.functions.text import strip
-from wayfold.llm import capping, incremental, near_duplicates, packing, shared_spans, splitting, tokens, topn
+from wayfold.llm import capping, incremental, near_duplicates, packing, paragraphs, shared_spans, splitting, tokens, topn
 from wayfold.runtime import load, scratch
 
 
@@ -76,7 +76,12 @@ def p10_coverage(spark, d):
     return shared_spans.shared_coverage(load(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p4_found, p4_sampled, p5_found, p5_classes, p7_found, p8_ids, p9_containers, p10_found, p10_coverage)}
+def p10_paragraphs(spark, d):
+    """Problem 10 by the method named: near-equal paragraphs of each document, and how many of them are to go."""
+    return paragraphs.paragraph_coverage(load(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p4_found, p4_sampled, p5_found, p5_classes, p7_found, p8_ids, p9_containers, p10_found, p10_coverage, p10_paragraphs)}
 
 _WS = "chr(9) || chr(10) || chr(13) || ' ' || chr(160) || chr(12288)"
 _PLAIN = "lower(regexp_replace({}, '[' || " + _WS + " || ']', '', 'g'))"
@@ -107,6 +112,16 @@ SQL = {
             SELECT rn, CASE WHEN hit IS NULL THEN list_append(kept, id) ELSE kept END, id, hit
             FROM (SELECT o.rn, r.kept, o.id, list_min(list_intersect(o.earlier, r.kept)) AS hit FROM r JOIN o ON o.rn = r.rn + 1))
       SELECT hit AS first_id, id AS repeat_id FROM r WHERE hit IS NOT NULL""",
+    "p10_coverage": """
+      WITH g AS (SELECT doc_id, i, md5(substr(text, i::BIGINT, 100)) AS s FROM documents, range(1, 1 + greatest(length(text) - 99, 0)) r(i)),
+      c AS (SELECT s FROM g GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+      h AS (SELECT DISTINCT doc_id, i FROM g JOIN c USING (s)),
+      x AS (SELECT *, CASE WHEN i <= lag(i) OVER w + 100 THEN 0 ELSE 1 END AS st FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+      y AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM x),
+      z AS (SELECT doc_id, max(i) + 100 - min(i) AS n FROM y GROUP BY doc_id, run),
+      t AS (SELECT doc_id, count(*) AS n_spans, sum(n)::BIGINT AS shared_chars FROM z GROUP BY 1)
+      SELECT doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(shared_chars, 0)::BIGINT AS shared_chars,
+             CASE WHEN length(text) > 0 THEN round(coalesce(shared_chars, 0) / length(text)::DOUBLE, 6) ELSE 0 END AS shared_ratio FROM documents LEFT JOIN t USING (doc_id)""",
     "p10_found": """
       WITH g AS (SELECT doc_id, i, md5(substr(text, i::BIGINT, 100)) AS s FROM documents, range(1, 1 + greatest(length(text) - 99, 0)) r(i)),
       c AS (SELECT s FROM g GROUP BY s HAVING count(DISTINCT doc_id) > 1),
@@ -129,6 +144,13 @@ SQL = {
     "p5_found": f"""
       WITH {_shingles("(SELECT chunk_id AS id, content FROM article_chunks)", _PLAIN.format("content"), 40)}
       SELECT a AS chunk_id_a, b AS chunk_id_b FROM k JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 10 * k >= 6 * (x.n + y.n - k)""",
+    "p5_classes": f"""
+      WITH {_shingles("(SELECT chunk_id AS id, content FROM article_chunks)", _PLAIN.format("content"), 40)},
+      l AS (SELECT t AS w, id FROM t WHERE length(t) >= 40), m AS (SELECT w, count(*) AS copies FROM l GROUP BY 1),
+      s AS (SELECT a, b FROM k JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 10 * k >= 6 * (x.n + y.n - k)),
+      e AS (SELECT p.w AS x, q.w AS y FROM s JOIN l p ON p.id = a JOIN l q ON q.id = b WHERE p.w <> q.w),
+      lk AS (SELECT x, count(DISTINCT y) AS links FROM (SELECT x, y FROM e UNION ALL SELECT y, x FROM e) GROUP BY 1)
+      SELECT id AS chunk_id, copies, coalesce(links, 0)::BIGINT AS links FROM l JOIN m USING (w) LEFT JOIN lk ON lk.x = w""",
     "p7_found": f"""
       WITH x AS (SELECT user_id, lower(trim(pool_type, {_WS})) AS pool_type, coalesce(period_bucket, '') AS period_bucket, article_id,
                         CASE WHEN isnan(score) THEN NULL ELSE score END AS score, inserted_at FROM user_pool_items),
