@@ -90,3 +90,26 @@ def test_small_merges(spark):
 def test_places(spark):
     r = spark.range(1).select(fx.polyline_points(F.lit('[{"polyline":"1,2;1,2;3,4"},{"polyline":"3,4;5,6"}]')).alias("p"), fx.static_map_url("http://m", "k", F.lit(1.5), F.lit(2.0)).alias("u"), fx.static_map_url("http://m", "k", F.lit(0.0), F.lit(0.0)).alias("v")).collect()[0]
     assert [(x.lng, x.lat) for x in r.p] == [(1, 2), (3, 4), (5, 6)] and r.u.startswith("http://m?location=1.5,2.0") and r.v is None
+
+
+def test_author_search_health_and_memory_tools(spark):
+    from wayfold.engine import Engine, default_tools
+
+    ts = "2025-01-0{} 00:00:00".format
+    cast = lambda df, c: df.withColumn(c, F.col(c).cast("timestamp"))
+    articles = cast(spark.createDataFrame([("a1", "湖心岛 夜游", "u1", 0.5, ts(1)), ("a2", "天文台", "u1", 0.6, ts(2)), ("a3", "渡口", "u2", None, ts(3))], "article_id string, title string, author_id string, score float, created_at string"), "created_at")
+    users = spark.createDataFrame([("u1", "旅行家"), ("u2", "小旅行"), ("u3", "旅行")], "author_id string, author_name string")
+    history = cast(spark.createDataFrame([("h", "u1", "a1", True, 1.0, ts(1)), ("h2", "u1", "a2", True, 1.0, ts(2))], "history_id string, user_id string, article_id string, clicked boolean, preference float, ts string"), "ts")
+    memory = cast(spark.createDataFrame([("u1", "long", "", "old", ts(1))], "user_id string, memory_type string, period_bucket string, content string, updated_at string"), "updated_at")
+    chunks = cast(spark.createDataFrame([("u1", "long", None, 0, "喜欢湖心岛", ts(1)), ("u1", "long", None, 1, "喜欢天文台", ts(2)), ("u1", "long", None, 2, "夜市小吃", ts(2))], "user_id string, memory_type string, period_bucket string, chunk_index int, content string, updated_at string"), "updated_at")
+    e = Engine(spark, {"articles": articles, "users": users, "user_rec_history": history, "user_memory": memory, "user_memory_chunks": chunks, "article_chunks": articles, "user_pool_items": history})
+    assert [tuple(r) for r in e.author_search(" 旅行 ").collect()] == [("u1", "旅行家", 1, 2, "a2", "天文台"), ("u2", "小旅行", 2, 1, "a3", "渡口")]
+    assert {r.name: r.n_rows for r in e.health().collect()}["articles"] == 3
+    t = default_tools(e)
+    key = '"user_id": "u1", "memory_type": "long", "period_bucket": ""'
+    assert t.invoke("user_memory_get", "{" + key + "}").collect()[0].content == "old"
+    assert [r.content for r in t.invoke("user_memory_upsert", "{" + key + ', "content": "new", "updated_at": "2025-02-01 00:00:00"}').collect()] == ["new"]
+    assert t.invoke("user_history_add", '{"user_id": "u1", "article_id": "a3", "clicked": true, "preference": 2, "ts": "2025-02-01 00:00:00"}').count() == 3
+    assert t.invoke("user_history_similar", '{"user_id": "u1", "query": "湖心岛 夜游", "n": 1}').collect()[0].article_id == "a1"
+    hits = t.invoke("user_memory_hybrid_search", "{" + key + ', "query": "天文台", "top_k": 2}').orderBy("rank").collect()
+    assert hits[0].content == "喜欢天文台" and {h.content for h in hits} <= {"喜欢天文台", "夜市小吃"}

@@ -292,3 +292,59 @@ def test_unclosed_signs_take_linear_time():
         tokenize(text)
     assert time.perf_counter() - t < 5
     assert tokenize("a(b,c),“d“e”,f”,(g,h") == ["a(b,c)", "d“e”,f", "(g", "h"]
+
+
+def test_image_groups(spark):
+    from wayfold.functions import content as cx
+
+    rows = [("a", [("image", "u1"), ("IMAGE ", " u2 "), ("image", " "), ("text", "x"), ("image", "u3")]), ("b", [("text", None)]), ("c", []), ("d", None)]
+    df = spark.createDataFrame(rows, "id string, b array<struct<type:string,text:string>>").select("id", cx.image_groups(F.col("b")).alias("g"))
+    assert {r.id: r.g for r in df.collect()} == {"a": [["u1", "u2"], ["u3"]], "b": [], "c": [], "d": []}
+    got = df.select("id", F.explode("g").alias("g")).select(cx.image_chunk(F.col("g")).alias("c")).collect()
+    assert [(r.c.content_type, r.c.content) for r in got] == [("multi_images", '["u1","u2"]'), ("image", "u3")]
+
+
+def test_guide_status_of_rejects_and_weak_ones(spark):
+    rows = [("成都广告软文", "u", "UP主", "成都旅游广告内容"), ("成都攻略", "u", "黑名单UP", "成都旅游攻略内容"), ("成都旅游完整路线攻略", "u", "UP主A", "成都路线、住宿、交通和美食的完整经验总结，适合第一次去成都自由行。"), ("无关内容", "u", "UP主B", "这是一条和主题关系很弱的内容。")]
+    c = spark.createDataFrame(rows, "title string, url string, author_name string, summary string").withColumns({"source_intent": F.lit("overview"), "publish_time": F.lit(0).cast("bigint")})
+    c = c.withColumns({k: F.lit(100_000).cast("bigint") for k in ("view_count", "like_count", "favorite_count", "danmaku_count")})
+    text = guide.full_text(F.col("title"), F.col("summary"))
+    out = guide.reject_reason(F.col("title"), F.col("url"), F.col("author_name"), text, ["黑名单"], ["广告"]).isNotNull()
+    s = guide.status(out, guide.video_score(c, ["成都"], [], [], "2025-06-01 00:00:00"), guide.count_contained(text, ["成都"]), F.col("summary"), F.col("view_count"), accept=60, review=20, least_summary=10, least_popularity=10)
+    assert [r.s for r in c.select(s.alias("s")).collect()] == ["rejected", "rejected", "accepted", "review"]
+
+
+def test_freshness_with_an_age_limit(spark):
+    df = spark.createDataFrame([(d,) for d in (10, 100, 350, 500, 2000)], "days long").select(guide.freshness(F.unix_timestamp(F.lit("2025-06-01 00:00:00").cast("timestamp")) - F.col("days") * 86_400, "2025-06-01 00:00:00", 300).alias("x"), guide.freshness(F.unix_timestamp(F.lit("2025-06-01 00:00:00").cast("timestamp")) - F.col("days") * 86_400, "2025-06-01 00:00:00").alias("y"))
+    assert [tuple(r) for r in df.collect()] == [(15.0, 15.0), (9.0, 9.0), (1.0, 9.0), (1.0, 5.0), (1.0, 2.0)]
+
+
+def test_graph_writes(spark):
+    nodes = spark.createDataFrame([("t", "trip"), ("p", "poi")], "id string, label string")
+    edges = spark.createDataFrame([], "src string, dst string, rel string")
+    new = spark.createDataFrame([("i1", "insight", "t"), ("i2", "insight", "gone"), ("i3", "insight", None)], "id string, label string, trip string")
+    n, e = graph.create(nodes, edges, new, "trip", "BELONGS")
+    assert {r.id for r in n.collect()} == {"t", "p", "i1"} and [tuple(r) for r in e.collect()] == [("i1", "t", "BELONGS")]
+    old = spark.createDataFrame([("t", "p", "R", "x"), ("p", "t", "R", "y")], "src string, dst string, rel string, props string")
+    add = spark.createDataFrame([("t", "p", "R", "b", 2), ("t", "p", "R", "a", 1), ("t", "q", "R", "c", 3)], "src string, dst string, rel string, props string, at int")
+    assert {tuple(r) for r in graph.merge_edges(old, add, nodes, "at").collect()} == {("t", "p", "R", "b"), ("p", "t", "R", "y")}
+    sub = graph.subgraph(nodes.select("id"), {"x": spark.createDataFrame([("t", 2), ("t", 1), ("t", 2)], "id string, v int"), "y": spark.createDataFrame([("p", "a")], "id string, w string")})
+    assert {r.id: ([x.v for x in r.x], [y.w for y in r.y]) for r in sub.collect()} == {"t": ([1, 2], []), "p": ([], ["a"])}
+    gone = graph.soft_delete(spark.createDataFrame([("a", "open", {"k": "1", "visibility": "on"}), ("b", "open", None)], "id string, status string, props map<string,string>"), spark.createDataFrame([("a",), ("b",), ("z",)], "id string"), "now", "why")
+    assert {r.id: (r.status, r.props["visibility"], r.props.get("k")) for r in gone.collect()} == {"a": ("rejected", "dimmed", "1"), "b": ("rejected", "dimmed", None)}
+
+
+def test_greedy_choice_by_brute_force(spark):
+    r = random.Random(3)
+    rows = [(g, s, r.randrange(6), float(r.randrange(4))) for g in range(8) for s in range(5) for _ in range(3)]
+    df = spark.createDataFrame(rows, "g long, s long, item long, score double")
+    want = set()
+    for g in range(8):
+        taken = set()
+        for s in range(5):
+            for _, i in sorted((-x[3], x[2]) for x in rows if x[:2] == (g, s)):
+                if i not in taken:
+                    taken.add(i)
+                    want.add((g, s, i))
+                    break
+    assert {tuple(x) for x in merge.greedy_choice(df.select("g", "s").distinct(), df, "g", "s", "item", "score").collect()} == want

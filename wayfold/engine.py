@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import time
 from collections.abc import Callable
@@ -10,13 +11,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from wayfold.functions import strings as fx
-from wayfold.operators import evaluation, fusion, merge, search, vectors
+from wayfold.functions.content import WINDOWS, history_id
+from wayfold.operators import evaluation, fusion, lexical, merge, search, vectors
 from wayfold.sources import services, tables
 
-#: Windows of the evaluation in seconds.
-WINDOWS = {"1h": 3600, "6h": 21_600, "24h": 86_400, "7d": 604_800, "30d": 2_592_000}
-
-
 def parse_window(text: str, default: str = "24h") -> int:
     return WINDOWS.get(text.strip().lower(), WINDOWS[default])
 
@@ -54,6 +52,19 @@ class Engine:
         rank = search.match_rank(F.col("title"), query)
         return a.withColumn("match_rank", rank).where("match_rank is not null").orderBy("match_rank", F.desc_nulls_last("score"), F.desc("created_at"), F.desc("article_id")).limit(search.clamp_limit(limit, 10, 50)).select("article_id", "title", "match_rank", "score")
 
+    def author_search(self, query: str, limit: int = 10) -> DataFrame:
+        """Authors (users: author_id, author_name) by name with the number of their articles and the latest (A9, J2, O5); authors without any are left out."""
+        a = self.tables["articles"].select("author_id", "article_id", "title", "created_at")
+        latest = search.latest_per_group(a, "author_id", ["created_at", "article_id"], ["created_at", "article_id", "title"])
+        hit = self.tables["users"].withColumn("match_rank", search.match_rank(F.col("author_name"), query)).where("match_rank is not null")
+        out = hit.join(latest, "author_id").orderBy("match_rank", F.desc("n"), F.desc("created_at"), "author_id").limit(search.clamp_limit(limit, 10, 50))
+        return out.select("author_id", "author_name", "match_rank", F.col("n").alias("article_count"), F.col("article_id").alias("latest_article_id"), F.col("title").alias("latest_article_title"))
+
+    def health(self) -> DataFrame:
+        """(name, n_rows): the tables and their sizes, for scraping."""
+        one = [t.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("name"), "n_rows") for n, t in sorted(self.tables.items())]
+        return functools.reduce(DataFrame.union, one)
+
     def keyword_search(self, query: str, limit: int = 10) -> DataFrame:
         return search.keyword_search(self.tables["articles"], self.tables["article_chunks"], query, limit)
 
@@ -107,8 +118,8 @@ class Engine:
         """Pools with fewer items than wanted."""
         return self.tables["user_pool_items"].groupBy("user_id", "pool_type", "period_bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < least)
 
-    def runs(self, cursor: str | None = None, limit: int = 20) -> DataFrame:
-        """A page of runs (run_id, updated_at), newest first."""
+    def runs(self, cursor: str | tuple | None = None, limit: int = 20) -> DataFrame:
+        """A page of runs (run_id, updated_at), newest first; the cursor is the last row's (updated_at, run_id)."""
         return search.keyset_page(self.tables["runs"], "updated_at", "run_id", cursor, limit)
 
     def run_messages(self, run_id: str) -> DataFrame:
@@ -164,6 +175,34 @@ def default_tools(e: Engine) -> Tools:
     t.register("pool_get_size", lambda **k: pool(**k).agg(F.count(F.lit(1)).alias("n")), "items in a pool", key)
     t.register("pool_pop_topk", lambda k, **p: pool(**p).orderBy(F.desc_nulls_last("remark_score"), "inserted_at", "article_id").limit(k), "the best items of a pool", key | {"k": "integer"})
     t.register("user_history_recent", lambda user_id, n: tab["user_rec_history"].where(F.col("user_id") == user_id).orderBy(F.desc("ts"), "article_id").limit(n), "a user's newest history", {"user_id": "string", "n": "integer"})
+    memory = lambda user_id, memory_type, period_bucket: tab["user_memory"].where((F.col("user_id") == user_id) & (F.col("memory_type") == memory_type) & (F.coalesce("period_bucket", F.lit("")) == period_bucket))
+    mkey = {"user_id": "string", "memory_type": "string", "period_bucket": "string"}
+
+    def upserted(user_id, memory_type, period_bucket, content, updated_at):
+        new = e.spark.createDataFrame([(user_id, memory_type, period_bucket, content, updated_at)], "user_id string, memory_type string, period_bucket string, content string, updated_at string").withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+        return merge.upsert(tab["user_memory"], new, ["user_id", "memory_type", "period_bucket"], "updated_at")
+
+    def added(user_id, article_id, clicked, preference, ts):
+        new = e.spark.createDataFrame([(user_id, article_id, clicked, float(preference), ts)], "user_id string, article_id string, clicked boolean, preference double, ts string").withColumns({"ts": F.col("ts").cast("timestamp"), "preference": F.col("preference").cast("float")})
+        return tab["user_rec_history"].unionByName(new.withColumn("history_id", history_id(F.col("user_id"), F.col("ts"), F.col("article_id"))))
+
+    def similar(user_id, query, n):
+        h = tab["user_rec_history"].where(F.col("user_id") == user_id).join(tab["articles"].select("article_id", "title"), "article_id")
+        return h.withColumn("score", vectors.cosine(services.embed_column(F.col("title"), e.embedder), services.embed_column(F.lit(query), e.embedder))).orderBy(F.desc("score"), F.desc("ts"), "article_id").limit(search.clamp_limit(n, 10, 50))
+
+    def hybrid_memory(user_id, memory_type, period_bucket, query, top_k):
+        rows = vectors.latest_version(tab["user_memory_chunks"].where((F.col("user_id") == user_id) & (F.col("memory_type") == memory_type) & (F.coalesce("period_bucket", F.lit("")) == period_bucket)), ["user_id", "memory_type"], "updated_at")
+        rows = rows.select(F.col("chunk_index").cast("bigint").alias("id"), F.col("content").alias("text"))
+        q = e.spark.createDataFrame([(-1, query)], "query_id bigint, text string")
+        dense = vectors.top_k(q.select(F.col("query_id").alias("id"), services.embed_column(F.col("text"), e.embedder).alias("vec")), rows.select("id", services.embed_column(F.col("text"), e.embedder).alias("vec")), top_k, e.embedder.width)
+        return vectors.hybrid(dense.select("query_id", "id", "score"), lexical.bm25(rows, q, top_k).select("query_id", "id", "score"), top_k).join(rows, "id").select("id", "score", "rank", F.col("text").alias("content"))
+
+    t.register("user_memory_get", lambda **k: memory(**k), "a user's memory", mkey)
+    t.register("user_memory_upsert", upserted, "the memories with one added or replaced", mkey | {"content": "string", "updated_at": "string"})
+    t.register("user_memory_hybrid_search", hybrid_memory, "chunks of the newest memory by meaning and terms", mkey | {"query": "string", "top_k": "integer"})
+    t.register("user_history_add", added, "the history with one row more", {"user_id": "string", "article_id": "string", "clicked": "boolean", "preference": "number", "ts": "string"})
+    t.register("user_history_similar", similar, "a user's history by likeness to a text", {"user_id": "string", "query": "string", "n": "integer"})
+    t.register("doc_ingest", lambda article_id, title, markdown: e.ingest(e.spark.createDataFrame([(article_id, title, markdown)], "article_id string, title string, markdown string").withColumns({"tags": F.lit(""), "created_at": F.current_timestamp()}))["articles"], "the articles with a document added or replaced", {"article_id": "string", "title": "string", "markdown": "string"})
     t.register("keyword_search", lambda query, limit: e.keyword_search(query, limit), "articles that contain a text", {"query": "string", "limit": "integer"})
     t.register("title_search", lambda query, limit: e.title_search(query, limit), "articles by title", {"query": "string", "limit": "integer"})
     t.register("pools_to_refill", lambda least: e.pools_to_refill(least), "pools below a size", {"least": "integer"})

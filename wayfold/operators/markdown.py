@@ -7,6 +7,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
+from wayfold.functions.text import WHITE_SPACE
+
 _IMAGE = re.compile(r"!\[[^\]]*\]\(([^)\s]+)[^)]*\)")
 ARTICLE = T.StructType([
     T.StructField("title", T.StringType()),
@@ -28,14 +30,14 @@ def parse(text: str | None, fallback: str = "") -> dict:
             block("text", "\n".join(para))
             para.clear()
 
-    for line in (text or "").splitlines():
-        s = line.strip()
+    for line in (text or "").split("\n"):
+        s = line.strip(WHITE_SPACE)
         if s.startswith("# ") and not title:
             flush()
-            title = s[2:].strip()
+            title = s[2:].strip(WHITE_SPACE)
         elif s.startswith("## "):
             flush()
-            sections.append({"h2": s[3:].strip(), "blocks": []})
+            sections.append({"h2": s[3:].strip(WHITE_SPACE), "blocks": []})
         elif images := _IMAGE.findall(s):
             flush()
             if rest := _IMAGE.sub("", s).strip():

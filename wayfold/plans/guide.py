@@ -47,11 +47,43 @@ def freshness_bucket(spark, d):
 
 @R.query(f"SELECT candidate_id, {_SCORE} AS score FROM zhihu_guide_candidates")
 def guide_score(spark, d):
-    """X16, X17, X19."""
+    """X16, X19."""
     c = cands(spark, d)
     return c.select("candidate_id", op.score(c, ["攻略", "第一次"], ["预算", "门票"], ["行记"], AS_OF).alias("score"))
 
 
+_MUST = f"(contains({_T}, '攻略')::INT + contains({_T}, '第一次')::INT)"
+_REJECT = f"(coalesce(title, '') = '' OR coalesce(url, '') = '' OR contains(coalesce(author_name, ''), 'Lab') OR contains({_T}, '押金'))"
+
+
+@R.query(f"""SELECT candidate_id, CASE WHEN {_REJECT} OR s < 40 THEN 'rejected' WHEN length(coalesce(summary, '')) < 40 OR coalesce(vote_up_count, 0) < 5 OR {_MUST} = 0 OR NOT coalesce(is_article, FALSE) OR s < 60 THEN 'review' ELSE 'accepted' END AS status FROM (SELECT *, {_SCORE} AS s FROM zhihu_guide_candidates)""")
+def guide_status(spark, d):
+    """Accepted, for review or rejected, by score and by what is weak."""
+    c = cands(spark, d)
+    text, must = op.full_text(F.col("title"), F.col("summary")), ["攻略", "第一次"]
+    out = op.reject_reason(F.col("title"), F.col("url"), F.col("author_name"), text, ["Lab"], ["押金"]).isNotNull()
+    s = op.score(c, must, ["预算", "门票"], ["行记"], AS_OF)
+    return c.select("candidate_id", op.status(out, s, op.count_contained(text, must), F.col("summary"), F.col("vote_up_count"), F.col("is_article"), accept=60, review=40, least_summary=40, least_popularity=5).alias("status"))
+
+
+_VIDEO_INTENT = "CASE WHEN source_intent IS NOT NULL AND source_intent NOT IN ('', 'other') THEN source_intent " + " ".join("WHEN " + " OR ".join(f"contains({_T}, '{w}')" for w in ws) + f" THEN '{k}'" for k, ws in op.VIDEO_INTENTS) + " ELSE 'other' END"
+_VIDEO_FRESH = f"CASE WHEN coalesce(edit_time, 0) <= 0 THEN 3.0 WHEN {_AGE} > 400 THEN 1.0 WHEN {_AGE} <= 30 THEN 15.0 WHEN {_AGE} <= 90 THEN 12.0 WHEN {_AGE} <= 365 THEN 9.0 WHEN {_AGE} <= 1095 THEN 5.0 ELSE 2.0 END"
+_LOG = lambda x: f"log10(greatest(coalesce({x}, 0), 0) + 1)"
+_VIDEO = f"""round((least(30.0, {_MUST} * 12.0) + least(10.0, (contains({_T}, '预算')::INT + contains({_T}, '门票')::INT) * 2.0) + CASE WHEN ({_VIDEO_INTENT}) <> 'other' THEN 22.0 ELSE 6.0 END
+  + least(22.0, {_LOG('vote_up_count * 20')} * 6 + {_LOG('vote_up_count')} * 5 + {_LOG('comment_count')} * 4 + {_LOG('comment_count * 2')} * 2) + ({_VIDEO_FRESH}) + CASE WHEN length(coalesce(title, '')) BETWEEN 6 AND 80 THEN 3 ELSE 0 END
+  + CASE WHEN length(coalesce(summary, '')) BETWEEN 20 AND 500 THEN 3 ELSE 0 END + CASE WHEN contains(coalesce(author_name, ''), '行记') THEN 5.0 ELSE 0.0 END)::DOUBLE, 1)"""
+
+
+@R.query(f"""SELECT candidate_id, s AS score, CASE WHEN {_REJECT} OR s < 45 THEN 'rejected' WHEN length(coalesce(summary, '')) < 20 OR coalesce(vote_up_count * 20, 0) < 100 OR {_MUST} = 0 OR s < 70 THEN 'review' ELSE 'accepted' END AS status FROM (SELECT *, {_VIDEO} AS s FROM zhihu_guide_candidates)""")
+def guide_score_video(spark, d):
+    """Score and status of videos; the candidates' votes and comments stand for the counts of videos."""
+    c = cands(spark, d).withColumns({"view_count": F.col("vote_up_count") * 20, "like_count": F.col("vote_up_count"), "favorite_count": F.col("comment_count"), "danmaku_count": F.col("comment_count") * 2, "publish_time": F.col("edit_time")})
+    text, must = op.full_text(F.col("title"), F.col("summary")), ["攻略", "第一次"]
+    out = op.reject_reason(F.col("title"), F.col("url"), F.col("author_name"), text, ["Lab"], ["押金"]).isNotNull()
+    scored = c.withColumn("v", op.video_score(c, must, ["预算", "门票"], ["行记"], AS_OF, 400))
+    return scored.select("candidate_id", F.col("v").alias("score"), op.status(out, F.col("v"), op.count_contained(text, must), F.col("summary"), F.col("view_count"), accept=70, review=45, least_summary=20, least_popularity=100).alias("status"))
+
+
 @R.query("SELECT run_id, count(*) AS raw, count(DISTINCT url_hash) AS distinct_urls, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'review') AS review, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (search_scope = 'global_search') AS global_scope FROM zhihu_guide_candidates GROUP BY 1")
 def guide_stats(spark, d):
     """A17."""
@@ -110,6 +142,16 @@ def query_plan(spark, d):
     return op.query_plan(topics, "t", len(op.QUERY_TEMPLATES))
 
 
+_VIDEO_PLAN = ", ".join(f"({i}, '{s}', '{k}')" for i, (s, k) in enumerate(op.VIDEO_TEMPLATES))
+
+
+@R.query(f"WITH t AS (SELECT DISTINCT trim(substr(run_id, 17)) AS topic FROM zhihu_guide_candidates WHERE trim(substr(run_id, 17)) <> '') SELECT topic, pos, trim(topic || s) AS query, intent FROM t, (VALUES {_VIDEO_PLAN}) v(pos, s, intent)")
+def query_plan_video(spark, d):
+    """Queries for videos of each topic from templates."""
+    topics = cands(spark, d).select(F.trim(F.expr("substring(run_id, 17)")).alias("t")).where("t <> ''").distinct()
+    return op.query_plan(topics, "t", len(op.VIDEO_TEMPLATES), op.VIDEO_TEMPLATES)
+
+
 @R.query("SELECT run_id, list(DISTINCT source_intent ORDER BY source_intent)[1:24] AS topics FROM zhihu_guide_candidates WHERE source_intent IS NOT NULL GROUP BY 1")
 def guide_topics(spark, d):
     """Distinct topics of a run, at most 24 (the feature's cap)."""

@@ -149,9 +149,13 @@ def stable_id(spark, d):
     return load(spark, d, "zhihu_guide_candidates").select("candidate_id", fx.stable_id("ann-", F.col("url"), F.col("title")).alias("id"))
 
 
-@R.query()
+_H = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('chunk:' || concat_ws('|', article_id, chunk_id)))"
+
+
+@R.query(f"""WITH h AS (SELECT chunk_id, {_H} AS h FROM article_chunks)
+  SELECT chunk_id, 'chk_' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INT % 4 + 1)::BIGINT, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM h""")
 def uuid5_ids(spark, d):
-    """Name-based ids of chunks."""
+    """X11: name-based ids of chunks."""
     c = load(spark, d, "article_chunks")
     return c.select("chunk_id", F.concat(F.lit("chk_"), fx.uuid5_url("chunk", F.concat_ws("|", "article_id", "chunk_id"))).alias("id"))
 
@@ -211,7 +215,11 @@ def html_text_clean(spark, d):
     return load(spark, d, "documents").select("doc_id", fx.html_text(F.concat(F.lit("<p>&lt;"), F.coalesce("text", F.lit("")), F.lit("</p>"))).alias("text"))
 
 
-@R.query()
+_HOST = "lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"
+
+
+@R.query(f"""SELECT candidate_id, CASE WHEN {_HOST} = '' OR url IS NULL THEN NULL WHEN {_HOST} = 'localhost' OR regexp_matches({_HOST}, '^127\\.') THEN 'loopback'
+  WHEN regexp_matches({_HOST}, '^(10\\.|192\\.168\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)') OR {_HOST} LIKE '%.local' THEN 'private' ELSE 'public' END AS host_kind FROM zhihu_guide_candidates""")
 def host_classify(spark, d):
     """S21."""
     return load(spark, d, "zhihu_guide_candidates").select("candidate_id", fx.host_kind(F.col("url")).alias("host_kind"))
