@@ -14,7 +14,7 @@ from wayfold.functions import strings as fx
 from wayfold.functions.text import WHITE_SPACE
 from wayfold.operators import evaluation as ev, features, fusion, graph, guide, markdown, merge, search, vectors
 from wayfold.operators.multivalue import split_values, tokenize
-from wayfold.operators.ranking import distributed_rank
+from wayfold.operators.ranking import distributed_islands, distributed_rank
 from wayfold.sources import services, tables
 
 
@@ -25,6 +25,22 @@ def one(spark, *cols):
 # ---- ranks
 
 
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_distributed_islands(spark, parts):
+    r = random.Random(parts)
+    rows = [(r.choice(["a", "a", "a", "b", None]), i, r.choice([True, True, True, False, None]), "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, s int, l boolean, place string").drop("place").repartition(5)
+    got = distributed_islands(df, "g", [F.col("s").asc()], F.col("l"), parts).collect()
+    want, island, before = {}, 0, None
+    for place, (g, s, l, _) in enumerate(sorted(rows, key=lambda x: (x[0] is not None, x[0] or "", x[1])), 1):  # noqa: E741
+        if not (before and before[0] == g and before[1] and l):
+            island += 1
+        before = (g, l)
+        want[s] = (place, island)
+    assert {x.s: (x.place, x.island) for x in got} == want
+    assert distributed_islands(df.limit(0), "g", [F.col("s").asc()], F.col("l"), parts).count() == 0
+
+
 def test_distributed_rank(spark):
     r = random.Random(1)
     rows = [(r.choice(["a", "a", "a", "b", None]), r.randrange(50), i, "x") for i in range(900)]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wayfold.operators.ranking import distributed_islands, distributed_rank
+
 
 def latest_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The row with the largest ``order`` of each key: one aggregation, combined before the shuffle."""
@@ -69,15 +71,25 @@ def snapshot_fold(log: DataFrame, run: str, kind: str, item: str, seq: str, payl
 
 
 def coalesce_runs(log: DataFrame, run: str, seq: str, text: Column, is_delta: Column) -> DataFrame:
-    """Consecutive deltas joined into one message, other rows single (W8): gaps and islands inside a run."""
-    w = Window.partitionBy(run).orderBy(seq)
+    """Consecutive deltas joined into one message, other rows single (W8); a run with a third of all rows is spread, only a message has to fit a task."""
     marked = log.select(run, seq, text.alias("text"), is_delta.alias("delta"))
-    starts = F.when(F.col("delta") & F.coalesce(F.lag("delta").over(w), F.lit(False)), 0).otherwise(1)
-    grouped = marked.withColumn("start", starts).withColumn("island", F.sum("start").over(w))
+    grouped = distributed_islands(marked, run, [F.col(seq).asc()], F.col("delta"))
     parts = grouped.groupBy(run, "island").agg(F.min(seq).alias("first_seq"), F.first("delta").alias("delta"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(seq, "text"))).alias("p"))
     return parts.select(run, "first_seq", "delta", "n", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("message"))
 
 
+def joined_lines(rows: DataFrame, group: str, order: list[Column], line: Column, lines: int = 500) -> DataFrame:
+    """(group, part, text): the lines of each group in order, so many to a part; ``rank`` in ``line`` is a row's number in its group.
+
+    A group's text may be larger than a task, so it comes in parts; joined by
+    line feeds in order of ``part`` they are the whole.
+    """
+    ranked = distributed_rank(rows, [group], order).select(group, "rank", line.alias("line"))
+    part = ((F.col("rank") - 1) / lines).cast("int").alias("part")
+    held = ranked.groupBy(group, part).agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"))
+    return held.select(group, "part", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+
+
 def next_edges(df: DataFrame, parent: str, node: str, order: list[str]) -> DataFrame:
     """(parent, src, dst): each node and the next of its parent."""
     w = Window.partitionBy(parent).orderBy(*order)

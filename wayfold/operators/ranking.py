@@ -1,4 +1,4 @@
-"""Exact ranks inside groups of any size, without putting a group into one task."""
+"""Exact ranks and islands inside groups of any size, without putting a group into one task."""
 
 from __future__ import annotations
 
@@ -7,6 +7,37 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wayfold.runtime import materialize, partitions
 
 
+def _laid(df: DataFrame, keys: list[Column], order: list[Column], num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows, written in order of (keys, order) with their partition and place in it (__pid, __idx), and how many rows come before each partition (__pid, __before)."""
+    n = num_partitions or partitions(df.sparkSession)
+    ordered = [*[k.asc_nulls_first() for k in keys], *order]
+    laid = materialize(df.repartitionByRange(n, *ordered).sortWithinPartitions(*ordered).withColumn("__pos", F.monotonically_increasing_id()), "ranked")
+    laid = laid.withColumns({"__pid": F.shiftrightunsigned("__pos", 33), "__idx": F.col("__pos").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__pos")
+    parts = laid.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    # one row per partition: the only window without a key, bounded by num_partitions
+    return laid, parts.select("__pid", (F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")).alias("__before"))
+
+
+def distributed_islands(df: DataFrame, group: str, order: list[Column], linked: Column, num_partitions: int | None = None) -> DataFrame:
+    """Add ``place`` (1, 2, ... in the whole order) and ``island``: a row belongs to the island of the row before it if both are of one group and linked.
+
+    Like ``distributed_rank`` no group has to fit a task: neighbours are found
+    inside the partitions of the order, and one row per partition tells the
+    next one how its last row ends.
+    """
+    laid, before = _laid(df.withColumn("__linked", F.coalesce(linked, F.lit(False))), [F.col(f"`{group}`")], order, num_partitions)
+    w = Window.partitionBy("__pid").orderBy("__idx")
+    last = laid.groupBy("__pid").agg(F.max_by(F.struct(F.col(f"`{group}`").alias("g"), F.col("__linked").alias("linked")), "__idx").alias("__last"))
+    ends = last.select("__pid", F.lag("__last").over(Window.orderBy("__pid")).alias("__prev")).join(before, "__pid")  # one row per partition
+    with_prev = laid.join(F.broadcast(ends), "__pid").withColumn("__near", F.coalesce(F.lag(F.struct(F.col(f"`{group}`").alias("g"), F.col("__linked").alias("linked"))).over(w), F.col("__prev")))
+    goes_on = F.coalesce(F.col("__near.g").eqNullSafe(F.col(f"`{group}`")) & F.col("__near.linked") & F.col("__linked") & F.col("__near").isNotNull(), F.lit(False))
+    started = with_prev.withColumn("__start", F.when(goes_on, 0).otherwise(1)).withColumn("__own", F.sum("__start").over(w))
+    heads = laid.select("__pid").distinct().join(started.groupBy("__pid").agg(F.sum("__start").alias("__starts")), "__pid")
+    offsets = heads.select("__pid", (F.sum("__starts").over(Window.orderBy("__pid")) - F.col("__starts")).alias("__offset"))  # one row per partition
+    out = started.join(F.broadcast(offsets), "__pid")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__before") + F.col("__idx") + 1).alias("place"), (F.col("__offset") + F.col("__own")).alias("island"))
+
+
 def distributed_rank(df: DataFrame, groups: list[str], order: list[Column], rank: str = "rank", num_partitions: int | None = None) -> DataFrame:
     """Add ``rank`` (1, 2, ...) inside each group of ``groups`` in the order of ``order``.
 
@@ -21,16 +52,9 @@ def distributed_rank(df: DataFrame, groups: list[str], order: list[Column], rank
     ``order`` must be total for a defined result.  Null groups are a group of
     their own; an empty table gives an empty table; other columns pass through.
     """
-    spark = df.sparkSession
-    n = num_partitions or partitions(spark)
     keys = [F.col(f"`{g}`") for g in groups]
-    laid = df.repartitionByRange(n, *[k.asc_nulls_first() for k in keys], *order).sortWithinPartitions(*[k.asc_nulls_first() for k in keys], *order)
-    laid = materialize(laid.withColumn("__pos", F.monotonically_increasing_id()), "ranked")
-    pid, idx = F.shiftrightunsigned("__pos", 33), F.col("__pos").bitwiseAND(F.lit((1 << 33) - 1))
-    parts = laid.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("__n"))
-    # one row per partition: the only window without a key, bounded by num_partitions
-    before = parts.select("__pid", (F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")).alias("__before"))
-    placed = laid.withColumn("__pid", pid).join(F.broadcast(before), "__pid").withColumn("__at", F.col("__before") + idx)
+    laid, before = _laid(df, keys, order, num_partitions)
+    placed = laid.join(F.broadcast(before), "__pid").withColumn("__at", F.col("__before") + F.col("__idx"))
     named = [k.alias(f"__g{i}") for i, k in enumerate(keys)]
     starts = placed.groupBy(*named).agg(F.min("__at").alias("__start"))
     on = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfold.operators import guide as op
+from wayfold.operators import guide as op, merge
 from wayfold.operators.ranking import distributed_rank
 from wayfold.plans.registry import Registry
 from wayfold.runtime import load
@@ -165,12 +165,13 @@ def review_evidence(spark, d):
     return cands(spark, d).select("candidate_id", F.slice(F.concat(F.coalesce("reasons", none), F.when(F.col("status") == "rejected", F.array(F.lit("rejected"))).otherwise(none)), 1, 5).alias("evidence"))
 
 
-@R.query("SELECT run_id, string_agg('- ' || coalesce(title, '(untitled)') || ' (' || coalesce(status, '-') || ')', chr(10) ORDER BY candidate_id) AS report FROM zhihu_guide_candidates WHERE status = 'accepted' GROUP BY 1")
+@R.query("""WITH x AS (SELECT run_id, '- ' || coalesce(title, '(untitled)') || ' (' || coalesce(status, '-') || ')' AS l, row_number() OVER (PARTITION BY run_id ORDER BY candidate_id) AS n FROM zhihu_guide_candidates WHERE status = 'accepted')
+  SELECT run_id, ((n - 1) // 50)::INT AS part, string_agg(l, chr(10) ORDER BY n) AS report FROM x GROUP BY 1, 2""")
 def guide_report(spark, d):
-    """A run's Markdown list."""
+    """A run's Markdown list, in parts of fifty lines."""
     line = F.concat(F.lit("- "), F.coalesce("title", F.lit("(untitled)")), F.lit(" ("), F.coalesce("status", F.lit("-")), F.lit(")"))
-    lines = F.array_sort(F.collect_list(F.struct("candidate_id", line.alias("l"))))
-    return cands(spark, d).where("status = 'accepted'").groupBy("run_id").agg(F.array_join(F.transform(lines, lambda x: x["l"]), "\n").alias("report"))
+    c = cands(spark, d).where("status = 'accepted'").select("run_id", "candidate_id", "title", "status")
+    return merge.joined_lines(c, "run_id", [F.col("candidate_id").asc()], line, 50).withColumnRenamed("text", "report")
 
 
 QUERIES, SQL = R.queries, R.sql

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from wayfold.functions import strings as fx
-from wayfold.operators import fusion, markdown
+from wayfold.operators import fusion, markdown, merge
 from wayfold.operators.ranking import distributed_rank
 from wayfold.plans.registry import Registry
 from wayfold.runtime import load
@@ -238,17 +238,14 @@ def error_class(spark, d):
     return c.select("candidate_id", fx.by_keywords(F.lower(F.coalesce("summary", F.lit(""))), [("timeout", ["timeout", "很慢"]), ("network", ["网", "信号"])], "other").alias("class"))
 
 
-@R.query("""WITH x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type FROM events WHERE event_type IN ('view', 'click'))
-  SELECT user_id, string_agg(n || '. ' || event_type, chr(10) ORDER BY n) AS transcript, arg_max(event_type, n) AS last_turn FROM x GROUP BY 1""")
+@R.query("""WITH x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type FROM events WHERE event_type IN ('view', 'click')), l AS (SELECT user_id, arg_max(event_type, n) AS last_turn FROM x GROUP BY 1)
+  SELECT user_id, ((n - 1) // 100)::INT AS part, string_agg(n || '. ' || event_type, chr(10) ORDER BY n) AS transcript, any_value(last_turn) AS last_turn FROM x JOIN l USING (user_id) GROUP BY 1, 2""")
 def user_transcript(spark, d):
-    """One user's turns, numbered and joined in order."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = load(spark, d, "events").where("event_type in ('view', 'click')").withColumn("n", F.row_number().over(w))
-    lines = F.array_sort(F.collect_list(F.struct("n", F.format_string("%d. %s", "n", "event_type").alias("line"))))
-    return e.groupBy("user_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("transcript"), F.max_by("event_type", "n").alias("last_turn"))
-
-
-QUERIES, SQL = R.queries, R.sql
+    """One user's turns, numbered and joined in order, in parts of a hundred, with the user's last turn."""
+    e = load(spark, d, "events").where("event_type in ('view', 'click')").select("user_id", "ts", "event_id", "event_type")
+    last = e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_turn"))
+    text = merge.joined_lines(e, "user_id", [F.col("ts").asc(), F.col("event_id").asc()], F.format_string("%d. %s", "rank", "event_type"), 100)
+    return text.withColumnRenamed("text", "transcript").join(last, "user_id")
 
 
 @R.query("SELECT candidate_id, CASE WHEN trim(coalesce(author_name, '')) = '' OR regexp_full_match(author_name, '[\\s\\x{3000}]*') THEN '' ELSE 'h_' || substr(sha256(author_name), 1, 6) END AS author, substr(trim(regexp_replace(coalesce(title, ''), '[^a-zA-Z0-9\\p{Han}]+', '_', 'g'), '_'), 1, 24) AS slug FROM zhihu_guide_candidates")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 
 def tumbling(events: DataFrame, ts: str, keys: list[str], seconds: int, value: str, watermark: str | None = None) -> DataFrame:
@@ -65,22 +65,31 @@ class JobCoalescer:
 
 
 def replay_jobs(log: DataFrame, keys: list[str], seq: str, action: str, query: str) -> DataFrame:
-    """The outcome of each logged action of each key: one Arrow group per key, in order of ``seq``."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, out = JobCoalescer(), []
-        for row in pdf.sort_values(seq).itertuples(index=False):
-            r = row._asdict()
-            what = r[action]
-            if what == "enqueue":
-                result = m.enqueue([r[query]]) if r[query] and r[query].strip() else "dropped_invalid"
-            elif what == "start":
-                result = "started" if m.state == "queued" and m.start() is not None else "ignored"
-            else:
-                result = m.finish() if m.state == "running" else "ignored"
-            out.append((*[r[k] for k in keys], r[seq], result, len(m.queries)))
-        return pd.DataFrame(out, columns=[*keys, seq, "result", "n_queries"])
-
-    kinds = dict(log.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in (*keys, seq)), "result string", "n_queries int"])
-    return log.select(*keys, seq, action, query).groupBy(*keys).applyInPandas(run, schema)
+    """The outcome of each logged action of each key, in order of ``seq``.
+
+    The rows of a key pass through one task in order, as the machine's steps
+    depend on each other, but are never held together: its state is all that
+    is kept.
+    """
+    rows = log.select(*keys, seq, action, query).repartition(*keys).sortWithinPartitions(*keys, seq)
+    schema = T.StructType([*(log.schema[k] for k in (*keys, seq)), T.StructField("result", T.StringType()), T.StructField("n_queries", T.IntegerType())])
+
+    def run(batches):
+        key, m = None, JobCoalescer()
+        for b in batches:
+            results, counts = [], []
+            for row in zip(*(b.column(c).to_pylist() for c in (*keys, action, query))):
+                if row[: len(keys)] != key:
+                    key, m = row[: len(keys)], JobCoalescer()
+                what, text = row[-2], row[-1]
+                if what == "enqueue":
+                    result = m.enqueue([text]) if text and text.strip() else "dropped_invalid"
+                elif what == "start":
+                    result = "started" if m.state == "queued" and m.start() is not None else "ignored"
+                else:
+                    result = m.finish() if m.state == "running" else "ignored"
+                results.append(result)
+                counts.append(len(m.queries))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*keys, seq)), pa.array(results, pa.string()), pa.array(counts, pa.int32())], schema.names)
+
+    return rows.mapInArrow(run, schema)
