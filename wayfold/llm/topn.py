@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -58,6 +60,15 @@ def merge_top(runs: Iterable[list], n: int) -> list:
     return out
 
 
+def group_changes(columns: list[pa.Array]) -> np.ndarray:
+    """For each row but the first whether it differs from the row before; null equals null, and nothing else."""
+    out = np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        a, b = c.slice(1), c.slice(0, len(c) - 1)
+        out |= pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False) | pc.xor(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+    return out
+
+
 def top_n_per_group(df: DataFrame, groups: list[Column], names: list[str], item: Column, item_name: str, score: Column, version: Column, n: int = 10) -> DataFrame:
     """(names..., item_rank, item): the n best of each group, ranked from 1.
 
@@ -78,17 +89,20 @@ def top_n_per_group(df: DataFrame, groups: list[Column], names: list[str], item:
     schema = T.StructType([*(latest.schema[c] for c in g), T.StructField("item", latest.schema["item"].dataType), T.StructField("score", T.DoubleType()), T.StructField("run", T.IntegerType())])
 
     def cut(batches):
-        """The run of a partition, cut to n items a group."""
+        """The run of a partition, cut to n items a group: places from where the group changes, without a loop over rows."""
         last, seen = None, 0
         for b in batches:
             if not b.num_rows:
                 continue
-            keep = []
-            for key in zip(*(b.column(c).to_pylist() for c in g)):
-                seen = seen + 1 if key == last else 1
-                last = key
-                keep.append(seen <= n)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in b.schema.names], b.schema.names).filter(pa.array(keep, pa.bool_()))
+            cols = [b.column(c) for c in g]
+            first = tuple(c[0].as_py() for c in cols)
+            starts = np.concatenate([[True], group_changes(cols)])
+            at = np.arange(b.num_rows)
+            place = at - np.maximum.accumulate(np.where(starts, at, 0))
+            if first == last:
+                place[: np.argmax(starts[1:]) + 1 if starts[1:].any() else b.num_rows] += seen
+            last, seen = tuple(c[-1].as_py() for c in cols), int(place[-1]) + 1
+            yield b.filter(pa.array(place < n))
 
     runs = in_run.select(*g, "item", "score", F.spark_partition_id().alias("run")).mapInArrow(cut, schema)
     bucketed = runs.repartition(*g).sortWithinPartitions(*g, "run", F.col("score").desc_nulls_last(), F.col("item").asc_nulls_last())
