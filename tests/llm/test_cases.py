@@ -558,3 +558,19 @@ def test_spans_that_a_hash_alone_would_share_are_dropped(spark, monkeypatch):
     from pyspark.sql import types as T
 
     assert [tuple(r) for r in shared_spans._verified(df, texts, T.LongType()).collect()] == [(3, 0, 5, 120)]
+
+
+def test_a_long_plan_is_joined(spark, monkeypatch):
+    r = random.Random(12)
+    df = spark.createDataFrame([(i, r.choice([0, 1, 7, 40, 40, 40, 63, 64, 200, None])) for i in range(3000)], "id long, n int")
+    want = {tuple(x) for x in packing.pack(df, "id", "n", 64).collect()}
+    monkeypatch.setattr(packing, "PLAN_ROWS", 0)
+    monkeypatch.setattr(packing, "_RANK_BITS", 3)
+    assert {tuple(x) for x in packing.pack(df, "id", "n", 64).collect()} == want
+
+
+def test_group_changes():
+    import pyarrow as pa
+
+    a, b = pa.array([None, None, "x", "x", None, "y"]), pa.array([1, 1, 1, 2, 2, 2])
+    assert topn.group_changes([a, b]).tolist() == [False, True, True, True, True] and topn.group_changes([a.slice(0, 1)]).tolist() == []

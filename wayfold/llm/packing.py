@@ -24,6 +24,10 @@ from wayfold.operators.ranking import distributed_rank
 from wayfold.runtime import materialize
 
 CAPACITY = 2048
+#: A plan of at most so many intervals (40 bytes each) is sent to every task; a longer one is joined.
+PLAN_ROWS = 1 << 20
+#: Ranks of one size that the join of a long plan keeps together, as a power of two.
+_RANK_BITS = 10
 
 
 def _linear_groups(counts: np.ndarray, smallest: int, groups: int) -> list[tuple[int, int]]:
@@ -213,6 +217,39 @@ def plan_containers(counts: np.ndarray, capacity: int = CAPACITY, small: float =
     return out
 
 
+def _placed_by_broadcast(ranked: DataFrame, plan: list[tuple]) -> DataFrame:
+    """Ranked items with container and token_offset: every task has the whole plan, of at most PLAN_ROWS intervals."""
+    key = np.array([(p[0], p[1]) for p in plan], np.int64).reshape(-1, 2)
+    code = (key[:, 0] << 40) + key[:, 1]
+    first, box, offset = (np.array([p[i] for p in plan], np.int64) for i in (1, 3, 4))
+    shared = ranked.sparkSession.sparkContext.broadcast((code, first, box, offset))
+
+    def run(batches):
+        code, first, box, offset = shared.value
+        for b in batches:
+            size, r = b.column("size").to_numpy(), b.column("r").to_numpy() - 1
+            if not len(code):
+                none = pa.nulls(b.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*b.columns, none, none.cast(pa.int32())], [*b.schema.names, "container", "token_offset"])
+                continue
+            at = np.maximum(np.searchsorted(code, (size.astype(np.int64) << 40) + r, side="right") - 1, 0)
+            has = size > 0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(box[at] + r - first[at], mask=~has), pa.array(offset[at].astype(np.int32), mask=~has)], [*b.schema.names, "container", "token_offset"])
+
+    return ranked.mapInArrow(run, ranked.schema.simpleString()[7:-1].replace(":", " ") + ", container bigint, token_offset int")
+
+
+def _placed_by_join(ranked: DataFrame, plan: list[tuple]) -> DataFrame:
+    """The same with a longer plan: joined by size and block of ranks, so that items of one size are spread over many tasks."""
+    cols = np.array(plan, np.int64).reshape(-1, 5)
+    table = pa.table({n: cols[:, i] for i, n in enumerate(("size", "first", "n", "box", "offset"))})
+    block = lambda c: F.shiftright(c, _RANK_BITS)
+    spread = ranked.sparkSession.createDataFrame(table).withColumn("block", F.explode(F.sequence(block("first"), block(F.col("first") + F.col("n") - 1))))
+    items = ranked.withColumn("block", block(F.col("r") - 1))
+    within = (items["size"] == spread["size"]) & (items["block"] == spread["block"]) & (F.col("r") - 1 >= F.col("first")) & (F.col("r") - 1 < F.col("first") + F.col("n"))
+    return items.join(spread, within, "left").select(*[items[c] for c in ranked.columns], (F.col("box") + F.col("r") - 1 - F.col("first")).alias("container"), F.col("offset").cast("int").alias("token_offset"))
+
+
 def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY) -> DataFrame:
     """(id, piece_no, container, place, token_offset, n_tokens, token_start) of every item with tokens.
 
@@ -224,7 +261,6 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY)
     gives an empty one.  The histogram gathered by the driver has at most
     ``capacity`` rows.
     """
-    spark = sizes.sparkSession
     rows = sizes.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{size_col}`"), F.lit(0)).cast("bigint").alias("n"))
     cut = rows.select("id", "n", F.floor(F.col("n") / capacity).cast("int").alias("whole"), (F.col("n") % capacity).cast("int").alias("rest"))
     fulls = cut.where("whole > 0").select("id", F.explode(F.sequence(F.lit(1), F.col("whole"))).alias("piece_no"), F.lit(capacity).alias("size"))
@@ -236,25 +272,7 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY)
     for s, n in ranked.where("size > 0").groupBy("size").agg(F.max("r")).collect():  # at most ``capacity`` rows
         counts[s] = n
     plan = sorted(plan_containers(counts, capacity))
-    key = np.array([(p[0], p[1]) for p in plan], np.int64).reshape(-1, 2)
-    code = (key[:, 0] << 40) + key[:, 1]
-    first, box, offset = (np.array([p[i] for p in plan], np.int64) for i in (1, 3, 4))
-    shared = spark.sparkContext.broadcast((code, first, box, offset))  # bounded by the square of the capacity
-
-    def run(batches):
-        code, first, box, offset = shared.value
-        for b in batches:
-            size, r = b.column("size").to_numpy(), b.column("r").to_numpy() - 1
-            if not len(code):
-                none = pa.nulls(b.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([*b.columns, none, none.cast(pa.int32())], [*b.schema.names, "container", "token_offset"])
-                continue
-            at = np.maximum(np.searchsorted(code, (size.astype(np.int64) << 40) + r, side="right") - 1, 0)
-            has = size > 0
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(box[at] + r - first[at], mask=~has), pa.array(offset[at].astype(np.int32), mask=~has)], [*b.schema.names, "container", "token_offset"])
-
-    out_schema = ranked.schema.simpleString()[7:-1].replace(":", " ") + ", container bigint, token_offset int"
-    placed = ranked.mapInArrow(run, out_schema)
+    placed = _placed_by_broadcast(ranked, plan) if len(plan) <= PLAN_ROWS else _placed_by_join(ranked, plan)
     # a container holds at most ``capacity`` items; items without one, perhaps a third of all, are spread
     own = F.coalesce("container", -1 - F.pmod(F.xxhash64("id", "piece_no", "r"), F.lit(1 << 40)))
     place = F.row_number().over(Window.partitionBy(own).orderBy("token_offset"))
