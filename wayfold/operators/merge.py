@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wayfold.operators.ranking import distributed_islands, distributed_rank
 
@@ -116,20 +118,28 @@ def first_valid_lookup(items: DataFrame, answers: DataFrame, group: str, item: s
 
 
 def greedy_choice(specs: DataFrame, offers: DataFrame, group: str, spec: str, item: str, score: str) -> DataFrame:
-    """For each spec of a group in order the best offer whose item isn't chosen yet (W12): sequential by nature, one Arrow group each."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for s, part in sorted(pdf.groupby(spec)):
-            for r in part.sort_values([score, item], ascending=[False, True]).itertuples(index=False):
-                v = getattr(r, item)
-                if v not in taken:
-                    taken.add(v)
-                    out.append((pdf[group].iloc[0], s, v))
-                    break
-        return pd.DataFrame(out, columns=[group, spec, item])
-
-    both = specs.select(group, spec).join(offers.select(group, spec, item, score), [group, spec])
-    kinds = dict(both.dtypes)
-    return both.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {spec} {kinds[spec]}, {item} {kinds[item]}")
+    """For each spec of a group in order the best offer whose item isn't chosen yet (W12), of equal scores the smaller item.
+
+    A choice depends on those before it, so a group's offers pass through one
+    task in order; only its chosen items are held.
+    """
+    both = offers.select(group, spec, item, score).join(specs.select(group, spec).distinct(), [group, spec], "left_semi")
+    laid = both.repartition(group).sortWithinPartitions(group, spec, F.desc_nulls_last(score), item)
+    schema = T.StructType([both.schema[c] for c in (group, spec, item)])
+    kinds = [f.type for f in to_arrow_schema(schema)]
+
+    def run(batches):
+        at, done, taken = None, None, set()
+        for b in batches:
+            out = []
+            for g, s, i in zip(*(b.column(c).to_pylist() for c in (group, spec, item))):
+                if (g,) != at:
+                    at, done, taken = (g,), None, set()
+                if (s,) != done and i not in taken:
+                    taken.add(i)
+                    done = (s,)
+                    out.append((g, s, i))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], schema.names)
+
+    return laid.mapInArrow(run, schema)

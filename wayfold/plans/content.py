@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfold.functions import content as cx, strings as fx
-from wayfold.functions.text import nonblank
+from wayfold.functions.text import nonblank, strip
 from wayfold.operators import markdown, vectors
 from wayfold.plans.registry import Registry
 from wayfold.runtime import load
@@ -105,12 +105,12 @@ def trip_facts(spark, d):
 _IMG = "regexp_full_match(l, 'https?://[^ ]+[.](jpg|jpeg|png|webp)')"
 
 
-@R.query(f"""WITH b AS (SELECT chunk_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT chunk_id, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM article_chunks)),
+@R.query(f"""WITH b AS (SELECT chunk_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT chunk_id, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x, {_WS})), lambda x: x <> '') AS ls FROM article_chunks)),
   g AS (SELECT *, i - row_number() OVER (PARTITION BY chunk_id ORDER BY i) AS run FROM b WHERE {_IMG}), r AS (SELECT chunk_id, min(i) AS lead, list(l ORDER BY i) AS urls FROM g GROUP BY chunk_id, run)
   SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY lead)::INT AS no, CASE WHEN len(urls) > 1 THEN 'multi_images' ELSE 'image' END AS content_type, len(urls)::INT AS n FROM r""")
 def image_group_chunks(spark, d):
     """Runs of image lines of each chunk, as image chunks."""
-    lines = F.filter(F.transform(F.split("content", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("content", "\n"), strip), lambda x: x != "")
     blocks = F.transform(lines, lambda l: F.struct(F.when(l.rlike(r"^https?://[^ ]+[.](jpg|jpeg|png|webp)$"), "image").otherwise("text").alias("type"), l.alias("text")))
     g = load(spark, d, "article_chunks").where("content is not null").select("chunk_id", F.posexplode(cx.image_groups(blocks)).alias("p", "urls"))
     return g.select("chunk_id", (F.col("p") + 1).alias("no"), cx.image_chunk(F.col("urls")).alias("c"), F.size("urls").alias("n")).select("chunk_id", "no", "c.content_type", "n")

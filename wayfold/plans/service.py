@@ -15,10 +15,10 @@ def _engine(spark, d, *names, **tables):
     return Engine(spark, {n: load(spark, d, n) for n in names} | tables)
 
 
-@R.query("""SELECT article_id, title, CASE WHEN lower(title) = '周末' THEN 0 WHEN lower(title) LIKE '周末%' THEN 1 ELSE 2 END AS match_rank, score FROM articles WHERE lower(title) LIKE '%周末%' ORDER BY match_rank, score DESC NULLS LAST, created_at DESC, article_id DESC LIMIT 10""")
+@R.query("""SELECT article_id, title, CASE WHEN lower(title) = '方案' THEN 0 WHEN lower(title) LIKE '方案%' THEN 1 ELSE 2 END AS match_rank, score FROM articles WHERE lower(title) LIKE '%方案%' ORDER BY match_rank, score DESC NULLS LAST, created_at DESC, article_id DESC LIMIT 10""")
 def engine_title_search(spark, d):
     """2.12, F3: titles through the engine."""
-    return _engine(spark, d, "articles").title_search(" 周末 ", 0)
+    return _engine(spark, d, "articles").title_search(" 方案 ", 0)
 
 
 @R.query("""WITH h AS (SELECT DISTINCT user_id, article_id FROM user_rec_history WHERE preference < 1), u AS (SELECT DISTINCT user_id FROM user_pool_items UNION SELECT 'nobody'),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from wayfold.functions import strings as fx
+from wayfold.functions.text import strip
 from wayfold.operators import fusion, markdown, merge
 from wayfold.operators.ranking import distributed_rank
 from wayfold.plans.registry import Registry
@@ -76,11 +77,12 @@ def keyword_detect(spark, d):
     return k.withColumn("r", r).where("r <= 5").select("article_id", F.col("m.k").alias("keyword"), "weight")
 
 
+_WS = "chr(9) || chr(10) || chr(13) || ' ' || chr(160) || chr(12288)"
 INTENT, TOP_K = "周末 护肤 旅行攻略 预算 日语学习 夜市", 12
 _SET = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]+'), lambda x: length(x) >= 2))"
 _PRE = f"""q AS (SELECT {_SET.format(f"'{INTENT}'")} AS q),
   x AS (SELECT article_id, coalesce(score, 0)::DOUBLE AS s, row_number() OVER (ORDER BY created_at DESC, article_id) - 1 AS i, count(*) OVER () AS n, {_SET.format("coalesce(title, '') || ' ' || coalesce(type_tags, '') || ' ' || coalesce(tags, '')")} AS t,
-    coalesce(list_filter(list_transform(string_split(lower(coalesce(type_tags, '')), ','), lambda y: trim(y)), lambda y: y <> '')[1], nullif(trim(lower(coalesce(title, ''))), ''), 'default') AS cluster FROM articles),
+    coalesce(list_filter(list_transform(string_split(lower(coalesce(type_tags, '')), ','), lambda y: trim(y, {_WS})), lambda y: y <> '')[1], nullif(trim(lower(coalesce(title, '')), {_WS}), ''), 'default') AS cluster FROM articles),
   p AS (SELECT article_id, cluster, i, round(0.35 * s + 0.45 * CASE WHEN len(t) > 0 THEN len(list_intersect(t, q)) / greatest(len(t), len(q))::DOUBLE ELSE 0 END + 0.20 * CASE WHEN n <= 1 THEN 1 ELSE 1 - i / (n - 1)::DOUBLE END, 6) AS score FROM x, q)"""
 
 
@@ -97,8 +99,8 @@ def _prefilter(spark, d):
     recency = F.when(F.col("n") <= 1, 1.0).otherwise(1 - (F.col("place") - 1) / (F.col("n") - 1))
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("type_tags", F.lit("")), F.coalesce("tags", F.lit("")))
     score = 0.35 * F.coalesce(F.col("score").cast("double"), F.lit(0.0)) + 0.45 * fx.overlap(fx.keyword_set(F.lit(INTENT)), fx.keyword_set(text)) + 0.20 * recency
-    kinds = F.filter(F.transform(F.split(F.lower(F.coalesce("type_tags", F.lit(""))), ","), lambda y: F.trim(y)), lambda y: y != "")
-    cluster = F.coalesce(F.try_element_at(kinds, F.lit(1)), F.nullif(F.trim(F.lower(F.coalesce("title", F.lit("")))), F.lit("")), F.lit("default"))
+    kinds = F.filter(F.transform(F.split(F.lower(F.coalesce("type_tags", F.lit(""))), ","), lambda y: strip(y)), lambda y: y != "")
+    cluster = F.coalesce(F.try_element_at(kinds, F.lit(1)), F.nullif(strip(F.lower(F.coalesce("title", F.lit("")))), F.lit("")), F.lit("default"))
     return placed.select("article_id", cluster.alias("cluster"), F.round(score, 6).alias("score"), "place")
 
 
