@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from wayfold.operators.ranking import distributed_islands, distributed_rank
+from wayfold.runtime import materialize
 
 
 def latest_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -72,12 +73,25 @@ def snapshot_fold(log: DataFrame, run: str, kind: str, item: str, seq: str, payl
     return log.groupBy(run, kind, item).agg(F.max_by(F.struct(*payload), F.col(seq)).alias("m"), F.max(seq).alias("last_seq")).select(run, kind, item, *[F.col("m")[c].alias(c) for c in payload], "last_seq")
 
 
-def coalesce_runs(log: DataFrame, run: str, seq: str, text: Column, is_delta: Column) -> DataFrame:
-    """Consecutive deltas joined into one message, other rows single (W8); a run with a third of all rows is spread, only a message has to fit a task."""
-    marked = log.select(run, seq, text.alias("text"), is_delta.alias("delta"))
-    grouped = distributed_islands(marked, run, [F.col(seq).asc()], F.col("delta"))
-    parts = grouped.groupBy(run, "island").agg(F.min(seq).alias("first_seq"), F.first("delta").alias("delta"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(seq, "text"))).alias("p"))
-    return parts.select(run, "first_seq", "delta", "n", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("message"))
+def coalesce_runs(log: DataFrame, run: str, seq: str | list[str], text: Column, is_delta: Column) -> DataFrame:
+    """Consecutive deltas joined into one message, other rows single (W8): (run, first_seq, delta, n, message).
+
+    ``seq`` orders a run's rows; given several columns that order them, rows
+    are numbered from 1 in their run.  A message has the number of its first
+    row.  A run with a third of all rows is spread, only a message has to fit a
+    task.
+    """
+    order = [seq] if isinstance(seq, str) else seq
+    marked = log.select(run, *order, text.alias("text"), is_delta.alias("delta"))
+    grouped = distributed_islands(marked, run, [F.col(c).asc() for c in order], F.col("delta"))
+    number = F.col(seq) if isinstance(seq, str) else F.col("place")
+    parts = grouped.groupBy(run, "island").agg(F.min(number).alias("first_seq"), F.first("delta").alias("delta"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("place", "text"))).alias("p"))
+    whole = parts.select(run, "first_seq", "delta", "n", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("message"))
+    if isinstance(seq, str):
+        return whole
+    whole = materialize(whole, "messages")
+    starts = whole.groupBy(F.col(run).alias("__run")).agg(F.min("first_seq").alias("__start"))
+    return whole.join(starts, F.col(run).eqNullSafe(F.col("__run"))).select(run, (F.col("first_seq") - F.col("__start") + 1).cast("int").alias("first_seq"), "delta", "n", "message")
 
 
 def joined_lines(rows: DataFrame, group: str, order: list[Column], line: Column, lines: int = 500) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfold.operators import merge as op
-from wayfold.operators.ranking import distributed_rank
 from wayfold.plans.registry import Registry
 from wayfold.runtime import load
 
@@ -79,9 +78,7 @@ def snapshot_fold(spark, d):
   SELECT user_id, min(seq)::INT AS first_seq, bool_or(delta) AS delta, count(*) AS n, string_agg(t, '' ORDER BY seq) AS message FROM i GROUP BY user_id, island""")
 def coalesce_deltas(spark, d):
     """Consecutive deltas of a run joined into one message."""
-    e = load(spark, d, "events").select("user_id", "event_id", "ts", "event_type", "props")
-    e = distributed_rank(e, ["user_id"], [F.col("ts").asc(), F.col("event_id").asc()], "seq").withColumn("seq", F.col("seq").cast("int"))
-    return op.coalesce_runs(e, "user_id", "seq", F.concat(F.get_json_object("props", "$.k"), F.lit(".")), F.col("event_type").isin("view", "click"))
+    return op.coalesce_runs(load(spark, d, "events"), "user_id", ["ts", "event_id"], F.concat(F.get_json_object("props", "$.k"), F.lit(".")), F.col("event_type").isin("view", "click"))
 
 
 @R.query("SELECT l_orderkey AS parent, l_linenumber AS src, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem QUALIFY dst IS NOT NULL")

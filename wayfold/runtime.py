@@ -84,7 +84,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_root(df.sparkSession).rstrip('/')}/wayfold-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote, before ``release``; nothing may depend on it any more."""
+    if (path := getattr(df, "written_to", None)) in _WRITTEN:
+        _WRITTEN.remove(path)
+        Files(df.sparkSession, path).delete(path)
 
 
 def materialize_buckets(df: DataFrame, label: str, part: str, by: str, buckets: int) -> DataFrame:
