@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from wayfold.functions.text import squeeze_out, strip
 from wayfold.llm.minwise import MinwiseScheme, band_keys, band_pairs, content_keys, explode_bands, jaccard_at_least, signatures_of
-from wayfold.runtime import Files, materialize
+from wayfold.runtime import Files, discard, materialize
 
 CANDIDATE_SCHEME = MinwiseScheme(threshold=0.5, min_chars=60, lanes=192, bits=8, bands=96, rows=4)
 #: A batch of at most so many block keys is broadcast against the stored tables; a larger one is joined with them by a shuffle.
@@ -271,8 +271,8 @@ class IncrementalDeduper:
         signed = rows.mapInArrow(run, "id bigint, u string, t string, h1 bigint, h2 bigint, p bigint, address bigint, sig array<bigint>, keys array<bigint>")
         return materialize(signed.observe(seen, F.count(F.lit(1)).alias("n")), "p2-batch"), seen.get["n"]
 
-    def _history(self, signed: DataFrame, n: int) -> tuple[DataFrame | None, int]:
-        """The written links (worded, a, h1, b) of rows (a, h1) of a batch with accepted candidates b, None without any; and the bytes of the parts read."""
+    def _history(self, signed: DataFrame, n: int) -> tuple[DataFrame | None, DataFrame | None, int]:
+        """The links (worded, a, h1, b) of rows (a, h1) of a batch with accepted candidates b, None without any; the written hits that they are made of; and the bytes of the parts read."""
         s, most = self.scheme, max((t["parts"] for t in self._tables()), default=1)
         keys, n_keys = signed.select(F.col("id").alias("a"), "h1", F.explode("keys").alias("key")), n * (self.scheme.bands + 1)
         hit = None
@@ -280,14 +280,14 @@ class IncrementalDeduper:
             hit = {r[0] for r in keys.select(F.pmod("key", F.lit(most)).cast("int")).distinct().collect()}
         paths = self._paths("blocks", hit, most)
         if not paths:
-            return None, 0
+            return None, None, 0
         looked = sum(self.files.size(p) for p in paths)
         stored = self._read(paths, "key bigint, id bigint")
         met = stored.join(F.broadcast(keys) if n_keys <= LOOKUP_KEYS else keys, "key").select((F.shiftright("key", _BLOCK_BITS) < s.bands).alias("worded"), "a", "h1", F.col("id").alias("b")).distinct()
         seen = Observation()
         met = materialize(met.observe(seen, F.count(F.lit(1)).alias("n")), "p2-hits")
         if not (n_met := seen.get["n"]):
-            return None, looked
+            return None, met, looked
         # the stored rows of hits only
         hit = {r[0] for r in met.select(F.pmod(F.xxhash64("b"), F.lit(most)).cast("int")).distinct().collect()} if most > 1 else None
         paths = self._paths("rows", hit, most)
@@ -295,7 +295,7 @@ class IncrementalDeduper:
         others = self._read(paths, "id bigint, u string, t string, sig array<bigint>").toDF("b", "ub", "tb", "sb")
         asked = met.join(signed.select(F.col("id").alias("a"), "h1", F.col("u").alias("ua"), F.col("t").alias("ta"), F.col("sig").alias("sa")), ["a", "h1"])
         both = others.join(F.broadcast(asked) if n_met <= LOOKUP_HITS else asked, "b")
-        return materialize(self._verified(both), "p2-links"), looked
+        return self._verified(both), met, looked
 
     def _verified(self, both: DataFrame) -> DataFrame:
         """The (worded, a, h1, b) of rows (worded, a, h1, b, ua, ub, ta, tb, sa, sb) that agree in their wording or are equal in their address."""
@@ -327,10 +327,13 @@ class IncrementalDeduper:
         if any(c["batch"] == name for c in self.commits):
             return self.decisions([name])
         signed, n = self._signed(batch)
-        links, looked = self._history(signed, n)
+        links, met, looked = self._history(signed, n)
         parts = self._parts(n * (self.scheme.bands + 1) * 12)
         flat = self._in_task(signed, links, parts) if n <= self.task_rows else self._in_rounds(signed, links, parts)
         self._append(name, flat, parts, looked)
+        for t in (signed, met):
+            if t is not None:
+                discard(t)
         return self.decisions([name])
 
     def _in_task(self, signed: DataFrame, links: DataFrame | None, parts: int) -> DataFrame:
@@ -358,11 +361,12 @@ class IncrementalDeduper:
             for b in mine.combine_chunks().to_batches():
                 yield from _unfold(b, parts, s)
 
-        return rows.coalesce(1).mapInArrow(run, _FLAT_SQL)
+        return (rows.coalesce(1) if links is None else rows.repartition(1)).mapInArrow(run, _FLAT_SQL)
 
     def _in_rounds(self, signed: DataFrame, links: DataFrame | None, parts: int) -> DataFrame:
         """The same for batches of any size."""
         s = self.scheme
+        links = materialize(links, "p2-links") if links is not None else None
         classes = signed.where("sig is not null").groupBy("h1", "h2").agg(F.min(F.struct("id", "sig", "t")).alias("m"))
         reps = materialize(classes.select(F.monotonically_increasing_id().alias("mid"), "h1", "h2", "m.sig", "m.t"), "p2-classes")
         addresses = signed.where("u is not null").groupBy("u").agg(F.min("id").alias("aid"))
