@@ -1,5 +1,7 @@
 """The entry points on small tables."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +115,27 @@ def test_author_search_health_and_memory_tools(spark):
     assert t.invoke("user_history_similar", '{"user_id": "u1", "query": "湖心岛 夜游", "n": 1}').collect()[0].article_id == "a1"
     hits = t.invoke("user_memory_hybrid_search", "{" + key + ', "query": "天文台", "top_k": 2}').orderBy("rank").collect()
     assert hits[0].content == "喜欢天文台" and {h.content for h in hits} <= {"喜欢天文台", "夜市小吃"}
+
+
+def test_graph_tools(spark):
+    from wayfold.engine import graph_tools
+
+    node = "id string, label string, name string, status string, seq int, value double, props map<string,string>"
+    rows = [("t", "trip", "T", "open", None, None, {"k": "v"}), ("a", "day", "A", "done", 1, 5.0, {}), ("b", "day", "B", "open", 2, 7.0, {}), ("r1", "review", "", "passed", None, None, {}), ("r2", "review", "", "failed", None, None, {})]
+    edge = "src string, dst string, rel string, props map<string,string>"
+    edges = [("t", "b", "HAS_DAY", None), ("t", "a", "HAS_DAY", None), ("a", "r1", "REVIEWED_BY", None), ("b", "r2", "REVIEWED_BY", None), ("a", "b", "ROUTES_TO", {"m": "1"})]
+    t = graph_tools(spark.createDataFrame(rows, node), spark.createDataFrame(edges, edge))
+    run = lambda tool, **k: t.invoke(tool, json.dumps(k)).collect()
+    assert [r.id for r in run("children", parent="t")] == ["a", "b"] and [r.id for r in run("unplanned_children", parent="t")] == ["b"]
+    assert [r.id for r in run("find_nodes", label="trip", key="k", value="v")] == ["t"] and run("get_node", id="a")[0].name == "A"
+    assert (run("children_summary", parent="t")[0].n_children, run("children_summary", parent="t")[0].done) == (2, 1)
+    assert [(r.n, r.total) for r in run("budget_summary", node="t")] == [(2, 12.0)] and {r.id for r in run("descendants", root="t", depth=3)} == {"a", "b"}
+    assert [r.id for r in run("constraint_violations", root="t")] == ["b"] and (run("layer_review", parent="t")[0].failed, run("layer_review", parent="t")[0].passed) == (1, False)
+    s = run("subgraph", node="a")[0]
+    assert ([x.child for x in s.children], [x.dst for x in s.routes], [x.passed for x in s.reviews]) == ([], ["b"], [True])
+    assert [tuple(r) for r in run("create_insight", id="i", target="t", name="n", status="new")] == [("i", "t", "INSIGHT_BELONGS_TO")] and run("create_review", id="x", target="gone", name="", status="") == []
+    assert {(r.src, r.dst): r.props for r in run("merge_route", src="a", dst="b", props='{"m": "2"}')} == {("a", "b"): {"m": "2"}}
+    assert {(r.src, r.dst) for r in run("link", src="b", dst="t", rel="NEAR")} == {("b", "t")}
+    assert {r.id: r.props for r in run("patch_node", id="t", props='{"k": "w"}')}["t"] == {"k": "w"}
+    assert {r.id: r.status for r in run("soft_delete", id="b", at="now", reason="x")}["b"] == "rejected"
+    assert [r.id for r in run("add_children", parent="t", count=2)] == ["t-1", "t-2"] and [(r.src, r.dst) for r in run("sequence_children", parent="t")] == [("a", "b")]

@@ -56,3 +56,23 @@ def test_job_states():
     j.enqueue(["b", "c", "d"])
     assert j.dirty and j.finish() == "queued" and j.start() == ["b", "c", "d"] and j.finish() == "idle"
     assert windows.JobCoalescer().enqueue(["x"], room=False) == "dropped_queue_full"
+
+
+def test_retries_come_back_when_due(spark, tmp_path):
+    import datetime
+    import time
+
+    src = tmp_path / "r"
+    src.mkdir()
+    at = lambda s: (datetime.datetime.now(datetime.timezone.utc) + datetime.timedelta(seconds=s)).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+    rows = [{"message_id": "a", "payload": "p1", "attempt": 1, "due": at(1)}, {"message_id": "a", "payload": "p2", "attempt": 2, "due": at(2)}, {"message_id": "b", "payload": "q", "attempt": 1, "due": at(3600)}]
+    (src / "0.json").write_text("\n".join(json.dumps(r) for r in rows))
+    stream = spark.readStream.schema("message_id string, payload string, attempt int, due timestamp").json(str(src))
+    q = changes.redeliver(stream).writeStream.outputMode("append").format("memory").queryName("again").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        end = time.time() + 60
+        while time.time() < end and not spark.table("again").count():
+            time.sleep(1)
+        assert [(r.message_id, r.payload, r.attempt) for r in spark.table("again").collect()] == [("a", "p2", 2)]
+    finally:
+        q.stop()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from wayfold.functions import strings as fx
 from wayfold.functions.content import WINDOWS, history_id
-from wayfold.operators import evaluation, fusion, lexical, merge, search, vectors
+from wayfold.operators import evaluation, fusion, graph, lexical, merge, search, vectors
 from wayfold.sources import services, tables
 
 def parse_window(text: str, default: str = "24h") -> int:
@@ -208,3 +208,57 @@ def default_tools(e: Engine) -> Tools:
     t.register("pools_to_refill", lambda least: e.pools_to_refill(least), "pools below a size", {"least": "integer"})
     t.register("text_rerank", lambda query, limit: tab["article_chunks"].withColumn("score", services.lexical_rerank(F.lit(query), F.col("content"))).orderBy(F.desc("score"), "chunk_id").limit(search.clamp_limit(limit, 10, 100)), "chunks by lexical score", {"query": "string", "limit": "integer"})
     return t
+
+
+def graph_tools(nodes: DataFrame, edges: DataFrame) -> Tools:
+    """Tools over a graph (U4): reads return rows, writes the changed table.
+
+    nodes: id, label, name, status, seq, value, props (map); edges: src, dst,
+    rel, props (map).  Children are those over relations HAS_*.
+    """
+    t, spark = Tools(), nodes.sparkSession
+    text = lambda *names: dict.fromkeys(names, "string")
+    has = edges.where(F.col("rel").startswith("HAS_"))
+    below = lambda parent: has.where(F.col("src") == parent).select(F.col("dst").alias("id")).join(nodes, "id")
+    reviews = edges.where("rel = 'REVIEWED_BY'").join(nodes.select(F.col("id").alias("dst"), (F.col("status") == "passed").alias("passed")), "dst").select(F.col("src").alias("id"), "passed")
+    one = lambda schema, *row: spark.createDataFrame([row], schema)
+    node_of = lambda id, label, name, status: one("id string, label string, name string, status string", id, label, name, status).withColumns({"seq": F.lit(None).cast("int"), "value": F.lit(None).cast("double"), "props": F.create_map().cast("map<string,string>")})
+    as_map = lambda props: F.from_json(F.lit(props), "map<string,string>")
+
+    def created(label, rel, outgoing):
+        def run(id, target, name, status):
+            n, e = graph.create(nodes, edges, node_of(id, label, name, status).withColumn("target", F.lit(target)).select(*nodes.columns, "target"), "target", rel, outgoing)
+            return e.where((F.col("src") == id) | (F.col("dst") == id)).select("src", "dst", "rel")
+
+        return run
+
+    def merged(src, dst, rel, props):
+        new = one("src string, dst string, rel string", src, dst, rel).withColumns({"props": as_map(props), "at": F.lit(1)})
+        return graph.merge_edges(edges.select("src", "dst", "rel", "props").where(F.col("rel") == rel), new, nodes, "at")
+
+    def children_added(parent, count):
+        numbers = F.explode(F.sequence(F.lit(1), F.lit(int(count))))
+        return nodes.where(F.col("id") == parent).select(F.col("id").alias("parent"), numbers.alias("seq")).select(F.concat_ws("-", "parent", "seq").alias("id"), "seq", F.lit("outlined").alias("status"))
+
+    def around(node):
+        return graph.subgraph(nodes.where(F.col("id") == node).select("id", "name", "status"), {"children": has.select(F.col("src").alias("id"), F.col("dst").alias("child")), "routes": edges.where("rel = 'ROUTES_TO'").select(F.col("src").alias("id"), "dst"), "reviews": reviews})
+
+    t.register("get_node", lambda id: nodes.where(F.col("id") == id), "a node", text("id"))
+    t.register("find_nodes", lambda label, key, value: graph.scan(nodes, label, **{key: value}), "nodes by label and property", text("label", "key", "value"))
+    t.register("children", lambda parent: below(parent).orderBy("seq", "id"), "a node's children in order", text("parent"))
+    t.register("children_summary", lambda parent: graph.children_summary(has.where(F.col("src") == parent), nodes.select("id", "status")), "a node's children counted", text("parent"))
+    t.register("unplanned_children", lambda parent: below(parent).where(~F.col("status").isin("done", "reviewed")), "children still to plan", text("parent"))
+    t.register("subgraph", around, "a node with its children, routes and reviews", text("node"))
+    t.register("descendants", lambda root, depth: graph.descendants(has, one("id string", root), int(depth)), "nodes below a node", text("root") | {"depth": "integer"})
+    t.register("budget_summary", lambda node: graph.roll_up(has, nodes.where("value is not null").select("id", "value")).where(F.col("id") == node), "the sum of values below a node", text("node"))
+    t.register("constraint_violations", lambda root: reviews.where("not passed").join(graph.descendants(has, one("id string", root)).select("id").union(one("id string", root)).distinct(), "id", "left_semi"), "failed reviews at and below a node", text("root"))
+    t.register("layer_review", lambda parent: graph.gate(has.where(F.col("src") == parent).select("src", "dst"), reviews), "whether all children have a passing review", text("parent"))
+    t.register("create_insight", created("insight", "INSIGHT_BELONGS_TO", True), "an insight of a trip", text("id", "target", "name", "status"))
+    t.register("create_review", created("review", "REVIEWED_BY", False), "a review of a node", text("id", "target", "name", "status"))
+    t.register("merge_route", lambda src, dst, props: merged(src, dst, "ROUTES_TO", props), "routes with one added or changed", text("src", "dst", "props"))
+    t.register("link", lambda src, dst, rel: merged(src, dst, rel, "{}"), "edges of a relation with one more", text("src", "dst", "rel"))
+    t.register("patch_node", lambda id, props: merge.patch(nodes, one("id string", id).withColumn("props", as_map(props)), "id"), "nodes with some properties set", text("id", "props"))
+    t.register("soft_delete", lambda id, at, reason: graph.soft_delete(nodes, one("id string", id), at, reason), "nodes with one rejected and dimmed", text("id", "at", "reason"))
+    t.register("add_children", children_added, "numbered children of a node", text("parent") | {"count": "integer"})
+    t.register("sequence_children", lambda parent: merge.next_edges(below(parent).withColumn("parent", F.lit(parent)), "parent", "id", ["seq", "id"]), "NEXT edges along a node's children", text("parent"))
+    return t

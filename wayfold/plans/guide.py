@@ -121,13 +121,13 @@ def decision_match(spark, d):
     return op.match_decisions(dec, c.select("candidate_id", "url_hash", "url"))
 
 
-@R.query("""WITH h AS (SELECT candidate_id, candidate_id AS pos FROM zhihu_guide_candidates WHERE candidate_id % 11 = 0 AND status = 'accepted' ORDER BY pos LIMIT 10),
+@R.query("""WITH h AS (SELECT candidate_id, candidate_id AS pos FROM zhihu_guide_candidates WHERE search_scope = 'global_search' AND status = 'accepted' ORDER BY pos LIMIT 10),
   a AS (SELECT candidate_id FROM zhihu_guide_candidates WHERE candidate_id NOT IN (SELECT candidate_id FROM h) AND status <> 'rejected' ORDER BY score DESC NULLS LAST, candidate_id LIMIT 15)
   SELECT candidate_id, 'human' AS by FROM h UNION ALL SELECT candidate_id, 'auto' FROM (SELECT candidate_id FROM a LIMIT 15)""")
 def decision_fill(spark, d):
-    """Human choices first, filled up by score."""
+    """Human choices first (here the accepted of the wider search), at most ten, filled up by score."""
     c = cands(spark, d)
-    human = c.where("candidate_id % 11 = 0 and status = 'accepted'").orderBy("candidate_id").limit(10).select("candidate_id")
+    human = c.where("search_scope = 'global_search' and status = 'accepted'").orderBy("candidate_id").limit(10).select("candidate_id")
     auto = c.where("status <> 'rejected'").join(human, "candidate_id", "left_anti").orderBy(F.desc_nulls_last("score"), "candidate_id").limit(15).select("candidate_id")
     return human.withColumn("by", F.lit("human")).union(auto.withColumn("by", F.lit("auto")))
 

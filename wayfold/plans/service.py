@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfold.engine import Engine
+from wayfold.engine import Engine, graph_tools
 from wayfold.plans.registry import Registry
 from wayfold.runtime import load
 
@@ -62,6 +62,22 @@ def engine_ingest(spark, d):
     return e.ingest(docs)["articles"].select("article_id", "title", F.when(F.col("article_id").like("%7"), "new").otherwise("kept").alias("state"))
 
 
+@R.query("""SELECT article_id, x.h2, x.document, x.content_type FROM articles, (VALUES ('', 'https://i.example/0.png', 'image'), ('h', '["https://i.example/1.png","https://i.example/2.png"]', 'multi_images'), ('h', 'https://i.example/3.png', 'image')) x(h2, document, content_type) WHERE article_id LIKE '%7'""")
+def engine_ingest_images(spark, d):
+    """Runs of images of ingested documents as chunks of their own."""
+    text = "![a](https://i.example/0.png)\n## h\n![](https://i.example/1.png)\n\n![b](https://i.example/2.png)\ntext\n![c](https://i.example/3.png)"
+    docs = load(spark, d, "articles").where("article_id like '%7'").select("article_id", "title", F.lit(text).alias("markdown"), F.lit("").alias("tags"), "created_at")
+    return _engine(spark, d).ingest(docs)["recall_image"].select("article_id", "h2", "document", "content_type")
+
+
+@R.query("""SELECT * FROM (VALUES ('add_children'), ('budget_summary'), ('children'), ('children_summary'), ('constraint_violations'), ('create_insight'), ('create_review'), ('descendants'), ('find_nodes'), ('get_node'), ('layer_review'), ('link'), ('merge_route'), ('patch_node'), ('sequence_children'), ('soft_delete'), ('subgraph'), ('unplanned_children')) t(name)""")
+def graph_tools_catalog(spark, d):
+    """U4: the registered graph tools."""
+    nodes = spark.createDataFrame([], "id string, label string, name string, status string, seq int, value double, props map<string,string>")
+    edges = spark.createDataFrame([], "src string, dst string, rel string, props map<string,string>")
+    return spark.createDataFrame([(n,) for n in graph_tools(nodes, edges).names()], "name string")
+
+
 @R.query("SELECT 'articles' AS name, count(*) AS n_rows FROM articles UNION ALL SELECT 'user_pool_items', count(*) FROM user_pool_items")
 def engine_health(spark, d):
     """2.12: tables and their sizes."""

@@ -44,6 +44,17 @@ def retry_schedule(spark, d):
     return f.select("event_id", "attempt", changes.retry_delay(F.col("attempt")).alias("delay_s"), F.when(F.col("attempt") <= changes.MAX_ATTEMPTS, "retry").otherwise("dead").alias("verdict"))
 
 
+@R.query("""WITH f AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events WHERE event_type = 'error'), l AS (SELECT user_id, max(attempt) AS attempt, arg_max(ts, attempt) AS ts FROM f GROUP BY 1)
+  SELECT user_id, attempt::INT AS attempt FROM l WHERE attempt <= 5 AND ts + to_seconds(least(attempt * attempt * 5, 120)) <= TIMESTAMP '2024-01-28'""")
+def retry_due(spark, d):
+    """Failures whose delay is over at a given time."""
+    from pyspark.sql import Window
+
+    a = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    f = load(spark, d, "events").where("event_type = 'error'").select(F.col("user_id").alias("message_id"), a.alias("attempt"), F.col("ts").cast("timestamp").alias("failed_at"))
+    return changes.due_at(f, "2024-01-28 00:00:00").select(F.col("message_id").alias("user_id"), "attempt")
+
+
 @R.query("""WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS st FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   y AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM x) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM y GROUP BY user_id, s""")
 def session_counts(spark, d):

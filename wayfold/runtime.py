@@ -10,16 +10,20 @@ from __future__ import annotations
 
 import atexit
 import pathlib
+import shutil
+import sys
 import tempfile
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: str | None = None
 _WRITTEN: list[str] = []
 _TABLES: list[str] = []
 _SHIPPED: set[str] = set()
+_CODE: list[str] = []
 
 
 def get_session(app: str = "wayfold", master: str | None = None, **conf) -> SparkSession:
@@ -44,7 +48,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     here = pathlib.Path(__file__).parent
-    target = pathlib.Path(tempfile.mkdtemp(prefix="wayfold-code-"), "wayfold_code.zip")
+    folder = tempfile.mkdtemp(prefix="wayfold-code-")  # served to the executors from here, deleted at the end
+    _CODE.append(folder)
+    target = pathlib.Path(folder, "wayfold_code.zip")
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(here.rglob("*.py")):
             z.write(p, p.relative_to(here.parent))
@@ -177,8 +183,10 @@ def _release_at_exit() -> None:
         spark = SparkSession.getActiveSession()
         if spark is not None:
             release(spark)
-    except Exception:  # the JVM may be gone already
-        pass
+    except (Py4JError, OSError):  # the JVM is gone; the shared folder's owner clears what is left
+        print("intermediate tables were left in the shared folder", file=sys.stderr)
+    for folder in _CODE:
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 def partitions(spark: SparkSession) -> int:

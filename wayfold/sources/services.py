@@ -102,7 +102,7 @@ class _SearchReader(DataSourceReader):
         return [InputPartition(q) for q in json.loads(self.options.get("queries", "[]"))]
 
     def read(self, partition):
-        """One query is one partition; the offline index is a file of JSON lines with query, title, url, summary."""
+        """One query is one partition; the offline index is a file of JSON lines with query, title, url, summary, at a path that all executors see."""
         most = min(max(int(self.options.get("count", "10")), 1), int(self.options.get("most", "10")))
         n = 0
         with open(self.options["index"], encoding="utf-8") as f:

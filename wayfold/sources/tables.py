@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wayfold.functions.content import image_chunk, image_groups
 from wayfold.functions.strings import chunk_text, keyword_pieces, uuid5_url
 from wayfold.functions.text import is_blank
 from wayfold.operators.markdown import parse_column
@@ -23,6 +24,7 @@ SCHEMAS = {
     "reco_eval_labels": "case_id string, article_id string, relevance float",
     "reco_eval_runs": "run_id string, case_count int, metrics string",
     "recall_coarse": "id string, vector array<float>, article_id string, score float, tags string, created_at_unix bigint",
+    "recall_image": "id string, vector array<float>, article_id string, chunk_id string, h2 string, document string, tags string, score float, created_at_unix bigint",
     "recall_fine": "id string, vector array<float>, article_id string, chunk_id string, h2 string, document string, tags string, score float, created_at_unix bigint",
 }
 
@@ -36,8 +38,8 @@ def create_tables(spark: SparkSession, prefix: str = "") -> list[str]:
     return [prefix + n for n in SCHEMAS]
 
 
-def ingest(docs: DataFrame, embedder: Embedder | None = None) -> dict[str, DataFrame]:
-    """Markdown documents (article_id, title, markdown, tags, created_at) as articles, chunks and vectors.
+def ingest(docs: DataFrame, embedder: Embedder | None = None, image_embedder: Embedder | None = None) -> dict[str, DataFrame]:
+    """Markdown documents (article_id, title, markdown, tags, created_at) as articles, chunks and vectors of texts and images.
 
     Blank ids or texts are dropped.  One pass parses the text; chunks have
     name-based ids, so that ingesting again gives the same rows.
@@ -51,4 +53,8 @@ def ingest(docs: DataFrame, embedder: Embedder | None = None) -> dict[str, DataF
     chunks = chunks.withColumn("chunk_id", F.concat(F.lit("chk_"), uuid5_url("chunk", F.concat_ws("|", "article_id", "s_no", "c_no"))))
     fine = chunks.select(F.col("chunk_id").alias("id"), embed_column(F.col("content"), embedder).alias("vector"), "article_id", "chunk_id", "h2", F.col("content").alias("document"))
     coarse = articles.select(F.col("article_id").alias("id"), embed_column(F.concat_ws("\n", "title", "tags"), embedder).alias("vector"), "article_id", "score", "tags", F.unix_timestamp("created_at").alias("created_at_unix"))
-    return {"articles": articles, "article_chunks": chunks.select("chunk_id", "article_id", "h2", "content", "created_at"), "recall_fine": fine, "recall_coarse": coarse}
+    # runs of images are chunks of their own, with vectors in a table of their own
+    runs = sections.select("article_id", "s_no", F.col("s.h2").alias("h2"), F.posexplode(image_groups(F.col("s.blocks"))).alias("g_no", "urls")).withColumn("c", image_chunk(F.col("urls")))
+    runs = runs.withColumn("chunk_id", F.concat(F.lit("chk_"), uuid5_url("chunk", F.concat_ws("|", "article_id", "s_no", F.concat(F.lit("image"), "g_no"), F.array_join("urls", "|")))))
+    images = runs.select(F.col("chunk_id").alias("id"), embed_column(F.col("c.content"), image_embedder or embedder).alias("vector"), "article_id", "chunk_id", "h2", F.col("c.content").alias("document"), F.col("c.content_type").alias("content_type"))
+    return {"recall_image": images, "articles": articles, "article_chunks": chunks.select("chunk_id", "article_id", "h2", "content", "created_at"), "recall_fine": fine, "recall_coarse": coarse}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -87,3 +88,34 @@ def retry_states(failures: DataFrame) -> DataFrame:
         yield pd.DataFrame({"message_id": [key[0]], "attempt": [attempt], "due": [last + pd.Timedelta(seconds=0 if dead else delay)], "verdict": ["dead" if dead else "retry"]})
 
     return failures.groupBy("message_id").applyInPandasWithState(step, "message_id string, attempt int, due timestamp, verdict string", "attempt int", "update", "ProcessingTimeTimeout")
+
+
+def redeliver(retries: DataFrame) -> DataFrame:
+    """Messages of a stream of retries (message_id, payload, attempt, due), each given out again once it is due.
+
+    State is the last retry of each message; it leaves with the processing-time
+    timeout that is set to its due time.  (message_id, payload, attempt, due).
+    """
+
+    def step(key, frames, state):
+        if state.hasTimedOut:
+            payload, attempt, due = state.get
+            state.remove()
+            yield pd.DataFrame({"message_id": [key[0]], "payload": [payload], "attempt": [attempt], "due": [pd.Timestamp(due, unit="ms")]})
+            return
+        held = state.get if state.exists else None
+        for f in frames:
+            for r in f.itertuples(index=False):
+                if held is None or r.attempt >= held[1]:
+                    held = (r.payload, int(r.attempt), int(pd.Timestamp(r.due).timestamp() * 1000))
+        state.update(held)
+        state.setTimeoutDuration(max(1, held[2] - int(time.time() * 1000)))
+
+    return retries.groupBy("message_id").applyInPandasWithState(step, "message_id string, payload string, attempt int, due timestamp", "payload string, attempt int, due long", "append", "ProcessingTimeTimeout")
+
+
+def due_at(failures: DataFrame, as_of: str, busy: bool = False) -> DataFrame:
+    """The retries of a table of failures (message_id, attempt, failed_at) that are due: the last failure of each message that isn't dead, after its delay; none while primary jobs run."""
+    last = failures.groupBy("message_id").agg(F.max(F.struct("attempt", "failed_at")).alias("m")).select("message_id", "m.*")
+    due = F.col("failed_at") + F.make_dt_interval(secs=retry_delay(F.col("attempt")))
+    return last.withColumn("due", due).where((F.col("due") <= F.lit(as_of).cast("timestamp")) & F.lit(not busy))
