@@ -97,7 +97,7 @@ def test_hybrid_keeps_weak_and_lone_hits(spark):
     assert got == [(2, round(0.275 + np.arctan(4) / np.pi, 6)), (1, 0.5), (3, 0.0), (9, 0.0)]
 
 
-def test_bm25_by_brute_force(spark):
+def test_bm25_by_brute_force(spark, monkeypatch):
     texts = {1: "湖心岛 看湖", 2: "湖心岛,湖心岛!湖心岛", 3: None, 4: "  ", 5: "Lake view 7", 6: "x", 7: "夜市与湖心", 8: "湖心岛 看湖"}
     asked = {1: "湖心岛 湖心岛", 3: "LAKE", 4: None, 9: "x 夜市"}
 
@@ -117,8 +117,11 @@ def test_bm25_by_brute_force(spark):
             if s and i != q:
                 hits.append((-round(s, 9), i))
         want += [(q, i, -s, n) for n, (s, i) in enumerate(sorted(hits)[:3], 1)]
-    got = lexical.bm25(spark.createDataFrame(list(texts.items()), "id long, text string"), spark.createDataFrame(list(asked.items()), "query_id long, text string"), 3)
-    assert {tuple(r) for r in got.collect()} == set(want)
+    frames = spark.createDataFrame(list(texts.items()), "id long, text string"), spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    for most, block in ((1 << 18, 1 << 20), (1, 4)):  # also with more terms than are sent, and in small blocks
+        monkeypatch.setattr(lexical, "MOST_TERMS", most)
+        monkeypatch.setattr(lexical, "_BLOCK", block)
+        assert {tuple(r) for r in lexical.bm25(*frames, 3).collect()} == set(want)
     assert lexical.bm25(spark.createDataFrame([], "id long, text string"), spark.createDataFrame([(1, "x")], "query_id long, text string"), 3).count() == 0
 
 
