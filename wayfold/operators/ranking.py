@@ -25,16 +25,16 @@ def distributed_islands(df: DataFrame, group: str, order: list[Column], linked:
     inside the partitions of the order, and one row per partition tells the
     next one how its last row ends.
     """
-    laid, before = _laid(df.withColumn("__linked", F.coalesce(linked, F.lit(False))), [F.col(f"`{group}`")], order, num_partitions)
-    w = Window.partitionBy("__pid").orderBy("__idx")
-    last = laid.groupBy("__pid").agg(F.max_by(F.struct(F.col(f"`{group}`").alias("g"), F.col("__linked").alias("linked")), "__idx").alias("__last"))
-    ends = last.select("__pid", F.lag("__last").over(Window.orderBy("__pid")).alias("__prev")).join(before, "__pid")  # one row per partition
-    with_prev = laid.join(F.broadcast(ends), "__pid").withColumn("__near", F.coalesce(F.lag(F.struct(F.col(f"`{group}`").alias("g"), F.col("__linked").alias("linked"))).over(w), F.col("__prev")))
+    laid, _ = _laid(df.withColumn("__linked", F.coalesce(linked, F.lit(False))), [F.col(f"`{group}`")], order, num_partitions)
+    tail = F.struct(F.col(f"`{group}`").alias("g"), F.col("__linked").alias("linked"))
+    w, over = Window.partitionBy("__pid").orderBy("__idx"), Window.orderBy("__pid")  # the latter over one row per partition
+    parts = laid.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"), F.max_by(tail, "__idx").alias("__last"))
+    parts = parts.select("__pid", (F.sum("__n").over(over) - F.col("__n")).alias("__before"), F.lag("__last").over(over).alias("__prev"))
+    near = laid.join(F.broadcast(parts), "__pid").withColumn("__near", F.coalesce(F.lag(tail).over(w), F.col("__prev")))
     goes_on = F.coalesce(F.col("__near.g").eqNullSafe(F.col(f"`{group}`")) & F.col("__near.linked") & F.col("__linked") & F.col("__near").isNotNull(), F.lit(False))
-    started = with_prev.withColumn("__start", F.when(goes_on, 0).otherwise(1)).withColumn("__own", F.sum("__start").over(w))
-    heads = laid.select("__pid").distinct().join(started.groupBy("__pid").agg(F.sum("__start").alias("__starts")), "__pid")
-    offsets = heads.select("__pid", (F.sum("__starts").over(Window.orderBy("__pid")) - F.col("__starts")).alias("__offset"))  # one row per partition
-    out = started.join(F.broadcast(offsets), "__pid")
+    started = near.withColumn("__start", F.when(goes_on, 0).otherwise(1)).withColumn("__own", F.sum("__start").over(w))
+    starts = started.groupBy("__pid").agg(F.sum("__start").alias("__starts"))
+    out = started.join(F.broadcast(starts.select("__pid", (F.sum("__starts").over(over) - F.col("__starts")).alias("__offset"))), "__pid")
     return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__before") + F.col("__idx") + 1).alias("place"), (F.col("__offset") + F.col("__own")).alias("island"))
 
 
