@@ -12,6 +12,11 @@ WINDOWS = {"1h": 3600, "6h": 21_600, "24h": 86_400, "7d": 604_800, "30d": 2_592_
 #: Limits of an annotation's lists and summary, and what stands in for missing parts.
 MOST_TAGS, MOST_REASONS, MOST_EVIDENCE, MOST_SUMMARY = 6, 5, 5, 280
 NO_TITLE, NO_SUMMARY, NO_REASON = "知乎攻略素材", "这条素材没有结构化摘要，保留标题和筛选信号供复核。", "主题相关性待复核"
+#: Formats of composed texts.
+INTRO = {"title": 'This article focuses on "%s".', "types": "Its primary types are %s.", "keywords": "Important keywords include %s.", "headings": "Key sections cover %s."}
+ROUTE = {"metres": "距离约 %.1f 公里", "minutes": "耗时约 %.0f 分钟", "cost": "费用约 %.0f"}
+CLIMATE = "%d月: %.0f-%.0f°C, 降水%.0fmm, 极端天气风险=%s"
+EVIDENCE = {"votes": "赞同 %d", "comments": "评论 %d", "query": "命中搜索：%s", "scope": "来源范围：%s"}
 #: Words of preferences, in order.
 ALTITUDE = [("不接受高海拔", ["不接受高海拔", "不能高海拔", "怕高反", "高反严重", "不去高海拔"]), ("可接受高海拔", ["接受高海拔", "能接受高海拔", "可以高海拔", "高反没问题", "能接受高反"])]
 DRIVING = [("控制日均驾驶", ["不接受长途", "不想长途", "少开车", "每天少开", "不想开太久"]), ("可接受较长日均驾驶", ["接受长途", "能接受长途", "可以长途", "高强度自驾", "长途没问题"])]
@@ -78,13 +83,13 @@ def trip_facts(text: Column) -> Column:
 
 def route_text(label: Column, metres: Column, minutes: Column, cost: Column, notes: Column) -> Column:
     """What is known of a route in one line."""
-    told = [label, F.when(metres > 0, F.concat(F.lit("距离约 "), F.format_string("%.1f", metres / 1000), F.lit(" 公里"))), F.when(minutes > 0, F.concat(F.lit("耗时约 "), F.format_string("%.0f", minutes), F.lit(" 分钟"))), F.when(cost > 0, F.concat(F.lit("费用约 "), F.format_string("%.0f", cost)))]
+    told = [label, *(F.when(c > 0, F.format_string(ROUTE[k], c / d)) for k, c, d in (("metres", metres, 1000), ("minutes", minutes, 1.0), ("cost", cost, 1.0)))]
     return F.concat_ws("，", *told, F.nullif(notes, F.lit("")))
 
 
 def climate_text(month: Column, low: Column, high: Column, rain: Column, risk: Column) -> Column:
     """One month's climate in words."""
-    return F.concat(month.cast("string"), F.lit("月: "), F.format_string("%.0f", low), F.lit("-"), F.format_string("%.0f", high), F.lit("°C, 降水"), F.format_string("%.0f", rain), F.lit("mm, 极端天气风险="), risk)
+    return F.format_string(CLIMATE, month, low, high, rain, risk)
 
 
 def annotation(trip: Column, topic: Column, title: Column, summary: Column, url: Column, status: Column, selected: Column, intent: Column, scope: Column, reasons: Column, votes: Column, comments: Column, query: Column) -> Column:
@@ -94,7 +99,7 @@ def annotation(trip: Column, topic: Column, title: Column, summary: Column, url:
     state = F.when(F.coalesce(selected, F.lit(False)) | (text(status) == "selected"), "selected").when(text(status) == "rejected", "rejected").when(text(status).isin("accepted", "review"), "review").otherwise("raw")
     key = F.when(text(url) != "", text(url)).otherwise(F.concat(text(title), text(summary)))
     kept = F.slice(F.coalesce(reasons, F.array().cast("array<string>")), 1, MOST_REASONS)
-    evidence = [F.when(votes > 0, F.concat(F.lit("赞同 "), votes.cast("string"))), F.when(comments > 0, F.concat(F.lit("评论 "), comments.cast("string"))), F.when(text(query) != "", F.concat(F.lit("命中搜索："), query)), F.when(text(scope) != "", F.concat(F.lit("来源范围："), scope))]
+    evidence = [*(F.when(c > 0, F.format_string(EVIDENCE[k], c)) for k, c in (("votes", votes), ("comments", comments))), *(F.when(text(c) != "", F.format_string(EVIDENCE[k], c)) for k, c in (("query", query), ("scope", scope)))]
     made = F.struct(
         stable_id("ann-", F.lit("zhihu"), trip, topic, key).alias("id"),
         F.when(text(title) != "", text(title)).otherwise(NO_TITLE).alias("title"),
@@ -130,7 +135,8 @@ def coarse_text(title: Column, type_tags: Column, keywords: Column, headings: Co
     """The text that stands for an article in coarse recall (X42); tags, keywords and headings are arrays."""
     part = lambda name, a, sep: F.when(F.size(a) > 0, F.concat(F.lit(f"{name}: "), F.array_join(a, sep)))
     title = strip(F.coalesce(title, F.lit("")))
-    intro = [F.when(title != "", F.concat(F.lit('This article focuses on "'), title, F.lit('".'))), F.when(F.size(type_tags) > 0, F.concat(F.lit("Its primary types are "), F.array_join(type_tags, ", "), F.lit("."))), F.when(F.size(keywords) > 0, F.concat(F.lit("Important keywords include "), F.array_join(F.slice(keywords, 1, 6), ", "), F.lit("."))), F.when(F.size(headings) > 0, F.concat(F.lit("Key sections cover "), F.array_join(F.slice(headings, 1, 4), ", "), F.lit(".")))]
+    lists = (("types", type_tags), ("keywords", F.slice(keywords, 1, 6)), ("headings", F.slice(headings, 1, 4)))
+    intro = [F.when(title != "", F.format_string(INTRO["title"], title)), *(F.when(F.size(a) > 0, F.format_string(INTRO[k], F.array_join(a, ", "))) for k, a in lists)]
     told = F.concat_ws(" ", *intro)
     return F.concat_ws("\n", F.concat(F.lit("title: "), title), part("type_tags", type_tags, ", "), part("keywords", keywords, ", "), part("headings", headings, " | "), F.when(told != "", F.concat(F.lit("intro: "), told)), F.concat(F.lit("keyword_score: "), F.format_string("%.1f", keyword_score)))
 
