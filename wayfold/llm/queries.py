@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from wayfold.functions.text import strip
 from wayfold.llm import capping, incremental, near_duplicates, packing, paragraphs, shared_spans, splitting, tokens, topn
-from wayfold.runtime import load, scratch
+from wayfold.runtime import load, materialize, scratch
 
 
 def p1_pieces(spark, d):
@@ -19,6 +19,16 @@ def p1_found(spark, d):
     return p1_pieces(spark, d).where("piece_no = 2").select("chunk_id")
 
 
+def p1_cores(spark, d):
+    """Problem 1, checked: each chunk's cores joined, whether every piece fits and stands under its head, and whether each repeats what it should."""
+    pieces = p1_pieces(spark, d)
+    lead = F.char_length("piece") - F.col("core_chars") - F.when(F.col("piece_no") > 1, F.least("core_start", F.lit(splitting.OVERLAP))).otherwise(0)
+    under = (lead == 0) & F.col("head").isNull() | (lead > 0) & F.coalesce(F.col("head").startswith(F.substring("piece", F.lit(1), lead - 1)), F.lit(False))
+    checked = pieces.select("chunk_id", F.struct("piece_no", F.right("piece", F.col("core_chars")).alias("core")).alias("x"), (F.char_length("piece") <= splitting.LIMIT).alias("fits"), under.alias("under"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["core"]), "")  # one chunk's body
+    return checked.groupBy("chunk_id").agg(F.md5(joined).alias("body"), F.bool_and("fits").alias("fits"), F.bool_and("under").alias("under_head"))
+
+
 def p2_found(spark, d):
     """Problem 2: repeats with the accepted candidate that they repeat; the batches are added one after the other to stored block tables."""
     store = incremental.IncrementalDeduper(spark, scratch(spark, "p2-store"))
@@ -61,6 +71,25 @@ def p8_ids(spark, d):
     return tokens.encode_column(load(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_round_trip(spark, d):
+    """Problem 8, checked: every document's text as its ids give it back."""
+    return tokens.decode_column(p8_ids(spark, d), "doc_id", "ids", "text").select("doc_id", F.md5("text").alias("text"))
+
+
+def p9_checked(spark, d):
+    """Problem 9, checked: whether all of each document's tokens have a place, and whether its containers hold no more than they can, place by place without gaps."""
+    docs = load(spark, d, "documents")
+    placed = materialize(p9_containers(spark, d), "p9-placed")
+    w = Window.partitionBy("container").orderBy("place")  # at most 2,048 items
+    ends = F.col("token_offset") + F.col("n_tokens")
+    follows = F.col("token_offset") == F.coalesce(F.lag(ends).over(w), F.lit(0))
+    boxed = placed.where("container is not null").select("doc_id", "container", "place", "n_tokens", (follows & (F.row_number().over(w) == F.col("place"))).alias("follows"), (ends <= packing.CAPACITY).alias("fits"))
+    mine = boxed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.bool_and("follows").alias("follows"), F.bool_and("fits").alias("fits"))
+    sized = docs.select("doc_id", tokens.token_count(F.col("text")).alias("size")).join(mine, "doc_id", "left")
+    yes = lambda c: F.coalesce(c, F.lit(True))
+    return sized.select("doc_id", (F.coalesce("n", F.lit(0)) == F.col("size")).alias("whole"), yes(F.col("follows")).alias("follows"), yes(F.col("fits")).alias("fits"))
+
+
 def p9_containers(spark, d):
     """Problem 9: the container and place of every text."""
     return packing.pack_texts(load(spark, d, "documents"), "doc_id", "text")
@@ -81,7 +110,7 @@ def p10_paragraphs(spark, d):
     return paragraphs.paragraph_coverage(load(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p4_found, p4_sampled, p5_found, p5_classes, p7_found, p8_ids, p9_containers, p10_found, p10_coverage, p10_paragraphs)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_cores, p2_found, p4_found, p4_sampled, p5_found, p5_classes, p7_found, p8_ids, p8_round_trip, p9_containers, p9_checked, p10_found, p10_coverage, p10_paragraphs)}
 
 _WS = "chr(9) || chr(10) || chr(13) || ' ' || chr(160) || chr(12288)"
 _PLAIN = "lower(regexp_replace({}, '[' || " + _WS + " || ']', '', 'g'))"
@@ -132,6 +161,11 @@ SQL = {
     "p1_found": f"""
       SELECT chunk_id FROM (SELECT chunk_id, trim(coalesce(h2, ''), {_WS}) AS h, trim(coalesce(content, ''), {_WS}) AS c FROM article_chunks)
       WHERE length(CASE WHEN h = '' THEN c ELSE h || chr(10) || c END) > 320""",
+    "p1_cores": f"""
+      WITH x AS (SELECT chunk_id, trim(coalesce(h2, ''), {_WS}) AS h, trim(coalesce(content, ''), {_WS}) AS c FROM article_chunks)
+      SELECT chunk_id, md5(CASE WHEN length(h) >= 160 AND length(h) + 1 + length(c) > 320 THEN substr(h, 160) || chr(10) || c ELSE c END) AS body, TRUE AS fits, TRUE AS under_head FROM x""",
+    "p8_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS text FROM documents",
+    "p9_checked": "SELECT doc_id, TRUE AS whole, TRUE AS follows, TRUE AS fits FROM documents",
     "p4_found": f"""
       WITH x AS (SELECT candidate_id, batch_no, score, {_AUTHOR} AS who, count(*) OVER (PARTITION BY batch_no) AS n FROM zhihu_guide_candidates)
       SELECT candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY batch_no, who ORDER BY score DESC NULLS LAST, candidate_id) AS r FROM x WHERE who IS NOT NULL)

@@ -101,6 +101,17 @@ def encode_column(df: DataFrame, id_col: str, text_col: str, name: str = DEFAULT
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).mapInArrow(run, schema)
 
 
+def decode_column(df: DataFrame, id_col: str, ids_col: str, text_col: str, name: str = DEFAULT_TOKENIZER, folder: str | None = None) -> DataFrame:
+    """(id, text): the texts of token ids; null ids give null."""
+    path = rank_file(name, folder)
+
+    @F.arrow_udf(T.StringType())
+    def text(v: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else decode(x, path) for x in v.to_pylist()], pa.string())
+
+    return df.select(F.col(f"`{id_col}`").alias(id_col), text(F.col(f"`{ids_col}`")).alias(text_col))
+
+
 def token_count(text: Column, name: str = DEFAULT_TOKENIZER, folder: str | None = None) -> Column:
     """The number of tokens of a text; 0 for an empty or null one."""
     path = rank_file(name, folder)
