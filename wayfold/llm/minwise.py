@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from wayfold.runtime import materialize
@@ -124,8 +125,8 @@ def band_keys(signatures: np.ndarray, scheme: MinwiseScheme) -> np.ndarray:
 
 
 def content_keys(text: Column) -> list[Column]:
-    """A 128-bit content hash as two bigints: equal texts have equal keys."""
-    return [F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2")]
+    """A 128-bit content hash as two bigints of different seeds: equal texts have equal keys."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
 
 
 def sign(df: DataFrame, id_col: str, text: Column, scheme: MinwiseScheme, label: str) -> DataFrame:
@@ -135,12 +136,14 @@ def sign(df: DataFrame, id_col: str, text: Column, scheme: MinwiseScheme, label:
     are left out, as they are similar to none; so are rows with a null id.
     """
     id_type = df.schema[id_col].dataType
-    rows = df.select(F.col(id_col).alias("id"), text.alias("t")).where(F.col("id").isNotNull() & (F.char_length("t") >= max(scheme.min_chars, scheme.shingle)))
-    rows = rows.select("id", *content_keys(F.col("t")), "t")
+    # lengths are looked at in Python: a filter on t would make the normal text a second time
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text.alias("t")).select("id", *content_keys(F.col("t")), "t")
+    least = max(scheme.min_chars, scheme.shingle)
     schema = T.StructType([T.StructField("id", id_type), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("sig", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for b in batches:
+            b = b.filter(pc.greater_equal(pc.utf8_length(b.column("t")), least))  # null for a null text, which goes too
             texts, cols = b.column("t").to_pylist(), [b.column(c) for c in ("id", "h1", "h2")]
             for lo in range(0, len(texts), 500):
                 part = texts[lo : lo + 500]
