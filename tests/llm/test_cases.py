@@ -153,6 +153,51 @@ def test_batches_equal_brute_force(spark, tmp_path, options):
         assert max(t["level"] for t in store._tables()) > 0 and any(t["parts"] > 1 for t in store._tables())
 
 
+@pytest.mark.parametrize("options", [{}, {"task_rows": 0, "part_bytes": 4000}, {"task_rows": 0, "task_nodes": 0}], ids=["task", "groups in a task", "rounds"])
+def test_waiting_batches_are_taken_up_together(spark, tmp_path, monkeypatch, options):
+    """30 batches: three takes, the last looked up in slices, with the decisions of batches taken one by one; what is taken up once isn't again."""
+    monkeypatch.setattr(incremental, "LOOKUP_ROWS", 32)
+    rows = [(i, 1 + i // 4, *x) for i, _, *x in candidates(120)]
+    df = spark.createDataFrame(rows, CANDIDATE)
+    store = incremental.IncrementalDeduper(spark, f"file://{tmp_path}/store", **options)
+    want = accepted_by_force(rows)
+    assert decisions(incremental.dedup_in_batches(df.where("batch_no <= 20"), "batch_no", store)) == {i: f for i, f in want.items() if 1 + i // 4 <= 20}
+    assert decisions(incremental.dedup_in_batches(df, "batch_no", store)) == want
+    assert sum(c["batch"] is not None for c in store.commits) == 4
+    few = df.where("batch_no in (3, 25)")
+    assert decisions(incremental.dedup_in_batches(few, "batch_no", store)) == {i: f for i, f in want.items() if 1 + i // 4 in (3, 25)}
+
+
+def test_batches_whose_ids_fall_are_not_taken_up_together(spark, tmp_path):
+    rows = [(i, 9 - b, t, s, u, *x) for i, b, t, s, u, *x in candidates(60)]
+    store = incremental.IncrementalDeduper(spark, f"file://{tmp_path}/store")
+    got = decisions(incremental.dedup_in_batches(spark.createDataFrame(rows, CANDIDATE), "batch_no", store))
+    turned = {i: k for k, (i, *_) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    first = accepted_by_force([(turned[i], *x) for i, *x in rows])
+    assert {i for i, f in got.items() if f is None} == {i for i in got if first[turned[i]] is None}
+    assert sum(c["batch"] is not None for c in store.commits) == 4
+
+
+@pytest.mark.parametrize("top", [10, 1 << 20, 1 << 40, 1 << 62])
+def test_packed_keys(top):
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(top)
+    keys = np.array([r.randrange(97) << 32 | r.randrange(1 << 32) for _ in range(500)], np.int64)
+    ids = np.array([r.randrange(-top, top) for _ in range(498)] + [-top - 1, top], np.int64)
+    for parts in (1, 16):
+        got = set()
+        for b in incremental._rows(keys, ids, parts):
+            for part, slot, *row in incremental._each(b, "part", "slot", "base", "keys", "ids"):
+                low, i = incremental._unpacked(*row)
+                whole = incremental._whole(slot, low)
+                assert (whole % parts == part).all() and (np.diff(low.astype(np.int64)) >= 0).all()
+                got |= set(zip(whole.tolist(), i.tolist()))
+        assert got == set(zip(keys.tolist(), ids.tolist()))
+    assert not list(incremental._rows(keys[:0], ids[:0], 4))
+
+
 def test_one_batch_with_repeated_rows(spark, tmp_path):
     rows = candidates(40)
     df = spark.createDataFrame([(None, *rows[0][1:]), *rows, *rows[:5]], CANDIDATE)

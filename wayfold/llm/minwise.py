@@ -263,6 +263,9 @@ def meet(batches, cell: int = CELL):
                 yield pairs(left, right)
 
 
+MET_SQL = "a bigint, b bigint, band bigint, no int, ids array<bigint>"
+
+
 def band_pairs(bands: DataFrame, label: str, cell: int = CELL) -> DataFrame:
     """Distinct pairs (a, b), a < b, of the mids that share a band, of (mid, band) rows.
 
@@ -272,7 +275,12 @@ def band_pairs(bands: DataFrame, label: str, cell: int = CELL) -> DataFrame:
     pairs the members of a hot band alone.
     """
     laid = bands.select("band", "mid").repartition("band").sortWithinPartitions("band")
-    met = materialize(laid.mapInArrow(lambda it: meet(it, cell), "a bigint, b bigint, band bigint, no int, ids array<bigint>"), label)
+    return pairs_met(laid.mapInArrow(lambda it: meet(it, cell), MET_SQL), label)
+
+
+def pairs_met(rows: DataFrame, label: str) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of what ``meet`` gives."""
+    met = materialize(rows, label)
     hot = met.where("band is not null").select("band", "no", "ids")
     two = hot.join(hot.withColumnsRenamed({"no": "no2", "ids": "ids2"}), "band").where("no <= no2").select((F.col("no") == F.col("no2")).alias("same"), "ids", "ids2")
 
